@@ -136,7 +136,10 @@ def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def draw_slots(shards: DataFrame, plan: Plan) -> DataFrame:
-    """``source_no, block, pass, shard`` for each slot of the shards ``id``."""
+    """``source_no, block, pass, shard`` for each slot of the shards ``id``.
+
+    Spark takes the size of the result for that of ``shards``, so joins with it need a hint against broadcast.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,7 +208,7 @@ def taken(docs: DataFrame, *, block_words: int = BLOCK_WORDS, seed: int = SEED)
     take part with 0, a null source is a source of its own.
     """
     placed, slots = place(docs, block_words=block_words, seed=seed)
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     key = ["doc_id", "row_key", "size", "source_no", "source_size", "target", "start"]
     spread = covered_blocks(placed, block_words).select(*key, "block", (F.col("high") - F.col("low")).alias("words"))
     used = spread.join(times, ["source_no", "block"], "left")
@@ -223,7 +226,7 @@ def mixed_documents(docs: DataFrame, *, block_words: int, weights: tuple[float,
     """
     placed, slots = place(docs, block_words=block_words, weights=weights, share=share, cap=cap, seed=seed)
     spread = covered_blocks(placed, block_words).select("row_key", "source_no", "start", "block", "low", "high")
-    hits = spread.join(slots.select("source_no", "block", "pass"), ["source_no", "block"])
+    hits = spread.join(slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
     runs = hits.groupBy("row_key", "source_no", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "low", "high"))).alias("runs"))
     whole = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).dropDuplicates(["__key"])
     joined = whole.join(runs, F.col("__key") == F.col("row_key")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("runs").alias("__runs"))
