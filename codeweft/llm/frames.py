@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back, so lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared folder and reads it back.
+
+    Lost executors then cost no recomputation, and the plan starts anew with the written table's true size.
+    The files are scratch data of the application, like checkpoints.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import cut
+from codeweft.llm.frames import cut, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Rounds in which each open bucket is held against one more of its texts before the rest is paired.
-STAR_ROUNDS = 3
+#: Rounds after the first; the last of them pairs what is left.
+STAR_ROUNDS = 2
 
 
 def bags(part: kernels.Slice, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +179,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        near = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        near = cut(near)
-        upper = near.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        after = near.join(upper, "comp", "left").select("node", "old", F.coalesce("top", "comp").alias("comp"))
-        after = cut(after)
+        near = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("near"))
+        jump = labels.select(F.col("node").alias("near"), F.col("comp").alias("top"))
+        after = cut(near.join(jump, "near", "left").select("node", "old", F.least("near", "top").alias("comp")))
         labels = after.select("node", "comp")
         if after.where("old <> comp").isEmpty():
             return labels
@@ -206,7 +204,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     first = placed.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("first"), F.max("node").alias("last"))
     first = cut(first.where("first.node <> last").select("key", F.col("first.node").alias("pivot"), F.col("first.weight").alias("pivot_weight")))
     members = cut(placed.join(first, "key"))
-    texts = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    texts = cut(nodes.join(small(cut(members.select("node").distinct())), "node", "left_semi").dropDuplicates(["node"]))
 
     def heavy_enough(a: str, b: str):
         """The lighter bag bounds the overlap, the heavier one the union."""
@@ -224,7 +222,6 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
 
     for turn in range(STAR_ROUNDS):
         colored = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        colored = colored.where("likeness is null or likeness > 0")
         span = cut(colored.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"))
         if span.isEmpty():
             return labels
@@ -240,6 +237,9 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
             pairs = open_members.join(second, "key").where((F.col("comp") != F.col("c")) & heavy_enough("weight", "w")).select("a", F.col("node").alias("b"))
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = linked(pairs)
+        if found.where(F.col("likeness") >= threshold).isEmpty():
+            known = cut(known.unionByName(found))
+            continue
         links = cut(links.unionByName(found.where(F.col("likeness") >= threshold).select("a", "b")))
         labels = components(links)
         known = cut(known.unionByName(found))
