@@ -10,7 +10,7 @@ components at random, and a component keeps its earliest point.  Two texts agree
 often as their weighted Jaccard index says.  Only points earlier than the latest component matter, so a text
 costs its number of shingles plus about ``m log m`` points.
 
-Signatures are banded.  Within a bucket of a band every text is held against the bucket's first text, by exact
+Signatures are banded.  Within a bucket of a band every text is held against one pivot, by exact
 multiset overlap; what that leaves apart is found in further rounds, see ``classes``.
 """
 
@@ -29,6 +29,8 @@ from codeweft.llm.frames import cut, small
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Signature components in which texts must agree to be paired in the last round; at 0.8 fewer agree once in a million.
+AGREE = 0.6
 #: Rounds after the first; the last of them pairs what is left.
 STAR_ROUNDS = 2
 
@@ -122,7 +124,10 @@ def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
 
 
 def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``node, weight, keys`` for each row of ``node, text``; texts without words are left out."""
+    """``node, weight, keys, sketch`` for each row of ``node, text``; texts without words are left out.
+
+    ``sketch`` is a byte of every signature component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +145,11 @@ def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                 values = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), values)
                 node = batch.column("node").slice(part.first, len(part)).take(pa.array(some))
-                yield pa.record_batch([node, pa.array(weight[some]), lists], names=["node", "weight", "keys"])
+                size = marks.shape[1]
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array((marks[some] & np.uint64(0xFF)).astype(np.uint8).view(np.int8).ravel()))
+                yield pa.record_batch([node, pa.array(weight[some]), lists, sketch], names=["node", "weight", "keys", "sketch"])
 
-    return nodes.mapInArrow(run, "node long, weight long, keys array<long>")
+    return nodes.mapInArrow(run, "node long, weight long, keys array<long>, sketch array<tinyint>")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,20 +197,26 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``node, comp``: the class of every text that has a near-duplicate, both named by 64-bit text hashes.
 
-    Copies of one text are one node from the start.  Round one holds each bucket's texts against its first
-    text.  Each further round takes the buckets whose texts are still in several components and holds one more
-    of their texts, outside the first text's component, against those of other components.  At last every two
+    Copies of one text are one node from the start.  Round one holds each bucket's texts against its pivot, the
+    text that meets most others over all bands, which in a group of copies is the likeliest original.  A
+    further round takes the buckets whose texts are still in several components and holds one more of their
+    texts, unlike the pivot, against those of other components.  At last every two
     texts of a bucket that are in different components are compared, but for those that the triangle
-    inequality of the Jaccard distance rules out by their known likeness to the bucket's first text.  So the
+    inequality of the Jaccard distance rules out by their known likeness to the bucket's pivot, or whose
+    signatures agree too seldom.  So the
     components are those of all pairs that share a bucket and reach ``threshold``; a pair at 0.8 shares none of
     24 bands of 4 with a chance of 3 in a million.
     """
     nodes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), "text")
     signed = cut(_signed(nodes, bands, rows).dropDuplicates(["node"]))
     placed = signed.select("node", "weight", F.explode("keys").alias("key"))
-    first = placed.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("first"), F.max("node").alias("last"))
-    first = cut(first.where("first.node <> last").select("key", F.col("first.node").alias("pivot"), F.col("first.weight").alias("pivot_weight")))
-    members = cut(placed.join(first, "key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
+    members = cut(placed.join(cut(sizes.where("n > 1")), "key"))
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    members = cut(members.join(met, "node"))
+    pivots = members.groupBy("key").agg(F.max(F.struct("met", "node", "weight")).alias("p"))
+    pivots = cut(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("pivot_weight")))
+    members = cut(members.join(pivots, "key"))
     texts = cut(nodes.join(small(cut(members.select("node").distinct())), "node", "left_semi").dropDuplicates(["node"]))
 
     def heavy_enough(a: str, b: str):
@@ -211,14 +224,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
         return F.least(a, b) >= F.greatest(a, b) * threshold
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut(_compare(pairs.select("a", "b").distinct(), texts))
+        return cut(_compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts))
 
     star = members.where((F.col("node") != F.col("pivot")) & heavy_enough("weight", "pivot_weight"))
     known = linked(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     links = known.where(F.col("likeness") >= threshold).select("a", "b")
     labels = components(links)
-    to_first = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "likeness")
-    members = cut(members.join(to_first, ["pivot", "node"], "left"))
+    both_ways = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "likeness").unionByName(known.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "likeness"))
+    members = members.where("n > 2").join(both_ways, ["pivot", "node"], "left")
+    members = cut(members.withColumn("likeness", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("likeness"))))
 
     for turn in range(STAR_ROUNDS):
         colored = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -227,22 +241,22 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
             return labels
         open_members = cut(colored.join(span.select("key"), "key"))
         if turn == STAR_ROUNDS - 1:
-            l, r = open_members.alias("l"), open_members.alias("r")
+            sketched = cut(open_members.join(signed.select("node", "sketch"), "node"))
+            l, r = sketched.alias("l"), sketched.alias("r")
             apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))
             gap = F.coalesce(F.abs(F.col("l.likeness") - F.col("r.likeness")), F.lit(0.0)) <= 1 - threshold + 1e-9
-            pairs = l.join(r, apart & gap & heavy_enough("l.weight", "r.weight")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            agree = F.size(F.filter(F.zip_with("l.sketch", "r.sketch", lambda x, y: x == y), lambda same: same)) >= round(AGREE * bands * rows)
+            pairs = l.join(r, apart & gap & heavy_enough("l.weight", "r.weight") & agree).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         else:
-            next_pivot = F.max(F.struct(F.coalesce(F.col("likeness"), F.lit(0.0)) < threshold, "node", "weight", "comp"))
+            next_pivot = F.max(F.struct(F.coalesce(F.col("likeness"), F.lit(0.0)) < threshold, "met", "node", "weight", "comp"))
             second = cut(open_members.groupBy("key").agg(next_pivot.alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.weight").alias("w"), F.col("p.comp").alias("c")))
-            pairs = open_members.join(second, "key").where((F.col("comp") != F.col("c")) & heavy_enough("weight", "w")).select("a", F.col("node").alias("b"))
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = linked(pairs)
-        if found.where(F.col("likeness") >= threshold).isEmpty():
-            known = cut(known.unionByName(found))
-            continue
-        links = cut(links.unionByName(found.where(F.col("likeness") >= threshold).select("a", "b")))
-        labels = components(links)
+            pairs = open_members.join(second, "key").where((F.col("comp") != F.col("c")) & heavy_enough("weight", "w"))
+            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        found = linked(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
         known = cut(known.unionByName(found))
+        if not found.where(F.col("likeness") >= threshold).isEmpty():
+            links = cut(links.unionByName(found.where(F.col("likeness") >= threshold).select("a", "b")))
+            labels = components(links)
     return labels
 
 
