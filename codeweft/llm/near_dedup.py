@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
@@ -28,9 +28,9 @@ from codeweft.llm.frames import cut, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
-#: Signature components in which texts must agree to be paired in the last round; at 0.8 fewer agree once in a million.
-AGREE = 0.6
+BANDS, ROWS = 32, 5
+#: Share of signature components in which texts must agree to be compared; at 0.8 fewer agree about once in a million.
+AGREE = 0.64
 #: Rounds after the first; the last of them pairs what is left.
 STAR_ROUNDS = 2
 
@@ -202,10 +202,10 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     further round takes the buckets whose texts are still in several components and holds one more of their
     texts, unlike the pivot, against those of other components.  At last every two
     texts of a bucket that are in different components are compared, but for those that the triangle
-    inequality of the Jaccard distance rules out by their known likeness to the bucket's pivot, or whose
-    signatures agree too seldom.  So the
+    inequality of the Jaccard distance rules out by their known likeness to the bucket's pivot.  No round
+    compares texts whose signatures agree too seldom.  So the
     components are those of all pairs that share a bucket and reach ``threshold``; a pair at 0.8 shares none of
-    24 bands of 4 with a chance of 3 in a million.
+    32 bands of 5 with a chance of 3 in a million.
     """
     nodes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), "text")
     signed = cut(_signed(nodes, bands, rows).dropDuplicates(["node"]))
@@ -223,11 +223,20 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
         """The lighter bag bounds the overlap, the heavier one the union."""
         return F.least(a, b) >= F.greatest(a, b) * threshold
 
+    def agree(a: str, b: str) -> Column:
+        same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda at: at)
+        return F.size(same) >= round(AGREE * bands * rows)
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        left = signed.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+        right = signed.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+        return pairs.distinct().join(left, "a").join(right, "b").where(agree("sketch_a", "sketch_b")).select("a", "b")
+
     def linked(pairs: DataFrame) -> DataFrame:
         return cut(_compare(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts))
 
     star = members.where((F.col("node") != F.col("pivot")) & heavy_enough("weight", "pivot_weight"))
-    known = linked(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    known = linked(agreeing(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
     links = known.where(F.col("likeness") >= threshold).select("a", "b")
     labels = components(links)
     both_ways = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "likeness").unionByName(known.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "likeness"))
@@ -245,13 +254,12 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
             l, r = sketched.alias("l"), sketched.alias("r")
             apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))
             gap = F.coalesce(F.abs(F.col("l.likeness") - F.col("r.likeness")), F.lit(0.0)) <= 1 - threshold + 1e-9
-            agree = F.size(F.filter(F.zip_with("l.sketch", "r.sketch", lambda x, y: x == y), lambda same: same)) >= round(AGREE * bands * rows)
-            pairs = l.join(r, apart & gap & heavy_enough("l.weight", "r.weight") & agree).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            pairs = l.join(r, apart & gap & heavy_enough("l.weight", "r.weight") & agree("l.sketch", "r.sketch")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         else:
             next_pivot = F.max(F.struct(F.coalesce(F.col("likeness"), F.lit(0.0)) < threshold, "met", "node", "weight", "comp"))
             second = cut(open_members.groupBy("key").agg(next_pivot.alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.weight").alias("w"), F.col("p.comp").alias("c")))
             pairs = open_members.join(second, "key").where((F.col("comp") != F.col("c")) & heavy_enough("weight", "w"))
-            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+            pairs = agreeing(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
         found = linked(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"))
         known = cut(known.unionByName(found))
         if not found.where(F.col("likeness") >= threshold).isEmpty():
