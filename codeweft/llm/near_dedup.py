@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Share of signature components in which texts must agree to be compared; at 0.8 fewer agree about once in a million.
 AGREE = 0.64
+#: Pairs of texts held against each other in one go, which bounds memory.
+PAIRS_AT_ONCE = 64
 #: Rounds after the first; the last of them pairs what is left.
 STAR_ROUNDS = 2
 
@@ -115,12 +117,18 @@ def _points(keys: np.ndarray, owners: np.ndarray, counts: np.ndarray, limit: np.
         level += 1
 
 
-def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard index of two bags given as sorted hashes and counts."""
-    _, a, b = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(left[1][a], right[1][b]).sum())
-    total = int(left[1].sum()) + int(right[1].sum()) - both
-    return both / total if total else 0.0
+def likenesses(texts: pa.Array) -> np.ndarray:
+    """Weighted Jaccard index of texts 0 and 1, 2 and 3, and so on; 0 where both are without words."""
+    n = len(texts) // 2
+    found = [(keys, owners + part.first, counts) for part in kernels.slices(texts) for keys, owners, counts in [bags(part)]]
+    keys, owners, counts = (np.concatenate(column) for column in zip(*found, strict=True))
+    pair = owners // 2
+    total = np.bincount(pair, weights=counts, minlength=n)
+    order = np.lexsort((keys, pair))
+    keys, pair, counts = keys[order], pair[order], counts[order]
+    same = (keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])
+    both = np.bincount(pair[1:][same], weights=np.minimum(counts[1:], counts[:-1])[same], minlength=n)
+    return np.divide(both, total - both, out=np.zeros(n), where=total > 0)
 
 
 def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -159,24 +167,17 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, tuple[np.ndarray, np.ndarray] | None] = (None, None)
         for batch in batches:
-            out = []
-            a, texts_a, texts_b = batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")
-            for i, node in enumerate(a):
-                if held[0] != node:
-                    held = (node, _bag(texts_a.slice(i, 1)))
-                out.append(likeness(held[1], _bag(texts_b.slice(i, 1))))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
+            out = [np.zeros(0)]
+            for low in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.slice(low, PAIRS_AT_ONCE)
+                sides = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
+                out.append(likenesses(sides.take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel()))))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(np.concatenate(out))], names=["a", "b", "likeness"])
 
     return both.mapInArrow(run, "a long, b long, likeness double")
 
 
-def _bag(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    keys, _, counts = bags(next(kernels.slices(text)))
-    return keys, counts
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` for the nodes of ``a, b`` links: the smallest node of each connected component.
 
