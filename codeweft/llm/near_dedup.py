@@ -29,8 +29,8 @@ from codeweft.llm.frames import cut, small
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
-#: Share of signature components in which texts must agree to be compared; at 0.8 fewer agree about once in a million.
-AGREE = 0.64
+#: Bits of each signature component in a sketch, and how many standard deviations of a sketch's distance are allowed.
+SKETCH_BITS, DEVIATIONS = 4, 4.8
 #: Pairs of texts held against each other in one go, which bounds memory.
 PAIRS_AT_ONCE = 64
 #: Rounds after the first; the last of them pairs what is left.
@@ -131,10 +131,28 @@ def likenesses(texts: pa.Array) -> np.ndarray:
     return np.divide(both, total - both, out=np.zeros(n), where=total > 0)
 
 
+def _sketches(marks: np.ndarray) -> np.ndarray:
+    """Some bits of every component of signatures, packed into longs."""
+    per_word = 64 // SKETCH_BITS
+    bits = np.pad(marks & np.uint64(2**SKETCH_BITS - 1), ((0, 0), (0, -marks.shape[1] % per_word)))
+    bits = bits.reshape(len(marks), -(-marks.shape[1] // per_word), per_word) << (np.arange(per_word, dtype=np.uint64) * np.uint64(SKETCH_BITS))
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
+def _reach(m: int, threshold: float) -> int:
+    """The largest distance in bits of sketches to be expected at ``threshold``; more comes about once in a million.
+
+    A component that differs, with chance ``1 - threshold``, differs in a binomial number of its bits.
+    """
+    differs, k = 1 - threshold, SKETCH_BITS
+    mean = differs * k / 2
+    return round(m * mean + DEVIATIONS * (m * (differs * (k + k * k) / 4 - mean * mean)) ** 0.5)
+
+
 def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     """``node, weight, keys, sketch`` for each row of ``node, text``; texts without words are left out.
 
-    ``sketch`` is a byte of every signature component.
+    ``sketch`` is ``SKETCH_BITS`` bits of every signature component, 64 to a long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +171,11 @@ def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                 values = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), values)
                 node = batch.column("node").slice(part.first, len(part)).take(pa.array(some))
-                size = marks.shape[1]
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array((marks[some] & np.uint64(0xFF)).astype(np.uint8).view(np.int8).ravel()))
+                sketches = _sketches(marks[some])
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * sketches.shape[1]), pa.array(sketches.ravel()))
                 yield pa.record_batch([node, pa.array(weight[some]), lists, sketch], names=["node", "weight", "keys", "sketch"])
 
-    return nodes.mapInArrow(run, "node long, weight long, keys array<long>, sketch array<tinyint>")
+    return nodes.mapInArrow(run, "node long, weight long, keys array<long>, sketch array<long>")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,8 +243,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
         return F.least(a, b) >= F.greatest(a, b) * threshold
 
     def agree(a: str, b: str) -> Column:
-        same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda at: at)
-        return F.size(same) >= round(AGREE * bands * rows)
+        longs = range(-(-bands * rows * SKETCH_BITS // 64))
+        return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in longs), F.lit(0)) <= _reach(bands * rows, threshold)
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         left = signed.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))

@@ -111,8 +111,13 @@ def test_signatures_are_unbiased():
     part = next(kernels.slices(pa.array(texts)))
     keys, owners, counts = near_dedup.bags(part)
     marks = near_dedup.signatures(keys, owners, counts, 2, 4096)
-    bags = [(keys[owners == k], counts[owners == k]) for k in (0, 1)]
-    assert abs((marks[0] == marks[1]).mean() - near_dedup.likeness(*bags)) < 0.04
+    one, two = (dict(zip(keys[owners == k], counts[owners == k], strict=True)) for k in (0, 1))
+    exact = sum(min(n, two.get(key, 0)) for key, n in one.items()) / sum(max(one.get(key, 0), two.get(key, 0)) for key in {*one, *two})
+    assert near_dedup.likenesses(pa.array([*texts, "", " "])).tolist() == [exact, 0.0]
+    assert abs((marks[0] == marks[1]).mean() - exact) < 0.04
+    sketches = near_dedup._sketches(marks[:, :150]).view(np.uint64)
+    apart = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(*sketches, strict=True))
+    assert apart == sum(bin((int(x) ^ int(y)) & 15).count("1") for x, y in marks[:, :150].T)
 
 
 def test_mixing(docs):
