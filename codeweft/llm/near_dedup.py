@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS, DEVIATIONS = 4, 4.8
 #: Pairs of texts held against each other in one go, which bounds memory.
 PAIRS_AT_ONCE = 64
-#: Rounds after the first; the last of them pairs what is left.
+#: Rounds after the first; the last of them joins what is left by residues.
 STAR_ROUNDS = 2
 
 
@@ -117,20 +117,72 @@ def _points(keys: np.ndarray, owners: np.ndarray, counts: np.ndarray, limit: np.
         level += 1
 
 
+def _paired_bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of texts 0 and 1, 2 and 3, and so on: hashes, pairs, sides and counts, ordered by pair and hash."""
+    found = [(keys, owners + part.first, counts) for part in kernels.slices(texts) for keys, owners, counts in [bags(part)]]
+    keys, owners, counts = (np.concatenate(column) for column in zip(*found, strict=True))
+    order = np.lexsort((keys, owners // 2))
+    return keys[order], owners[order] // 2, owners[order] % 2, counts[order]
+
+
 def likenesses(texts: pa.Array) -> np.ndarray:
     """Weighted Jaccard index of texts 0 and 1, 2 and 3, and so on; 0 where both are without words."""
     n = len(texts) // 2
-    found = [(keys, owners + part.first, counts) for part in kernels.slices(texts) for keys, owners, counts in [bags(part)]]
-    keys, owners, counts = (np.concatenate(column) for column in zip(*found, strict=True))
-    pair = owners // 2
+    keys, pair, _, counts = _paired_bags(texts)
     total = np.bincount(pair, weights=counts, minlength=n)
-    order = np.lexsort((keys, pair))
-    keys, pair, counts = keys[order], pair[order], counts[order]
     same = (keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])
     both = np.bincount(pair[1:][same], weights=np.minimum(counts[1:], counts[:-1])[same], minlength=n)
     return np.divide(both, total - both, out=np.zeros(n), where=total > 0)
 
 
+def residues(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What texts 0, 2, 4, ... have over their pivots, texts 1, 3, 5, ..., or lack: pairs, tokens, short, linked.
+
+    Texts differ by the size of their bags' difference; with ``c = (1 - threshold) / (1 + threshold)`` they are
+    linked if that is at most ``c`` times the sum of their sizes.  With residues ``x`` and ``y`` against one pivot
+    it is ``|x| + |y|`` less twice their overlap, so two texts are linked only if their residues overlap by half
+    of ``|x| - c * size`` plus the same of ``y``.  Tokens have one order for all, what is added before what is
+    lacking, and sets that overlap by ``t`` share one of their first ``size - t + 1`` tokens.  A text that is not
+    linked to the pivot has ``|x| > c * (size + pivot's size)``, hence these bounds: ``short`` tokens find partners
+    that are not linked to the pivot, and a text that is not linked has more tokens, which meet the short ones
+    of linked texts.  Two texts linked to the pivot need not meet, and the pivot itself has no token.
+    """
+    n = len(texts) // 2
+    keys, pair, side, counts = _paired_bags(texts)
+    own, pivot = (np.bincount(pair[side == k], weights=counts[side == k], minlength=n) for k in (0, 1))
+    none = np.zeros(0, np.int64)
+    if not len(keys):
+        return none, none, none.astype(bool), none.astype(bool)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1])
+    more = np.add.reduceat(np.where(side == 0, counts, -counts), np.flatnonzero(new))
+    keys, pair = keys[new][more != 0], pair[new][more != 0]
+    more = more[more != 0]
+    times = np.abs(more)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    tokens = kernels.mix64(np.repeat(keys, times) + np.uint64(0xD6E8FEB86659FD93) * (nth + 1).astype(np.uint64)) >> np.uint64(1)
+    tokens |= np.repeat(more < 0, times).astype(np.uint64) << np.uint64(63)
+    pair = np.repeat(pair, times)
+    order = np.lexsort((tokens, pair))
+    tokens, pair = tokens[order], pair[order]
+    size = np.bincount(pair, minlength=n)
+    rank = np.arange(len(pair)) - (np.cumsum(size) - size)[pair]
+
+    c = (1 - threshold) / (1 + threshold)
+    excess = size - c * own
+    linked = size <= c * (own + pivot) + 1e-9
+
+    def first(overlap: np.ndarray) -> np.ndarray:
+        return size - np.maximum(1, np.ceil(overlap - 1e-9)) + 1
+
+    short = first((excess + c * pivot) / 2)
+    within_reach = ~linked & (excess <= c * pivot + 2 * c * np.minimum(own, pivot) / threshold + 1e-9)
+    whole = np.where(within_reach, first((excess - c * pivot) / 2), short)
+    kept = rank < whole[pair]
+    pair, tokens, rank = pair[kept], tokens[kept], rank[kept]
+    return pair, tokens.view(np.int64), rank < short[pair], linked[pair]
+
+
 def _sketches(marks: np.ndarray) -> np.ndarray:
     """Some bits of every component of signatures, packed into longs."""
     per_word = 64 // SKETCH_BITS
@@ -196,6 +248,30 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, likeness double")
 
 
+def _meetings(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of a pivot's texts of different components whose residues are alike enough to be linked.
+
+    ``groups`` holds ``pivot, node, comp``.
+    """
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    sides = groups.where("node <> pivot").join(pivots, "pivot").join(texts, "node").select("pivot", "node", "comp", "text", "pivot_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.slice(low, PAIRS_AT_ONCE)
+                both = pa.concat_arrays([part.column("text"), part.column("pivot_text")])
+                pair, tokens, short, linked = residues(both.take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel())), threshold)
+                who = part.select(["pivot", "node", "comp"]).take(pa.array(pair))
+                yield pa.record_batch([*who.columns, pa.array(tokens), pa.array(short), pa.array(linked)], names=["pivot", "node", "comp", "token", "short", "linked"])
+
+    tokens = cut(sides.mapInArrow(run, "pivot long, node long, comp long, token long, short boolean, linked boolean"))
+    l, r = tokens.where("short").alias("l"), tokens.where("not linked").alias("r")
+    meet = (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
+    once = F.col("l.linked") | (F.col("r.short") & (F.col("l.node") < F.col("r.node")))
+    return l.join(r, meet & once).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` for the nodes of ``a, b`` links: the smallest node of each connected component.
 
@@ -219,9 +295,9 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     Copies of one text are one node from the start.  Round one holds each bucket's texts against its pivot, the
     text that meets most others over all bands, which in a group of copies is the likeliest original.  A
     further round takes the buckets whose texts are still in several components and holds one more of their
-    texts, unlike the pivot, against those of other components.  At last every two
-    texts of a bucket that are in different components are compared, but for those that the triangle
-    inequality of the Jaccard distance rules out by their known likeness to the bucket's pivot.  No round
+    texts, unlike the pivot, against those of other components.  At last the texts of a pivot that are in
+    different components are joined by what sets them apart from it, see ``residues``; no pair that could
+    reach ``threshold`` is left out.  No round
     compares texts whose signatures agree too seldom.  So the
     components are those of all pairs that share a bucket and reach ``threshold``; a pair at 0.8 shares none of
     32 bands of 5 with a chance of 3 in a million.
@@ -269,11 +345,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
             return labels
         open_members = cut(colored.join(span.select("key"), "key"))
         if turn == STAR_ROUNDS - 1:
-            sketched = cut(open_members.join(signed.select("node", "sketch"), "node"))
-            l, r = sketched.alias("l"), sketched.alias("r")
-            apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))
-            gap = F.coalesce(F.abs(F.col("l.likeness") - F.col("r.likeness")), F.lit(0.0)) <= 1 - threshold + 1e-9
-            pairs = l.join(r, apart & gap & heavy_enough("l.weight", "r.weight") & agree("l.sketch", "r.sketch")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            groups = cut(open_members.select("pivot", "node", "comp").distinct())
+            pairs = agreeing(_meetings(groups, texts, threshold))
         else:
             next_pivot = F.max(F.struct(F.coalesce(F.col("likeness"), F.lit(0.0)) < threshold, "met", "node", "weight", "comp"))
             second = cut(open_members.groupBy("key").agg(next_pivot.alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.weight").alias("w"), F.col("p.comp").alias("c")))
