@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
@@ -135,52 +135,44 @@ def likenesses(texts: pa.Array) -> np.ndarray:
     return np.divide(both, total - both, out=np.zeros(n), where=total > 0)
 
 
-def residues(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What texts 0, 2, 4, ... have over their pivots, texts 1, 3, 5, ..., or lack: pairs, tokens, short, linked.
+def residues(texts: pa.Array, threshold: float) -> tuple[np.ndarray, ...]:
+    """What texts 0, 2, 4, ... have over their pivots, texts 1, 3, 5, ..., or lack.
 
-    Texts differ by the size of their bags' difference; with ``c = (1 - threshold) / (1 + threshold)`` they are
-    linked if that is at most ``c`` times the sum of their sizes.  With residues ``x`` and ``y`` against one pivot
-    it is ``|x| + |y|`` less twice their overlap, so two texts are linked only if their residues overlap by half
-    of ``|x| - c * size`` plus the same of ``y``.  Tokens have one order for all, what is added before what is
-    lacking, and sets that overlap by ``t`` share one of their first ``size - t + 1`` tokens.  A text that is not
-    linked to the pivot has ``|x| > c * (size + pivot's size)``, hence these bounds: ``short`` tokens find partners
-    that are not linked to the pivot, and a text that is not linked has more tokens, which meet the short ones
-    of linked texts.  Two texts linked to the pivot need not meet, and the pivot itself has no token.
+    Returned are the tokens' pairs, the tokens, and by pair the number of tokens, what it exceeds ``c * size`` by,
+    how many tokens are short, how many are needed at all, and whether the text is linked to its pivot.  Texts differ by the size of their bags' difference; with
+    ``c = (1 - threshold) / (1 + threshold)`` they are linked if that is at most ``c`` times the sum of their
+    sizes.  With residues ``x`` and ``y`` against one pivot it is ``|x| + |y|`` less twice their overlap, so two
+    texts are linked only if their residues overlap by half of ``|x| - c * size`` plus the same of ``y``.  In
+    whatever order, sets that overlap by ``t`` share one of their first ``size - t + 1`` tokens.  A text that is
+    not linked to the pivot has ``|x| > c * (size + pivot's size)``, hence these bounds: short tokens find
+    partners that are not linked to the pivot, and a text that is not linked needs more tokens, which meet the
+    short ones of linked texts.  Two texts linked to the pivot need not meet, and the pivot has no token.
     """
     n = len(texts) // 2
     keys, pair, side, counts = _paired_bags(texts)
     own, pivot = (np.bincount(pair[side == k], weights=counts[side == k], minlength=n) for k in (0, 1))
-    none = np.zeros(0, np.int64)
-    if not len(keys):
-        return none, none, none.astype(bool), none.astype(bool)
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1])
-    more = np.add.reduceat(np.where(side == 0, counts, -counts), np.flatnonzero(new))
+    more = np.add.reduceat(np.where(side == 0, counts, -counts), np.flatnonzero(new)) if len(keys) else counts
     keys, pair = keys[new][more != 0], pair[new][more != 0]
     more = more[more != 0]
     times = np.abs(more)
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    tokens = kernels.mix64(np.repeat(keys, times) + np.uint64(0xD6E8FEB86659FD93) * (nth + 1).astype(np.uint64)) >> np.uint64(1)
-    tokens |= np.repeat(more < 0, times).astype(np.uint64) << np.uint64(63)
+    lacks = np.repeat(more < 0, times).astype(np.uint64)
+    tokens = kernels.mix64(np.repeat(keys, times) + np.uint64(0xD6E8FEB86659FD93) * (2 * nth + 1).astype(np.uint64) + lacks)
     pair = np.repeat(pair, times)
-    order = np.lexsort((tokens, pair))
-    tokens, pair = tokens[order], pair[order]
     size = np.bincount(pair, minlength=n)
-    rank = np.arange(len(pair)) - (np.cumsum(size) - size)[pair]
 
     c = (1 - threshold) / (1 + threshold)
     excess = size - c * own
     linked = size <= c * (own + pivot) + 1e-9
 
     def first(overlap: np.ndarray) -> np.ndarray:
-        return size - np.maximum(1, np.ceil(overlap - 1e-9)) + 1
+        return (size - np.maximum(1, np.ceil(overlap - 1e-9)) + 1).astype(np.int64)
 
     short = first((excess + c * pivot) / 2)
     within_reach = ~linked & (excess <= c * pivot + 2 * c * np.minimum(own, pivot) / threshold + 1e-9)
-    whole = np.where(within_reach, first((excess - c * pivot) / 2), short)
-    kept = rank < whole[pair]
-    pair, tokens, rank = pair[kept], tokens[kept], rank[kept]
-    return pair, tokens.view(np.int64), rank < short[pair], linked[pair]
+    return pair, tokens.view(np.int64), size, excess, short, np.where(within_reach, first((excess - c * pivot) / 2), short), linked
 
 
 def _sketches(marks: np.ndarray) -> np.ndarray:
@@ -251,7 +243,8 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _meetings(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of a pivot's texts of different components whose residues are alike enough to be linked.
 
-    ``groups`` holds ``pivot, node, comp``.
+    ``groups`` holds ``pivot, node, comp``.  Tokens are taken rarest first, so that what many copies have added
+    or lack makes few pairs; the first token that a pair shares leaves room for an overlap of ``rest`` at most.
     """
     pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
     sides = groups.where("node <> pivot").join(pivots, "pivot").join(texts, "node").select("pivot", "node", "comp", "text", "pivot_text")
@@ -261,15 +254,21 @@ def _meetings(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFram
             for low in range(0, len(batch), PAIRS_AT_ONCE):
                 part = batch.slice(low, PAIRS_AT_ONCE)
                 both = pa.concat_arrays([part.column("text"), part.column("pivot_text")])
-                pair, tokens, short, linked = residues(both.take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel())), threshold)
+                pair, tokens, *bounds = residues(both.take(pa.array(np.arange(2 * len(part)).reshape(2, -1).T.ravel())), threshold)
                 who = part.select(["pivot", "node", "comp"]).take(pa.array(pair))
-                yield pa.record_batch([*who.columns, pa.array(tokens), pa.array(short), pa.array(linked)], names=["pivot", "node", "comp", "token", "short", "linked"])
-
-    tokens = cut(sides.mapInArrow(run, "pivot long, node long, comp long, token long, short boolean, linked boolean"))
+                yield pa.record_batch([*who.columns, pa.array(tokens), *(pa.array(bound[pair]) for bound in bounds)], names=names)
+
+    names = ["pivot", "node", "comp", "token", "size", "excess", "n_short", "n_needed", "linked"]
+    tokens = cut(sides.mapInArrow(run, "pivot long, node long, comp long, token long, size long, excess double, n_short long, n_needed long, linked boolean"))
+    often = tokens.groupBy("pivot", "token").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("pivot", "node").orderBy("often", "token")
+    ranked = tokens.join(often, ["pivot", "token"]).withColumn("rank", F.row_number().over(rarest)).where("rank <= n_needed and often > 1")
+    tokens = cut(ranked.select("pivot", "node", "comp", "token", "linked", "excess", F.expr("size - rank + 1").alias("rest"), F.expr("rank <= n_short").alias("short")))
     l, r = tokens.where("short").alias("l"), tokens.where("not linked").alias("r")
     meet = (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
     once = F.col("l.linked") | (F.col("r.short") & (F.col("l.node") < F.col("r.node")))
-    return l.join(r, meet & once).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    enough = F.least("l.rest", "r.rest") >= (F.col("l.excess") + F.col("r.excess")) / 2 - 1e-9
+    return l.join(r, meet & once & enough).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -199,3 +199,30 @@ def test_toxicity(spark):
     assert min(scores[1000], scores[1001], scores[0]) >= 0.7 > max(scores[1002], scores[1003], scores[1004], scores[1])
     empty = docs.limit(0)
     assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0))).count() == 0
+
+
+def test_residues_leave_out_no_link():
+    """Texts against one pivot: every pair from 0.8 meets in a short token that leaves room for the overlap."""
+    pick = random.Random(5)
+    base = [f"w{pick.randrange(500)}" for _ in range(120)]
+
+    def edited(words, share):
+        return [f"w{pick.randrange(500)}" if pick.random() < share else w for w in words]
+
+    seeds = [edited(base, share) for share in (0.01, 0.03, 0.05, 0.08)]
+    texts = [edited(pick.choice(seeds), pick.choice((0.005, 0.02, 0.06))) for _ in range(40)]
+    texts = [" ".join(t[: pick.randrange(80, 140)] + t[: pick.randrange(5)]) for t in texts]
+    pair, tokens, size, excess, short, needed, linked = near_dedup.residues(pa.array([side for t in texts for side in (t, " ".join(base))]), 0.8)
+    often = collections.Counter(tokens.tolist())
+    ranked = [sorted(tokens[pair == k].tolist(), key=lambda x: (often[x], x)) for k in range(len(texts))]
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked[i] and linked[j] or near_dedup.likenesses(pa.array([texts[i], texts[j]]))[0] < 0.8:
+                continue
+            links += 1
+            a, b = (i, j) if linked[i] else (j, i)
+            more = needed[b] if linked[a] else short[b]
+            shared = set(ranked[a][: short[a]]) & set(ranked[b][:more])
+            assert any(min(size[a] - ranked[a].index(x), size[b] - ranked[b].index(x)) >= (excess[a] + excess[b]) / 2 - 1e-9 for x in shared)
+    assert links
