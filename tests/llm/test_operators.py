@@ -1,7 +1,9 @@
 """Operators on small tables: nulls, empty texts, repeated rows, clashing columns, brute force."""
 
+import collections
 import hashlib
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
