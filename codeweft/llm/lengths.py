@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm.encoding import byte_encoding
+from codeweft.llm.frames import cut
 
 #: Lengths that share one block of the two-level suffix sums.
 BLOCK = 1024
@@ -19,6 +20,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``length, n_docs``: how many texts encode to so many tokens; null and empty texts have length 0.
 
     ``tokenizer`` is a file of byte-level ranks.  Each task counts its own rows, so what is shuffled is one row for each length and task.
+    The histogram is written, so that no text is encoded again for each of its uses.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +31,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
         yield pa.record_batch([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["length", "n"])
 
     counted = docs.select("text").mapInArrow(run, "length long, n long")
-    return counted.groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return cut(counted.groupBy("length").agg(F.sum("n").alias("n_docs")))
 
 
 def answers(hist: DataFrame) -> DataFrame:
