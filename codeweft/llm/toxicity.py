@@ -3,8 +3,10 @@
 Words that may be disguised (letters mixed with digits or symbols, letters repeated three times, letters set
 apart by blanks) are read as lattices: each run of a character stands for itself, for the letters it
 resembles, for fewer of itself, or for nothing, at a cost.  A Viterbi search under a character trigram model of
-all documents picks the likeliest word.  A word with one path through its lattice is its own reading.  The
-restored text is scored with a lexicon of words and word beginnings learnt from labelled texts.
+all documents picks the likeliest word.  A word with one path through its lattice is its own reading.  Between
+letters set apart a word may end or go on, and so at every blank between words: the same model decides, and words
+that go on across blanks are added to the text.  The restored text is scored with a lexicon of words and word
+beginnings learnt from labelled texts.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ MIN_WEIGHT = 2.5
 #: Log odds taken off, so that one word seen in a handful of toxic texts isn't enough.
 MARGIN = 1.5
 MEMO = 200_000
+#: What a blank inside a word costs, where its pieces aren't all single characters.
+JOIN = 3.0
+#: What a word's end costs between letters set apart, besides the model's price; every reading counts.
+ENDS = (0.0, 1.0, 2.0, 4.0)
 
 #: What characters may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -87,15 +93,17 @@ class Channel:
         out = [(c * k, 1.0 + 0.5 * (times > 1)) for c in LOOKS.get(char, "") for k in range(1, min(times, 2) + 1)]
         return [*out, ("", 6.0 if char.isdigit() else 0.7)]
 
-    def restore(self, word: str) -> str:
-        known = self._memo.get(word)
+    def restore(self, word: str, end: float | None = None) -> str:
+        """The likeliest reading; given the price of an ``end`` between any two characters, it may be several words."""
+        key = word if end is None else f"{end} {word}"
+        known = self._memo.get(key)
         if known is None:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
-            known = self._memo[word] = self._search(word)
+            known = self._memo[key] = self._search(word, end)
         return known
 
-    def _search(self, word: str) -> str:
+    def _search(self, word: str, end: float | None) -> str:
         beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         i = 0
         while i < len(word):
@@ -104,12 +112,18 @@ class Channel:
                 times += 1
             after: dict[tuple[int, int], tuple[float, str]] = {}
             options = self.readings(word[i], times)
+            if end is not None:
+                options = [*options, *((f"{r[:k]} {r[k:]}", price + end) for r, price in options for k in range(len(r)))]
+                if word[i].isalpha() and times > 1:
+                    options += [(blank + " ".join(word[i] * times), end * (times - (not blank))) for blank in ("", " ")]
             for (a, b), (cost, text) in beams.items():
                 for reading, price in options:
+                    if reading[:1] == " " and text[-1:] in ("", " "):
+                        continue
                     total, x, y = cost + price, a, b
                     for c in reading:
                         z = _CODE.get(c, 0)
-                        total += self.cost[x, y, z] if z else 8.0
+                        total += self.cost[x, y, z] if z or c == " " else 8.0
                         x, y = y, z
                     if (x, y) not in after or total < after[x, y][0]:
                         after[x, y] = (total, text + reading)
@@ -118,8 +132,42 @@ class Channel:
         return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in beams.items())[1]
 
 
+def across(texts: list[str], channel: Channel) -> list[tuple[int, str]]:
+    """Words that go on across blanks, with their texts.
+
+    Pieces of two letters or more part the decisions from each other, so that comparing both sides of one blank
+    is the Viterbi search; for a single letter both its blanks are compared at once too.
+    """
+    offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    starts, ends, owner = kernels.runs(kernels.letters()[points], offsets)
+    if len(starts) < 2:
+        return []
+    blank = np.append(0, np.cumsum((points == 0x20) | ((points >= 0x09) & (points <= 0x0D))))
+    first, last, one = _CODES[points[starts]], _CODES[points[ends - 1]], ends - starts == 1
+    second = np.where(one, 0, _CODES[points[np.minimum(starts + 1, len(points) - 1)]])
+    before = np.where(one, 0, _CODES[points[np.maximum(ends - 2, 0)]])
+    open_ = (owner[1:] == owner[:-1]) & (blank[starts[1:]] - blank[ends[:-1]] == starts[1:] - ends[:-1]) & (last[:-1] > 0) & (first[1:] > 0)
+    cost, a, b, c, d = channel.cost, before[:-1], last[:-1], first[1:], second[1:]
+    gain = np.where(open_, cost[a, b, 0] + cost[b, 0, c] + cost[0, c, d] - cost[a, b, c] - cost[b, c, d] - JOIN, -np.inf)
+    joined = gain > 0
+    k = np.flatnonzero(one[1:-1] & open_[:-1] & open_[1:]) + 1
+    a, b, c, d, e = before[k - 1], last[k - 1], first[k], first[k + 1], second[k + 1]
+    both = cost[a, b, 0] + cost[b, 0, c] + cost[0, c, 0] + cost[c, 0, d] + cost[0, d, e] - cost[a, b, c] - cost[b, c, d] - cost[c, d, e] - 2 * JOIN
+    whole = (both > 0) & (both > np.maximum(gain[k - 1], gain[k]))
+    lesser = np.where(gain[k - 1] < gain[k], k - 1, k)[~whole]
+    joined[lesser] = False  # a letter that goes with one side only goes with the better one
+    joined[np.append(k[whole] - 1, k[whole])] = True
+    edge = np.diff(np.concatenate([[0], joined.view(np.int8), [0]]))
+    out = []
+    for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        text = int(owner[i])
+        out.append((text, "".join(texts[text][int(starts[i] - offsets[text]) : int(ends[j] - offsets[text])].split())))
+    return out
+
+
 def restored(part: kernels.Slice, channel: Channel) -> list[str]:
-    """The slice's texts, lower-cased, with disguised words replaced by their readings."""
+    """The slice's texts, lower-cased, with disguised words replaced by their readings and joined words added."""
     data = part.data
     raw = data.tobytes()
     starts, ends, owner = part.words()
@@ -138,25 +186,31 @@ def restored(part: kernels.Slice, channel: Channel) -> list[str]:
     if len(alone):
         breaks = np.flatnonzero((np.diff(alone) != 1) | (np.diff(owner[alone]) != 0)) + 1
         for run in np.split(alone, breaks):
-            if len(run) >= 4 and letters[ends[run[-1]]] > letters[starts[run[0]]]:
+            if len(run) >= 2 and letters[ends[run[-1]]] > letters[starts[run[0]]]:
                 groups.append((int(run[0]), int(run[-1]) + 1))
     groups.sort()
     by_text: dict[int, list[tuple[int, int]]] = {}
     for first, last in groups:
         by_text.setdefault(int(owner[first]), []).append((first, last))
-    out = []
+    out: list[str] = []
+    extra: list[list[str]] = []
     for i, (a, b) in enumerate(zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist(), strict=True)):
-        pieces, at = [], a
+        pieces, at, more = [], a, []
         for first, last in by_text.get(i, ()):
             low, high = int(starts[first]), int(ends[last - 1])
             word = raw[low:high].decode("utf-8", "replace").lower()
-            if last - first > 1:
+            apart = last - first > 1
+            if apart:
                 word = "".join(word.split())
-            pieces += [raw[at:low].decode("utf-8", "replace").lower(), channel.restore(word)]
+                more += {channel.restore(word, end): 0 for end in (*ENDS[1:], None)}
+            pieces += [raw[at:low].decode("utf-8", "replace").lower(), channel.restore(word, ENDS[0] if apart else None)]
             at = high
         pieces.append(raw[at:b].decode("utf-8", "replace").lower())
         out.append("".join(pieces))
-    return out
+        extra.append(more)
+    for i, word in across(out, channel):
+        extra[i].append(word)
+    return ["\n".join([text, *more]) for text, more in zip(out, extra, strict=True)]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -228,3 +228,21 @@ def test_residues_leave_out_no_link():
             shared = set(ranked[a][: short[a]]) & set(ranked[b][:more])
             assert any(min(size[a] - ranked[a].index(x), size[b] - ranked[b].index(x)) >= (excess[a] + excess[b]) / 2 - 1e-9 for x in shared)
     assert links
+
+
+def test_toxicity_spacing():
+    """Viterbi decides where words begin among letters set apart and across blanks."""
+    words = "a a a you are u r garden window letter the is of such an summer morning moron moron loser loser idiot idiot".split()
+    pick = random.Random(2)
+    corpus = pa.array([" ".join(pick.choice(words) for _ in range(4000))])
+    code = toxicity._CODES[kernels.code_points(next(kernels.slices(corpus)))[0]]
+    counts = np.bincount((code[:-2] * toxicity.SYMBOLS + code[1:-1]) * toxicity.SYMBOLS + code[2:], minlength=toxicity.SYMBOLS**3)
+    channel = toxicity.Channel(counts.reshape((toxicity.SYMBOLS,) * 3))
+
+    def read(text):
+        return set(toxicity.restored(next(kernels.slices(pa.array([text]))), channel)[0].split())
+
+    assert "moron" in read("you are a m o r o n") and "moron" in read("such a mo ron") and "moron" in read("the m oron")
+    assert "loser" in read("u r a l o s e r") and "loser" in read("y o u a r e a l o s e r")
+    assert "idiot" in read("an id i ot") and "idiot" in read("an 1d i 0t") and "idiot" in read("id iot")
+    assert read("the garden is a summer window") == {"the", "garden", "is", "a", "summer", "window"}
