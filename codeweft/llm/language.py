@@ -8,6 +8,7 @@ that a filter as full as this one gives by chance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,8 @@ from codeweft.llm.frames import cut
 
 UNKNOWN = "und"
 WIDTHS = (3, 4)
-#: Rows of the filter (a power of two), and rows looked at for each n-gram.
-ROWS, PROBES = 1 << 18, 3
-#: N-grams kept for each language, the most frequent first: the capacity of the filters.
-CAPACITY = 20_000
+#: Rows looked at for each n-gram, and the chance at most that the fullest filter has an n-gram it wasn't given.
+PROBES, FALSE_POSITIVES = 3, 0.005
 #: An n-gram belongs to a language where its share is at least this part of its share in any language.
 BELONGS = 0.2
 MAX_LANGUAGES = 4096
@@ -67,6 +66,19 @@ def grams(part: kernels.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners), np.bincount(owner, minlength=len(part)) > 0
 
 
+def rows_for(members: int) -> int:
+    """Rows (a power of two) that hold so many n-grams of one language at ``FALSE_POSITIVES``."""
+    least = -PROBES * members / math.log1p(-(FALSE_POSITIVES ** (1 / PROBES)))
+    return 1 << max(10, math.ceil(math.log2(max(1.0, least))))
+
+
+def probed(keys: np.ndarray, probe: int, rows: int) -> np.ndarray:
+    """The row that each n-gram has at this probe."""
+    width = rows.bit_length() - 1
+    places = keys >> np.uint64(width * probe) if width * PROBES <= 64 else kernels.mix64(keys + np.uint64(probe))
+    return (places & np.uint64(rows - 1)).astype(np.int64)
+
+
 @dataclass
 class Filters:
     languages: list[str]
@@ -74,25 +86,15 @@ class Filters:
     chance: np.ndarray
 
     @classmethod
-    def build(cls, languages: list[str], members: list[tuple[int, int]]) -> "Filters":
-        """``members``: language number and n-gram hash."""
-        bits = np.zeros((ROWS, (len(languages) + 63) // 64), np.uint64)
-        number = np.array([m[0] for m in members], np.int64)
-        keys = np.array([m[1] for m in members], np.int64).view(np.uint64)
-        for probe in range(PROBES):
-            np.bitwise_or.at(bits, (cls.rows(keys, probe), number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+    def of(cls, languages: list[str], bits: np.ndarray) -> "Filters":
         full = np.array([(bits[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(languages))])
         return cls(languages, bits, full**PROBES)
 
-    @staticmethod
-    def rows(keys: np.ndarray, probe: int) -> np.ndarray:
-        return ((keys >> np.uint64(18 * probe)) & np.uint64(ROWS - 1)).astype(np.int64)
-
     def counts(self, keys: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
         """Corrected n-gram counts by text and language."""
-        found = self.bits[self.rows(keys, 0)]
+        found = self.bits[probed(keys, 0, len(self.bits))]
         for probe in range(1, PROBES):
-            found &= self.bits[self.rows(keys, probe)]
+            found &= self.bits[probed(keys, probe, len(self.bits))]
         total = np.bincount(owners, minlength=n)
         out = np.empty((n, len(self.languages)))
         for k, chance in enumerate(self.chance):
@@ -102,7 +104,11 @@ class Filters:
 
 
 def learn(examples: DataFrame) -> Filters:
-    """Filters from ``text, lang`` rows; rows with a null in either are left out."""
+    """Filters from ``text, lang`` rows; rows with a null in either are left out.
+
+    Every n-gram that belongs to a language enters its filter, whose rows are sized by a count.  The bits are put
+    together by Spark; the driver gets the finished table, 8 bytes for a row and 64 languages.
+    """
     rows = examples.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +133,27 @@ def learn(examples: DataFrame) -> Filters:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [r["lang"] for r in sorted(totals, key=lambda r: (-r["total"], r["lang"]))]
     if not languages:
-        return Filters([], np.zeros((ROWS, 0), np.uint64), np.zeros(0))
-    sizes = examples.sparkSession.createDataFrame([tuple(r) for r in totals], "lang string, total long")
+        return Filters([], np.zeros((rows_for(0), 0), np.uint64), np.zeros(0))
+    total = {r["lang"]: r["total"] for r in totals}
+    sizes = examples.sparkSession.createDataFrame([(lang, k, total[lang]) for k, lang in enumerate(languages)], "lang string, number int, total long")
     shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("total"))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    own = shares.join(most, "gram").where(F.col("share") >= BELONGS * F.col("most"))
-    members: list[tuple[int, int]] = []
-    for number, lang in enumerate(languages):
-        top = own.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").select("gram").limit(CAPACITY).collect()
-        members += [(number, r["gram"]) for r in top]
-    return Filters.build(languages, members)
+    own = cut(shares.join(most, "gram").where(F.col("share") >= BELONGS * F.col("most")).select("number", "gram"))
+    most_members = own.groupBy("number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    rows_n = rows_for(most_members or 0)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("number").to_numpy()
+            keys = batch.column("gram").to_numpy().view(np.uint64)
+            at = np.concatenate([probed(keys, probe, rows_n) for probe in range(PROBES)])
+            bit = (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)
+            yield pa.record_batch([pa.array(at), pa.array(np.tile(number // 64, PROBES).astype(np.int32)), pa.array(np.tile(bit, PROBES))], names=["at", "word", "bits"])
+
+    placed = own.mapInArrow(places, "at long, word int, bits long").groupBy("at", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros((rows_n, (len(languages) + 63) // 64), np.uint64)
+    bits[placed["at"].to_numpy(), placed["word"].to_numpy()] = placed["bits"].to_numpy().view(np.uint64)
+    return Filters.of(languages, bits)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -246,3 +246,23 @@ def test_toxicity_spacing():
     assert "loser" in read("u r a l o s e r") and "loser" in read("y o u a r e a l o s e r")
     assert "idiot" in read("an id i ot") and "idiot" in read("an 1d i 0t") and "idiot" in read("id iot")
     assert read("the garden is a summer window") == {"the", "garden", "is", "a", "summer", "window"}
+
+
+def test_language_keeps_rare_grams(spark):
+    """A large alphabet has far more than 20,000 n-grams, most of them seen once; each must be found."""
+    pick = random.Random(4)
+    names = ["".join(chr(pick.randrange(0x4E00, 0x9F00)) for _ in range(3)) for _ in range(9000)]
+    plain = ["der hund und die katze gehen in den garten"] * 9000
+    rows = [(" ".join(names[i : i + 30]), "zh") for i in range(0, len(names), 30)] + [(" ".join(plain[i : i + 30]), "de") for i in range(0, len(plain), 30)]
+    learnt = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    new = spark.createDataFrame([(i, n) for i, n in enumerate(names[::9])], "doc_id long, text string")
+    assert language.predict(new, learnt).where("lang_pred = 'zh' and score > 0.5").count() == len(names[::9])
+    assert learnt.languages[0] == "de" and learnt.chance.max() <= language.FALSE_POSITIVES
+
+
+@pytest.mark.parametrize("rows", [1 << 10, 1 << 18, 1 << 21, 1 << 23])
+def test_probes_are_spread(rows):
+    keys = kernels.mix64(np.arange(5000))
+    places = [language.probed(keys, probe, rows) for probe in range(language.PROBES)]
+    assert all(0 <= p.min() and p.max() < rows and p.max() > 0.99 * rows for p in places)
+    assert abs(np.corrcoef(places)[np.triu_indices(3, 1)]).max() < 0.1
