@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_score
+from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_score, test_paths
 from codeweft.operators.graph import traverse
 from codeweft.scratch import cut
 
 
 def impact(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
-    """For every target: callers (rows of depth and edge), entry points that reach it, callers in test files,
-    direct callers outside of them, risk and confidence.  Targets without callers are given too.
+    """For every target: callers (rows of depth and edge), entry points that reach it, callers' files that have a
+    test among the symbols' files, caller rows without such a test, risk and confidence.  Targets without callers
+    are given too.
     """
     walk = cut(traverse(edges, targets, max_depth=depth, reverse=True, symbols=symbols))
-    callers = walk.groupBy("source").agg(F.count("*").alias("n_callers"))
-    reached = walk.select("source", F.col("from_fqn").alias("fqn")).distinct()
-    reached = reached.join(symbols.select("fqn", "file_path"), "fqn")
-    hits = entries.select(F.col("symbol_fqn").alias("fqn")).join(reached, "fqn").groupBy("source").agg(F.count("*").alias("n_entries"))
+    files = symbols.where("file_path is not null").select("file_path").distinct()
+    found = files.select("file_path", F.explode(test_paths(F.col("file_path"))).alias("test_path"))
+    tested = found.join(files.withColumnRenamed("file_path", "test_path"), "test_path", "left_semi").select("file_path").distinct()
+    covered = symbols.join(tested, "file_path", "left_semi").select(F.col("fqn").alias("from_fqn"), "file_path").distinct()
+    tests = walk.select("source", "from_fqn").distinct().join(covered, "from_fqn").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
+    missing = walk.join(covered, "from_fqn", "left_anti").groupBy("source").agg(F.count("*").alias("n_untested"))
+    return _judged(symbols, entries, targets, walk, (tests, missing))
+
+
+def impact_by_own_files(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
+    """As ``impact``, but tests are the distinct callers in test files, and untested the distinct callers outside of them."""
+    walk = cut(traverse(edges, targets, max_depth=depth, reverse=True, symbols=symbols))
+    reached = walk.select("source", F.col("from_fqn").alias("fqn")).distinct().join(symbols.select("fqn", "file_path"), "fqn")
     test = is_test_file(F.col("file_path"))
     tests = reached.groupBy("source").agg(F.count_if(test).alias("n_tests"), F.count_if(~test).alias("n_untested"))
+    return _judged(symbols, entries, targets, walk, (tests,))
+
+
+def _judged(symbols: DataFrame, entries: DataFrame, targets: DataFrame, walk: DataFrame, tests: tuple[DataFrame, ...]) -> DataFrame:
+    callers = walk.groupBy("source").agg(F.count("*").alias("n_callers"))
+    reached = walk.select("source", F.col("from_fqn").alias("fqn")).distinct().join(symbols.select("fqn"), "fqn")
+    hits = entries.select(F.col("symbol_fqn").alias("fqn")).join(reached, "fqn").groupBy("source").agg(F.count("*").alias("n_entries"))
     zero = F.lit(0).cast("long")
     joined = targets.select(F.col("fqn").alias("source")).distinct()
-    for part in (callers, hits, tests):
+    for part in (callers, hits, *tests):
         joined = joined.join(part, "source", "left")
     joined = joined.select("source", *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_entries", "n_tests", "n_untested")])
     score = risk_score(F.col("n_callers"), F.col("n_entries"), F.col("n_untested"))

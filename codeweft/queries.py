@@ -11,7 +11,7 @@ from codeweft.fixtures import frame, with_views
 from codeweft.functions import scalars
 from codeweft.operators import graph, lookup, measures, relations, vectors
 from codeweft.plans import rules
-from codeweft.plans.impact import impact
+from codeweft.plans.impact import impact, impact_by_own_files
 from codeweft.streaming.limits import limited
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +142,28 @@ SELECT source, n_callers, n_entries, n_tests, n_untested, risk_score, CASE WHEN
 
 @query("i6_impact_batch", _IMPACT, recursive=True)
 def impact_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Impact of a change in every part method."""
+    """Impact of a change in every part method; tests are callers in test files, as the SQL has it."""
+    targets = frame(spark, d, "part_method").select("fqn")
+    out = impact_by_own_files(frame(spark, d, "symbols"), frame(spark, d, "edges"), frame(spark, d, "entry_points"), targets)
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+_IMPACT_TESTS = """WITH calls AS (SELECT DISTINCT from_fqn, to_fqn FROM edges WHERE relation = 'calls' AND from_fqn IN (SELECT fqn FROM symbols)),
+targets AS (SELECT fqn AS source FROM part_method),
+walk AS (SELECT t.source, 0 AS depth, c.from_fqn, c.to_fqn FROM targets t JOIN calls c ON c.to_fqn = t.source UNION SELECT w.source, w.depth + 1, c.from_fqn, c.to_fqn FROM walk w JOIN calls c ON c.to_fqn = w.from_fqn WHERE w.depth < 5),
+files AS (SELECT DISTINCT file_path FROM symbols WHERE file_path IS NOT NULL),
+tested AS (SELECT DISTINCT file_path FROM files, (VALUES ('Test'), ('Tests'), ('IT')) t(suffix) WHERE contains(file_path, '/main/java/') AND regexp_replace(replace(file_path, '/main/java/', '/test/java/'), '\\.java$', '') || suffix || '.java' IN (SELECT file_path FROM files)),
+rows_of AS (SELECT w.source, w.from_fqn, s.file_path, coalesce(s.file_path IN (SELECT file_path FROM tested), false) AS has_test FROM walk w JOIN symbols s ON s.fqn = w.from_fqn),
+counted AS (SELECT source, count(*) AS n_callers, count(DISTINCT file_path) FILTER (has_test) AS n_tests, count(*) FILTER (NOT has_test) AS n_untested FROM rows_of GROUP BY source),
+reaching AS (SELECT source, count(*) AS n_entries FROM (SELECT DISTINCT source, from_fqn FROM walk) JOIN entry_points ON symbol_fqn = from_fqn GROUP BY source),
+base AS (SELECT source, coalesce(n_callers, 0) AS n_callers, coalesce(n_entries, 0) AS n_entries, coalesce(n_tests, 0) AS n_tests, coalesce(n_untested, 0) AS n_untested FROM targets LEFT JOIN counted USING (source) LEFT JOIN reaching USING (source)),
+scored AS (SELECT *, CAST(CASE WHEN n_callers > 20 THEN 30 WHEN n_callers > 10 THEN 20 WHEN n_callers > 5 THEN 10 ELSE 0 END + CASE WHEN n_entries > 5 THEN 50 WHEN n_entries > 2 THEN 40 WHEN n_entries > 0 THEN 30 ELSE 0 END + CASE WHEN n_untested > 5 THEN 20 WHEN n_untested > 2 THEN 15 WHEN n_untested > 0 THEN 10 ELSE 0 END AS INT) AS risk_score FROM base)
+SELECT source, n_callers, n_entries, n_tests, n_untested, risk_score, CASE WHEN risk_score >= 70 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, round(least(1.0::DOUBLE, 0.5::DOUBLE + least(0.05::DOUBLE * n_callers, 0.3::DOUBLE) + least(0.1::DOUBLE * n_tests, 0.2::DOUBLE)), 6) AS confidence FROM scored"""
+
+
+@query("i6_impact_tests", _IMPACT_TESTS, recursive=True)
+def impact_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Impact of a change in every part method, with the tests found for the callers' files."""
     targets = frame(spark, d, "part_method").select("fqn")
     out = impact(frame(spark, d, "symbols"), frame(spark, d, "edges"), frame(spark, d, "entry_points"), targets)
     return out.withColumn("confidence", F.round("confidence", 6))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars
 from codeweft.operators import graph, relations
 from codeweft.plans import rules
+from codeweft.plans.impact import impact
 from codeweft.sources import classes
 from codeweft.streaming.limits import limited
 
@@ -62,3 +63,13 @@ def test_limiter_counts_accepted_requests_only(spark):
     rows = [(i, "c", start + dt.timedelta(milliseconds=900 * i)) for i in range(24)]
     got = {r["request_id"]: r["allowed"] for r in limited(spark.createDataFrame(rows, "request_id long, client string, ts timestamp")).collect()}
     assert [i for i in got if not got[i]] == [10, 11, 22, 23] or sorted(i for i in got if not got[i]) == [10, 11, 22, 23]
+
+
+def test_impact_finds_tests_by_path(spark):
+    main = "src/main/java/p/"
+    symbols = [("p.T.t()", None), ("p.A.a()", main + "A.java"), ("p.A.b()", main + "A.java"), ("p.B.b()", main + "B.java"), ("p.C.c()", None), ("p.ATest.x()", "src/test/java/p/ATest.java"), ("p.AIT.x()", "src/test/java/p/AIT.java")]
+    edges = [("p.A.a()", "p.T.t()"), ("p.A.b()", "p.T.t()"), ("p.B.b()", "p.T.t()"), ("p.B.b()", "p.A.a()"), ("p.C.c()", "p.B.b()"), ("p.ATest.x()", "p.A.a()")]
+    frames = [spark.createDataFrame(symbols, "fqn string, file_path string"), spark.createDataFrame([(*e, "calls") for e in edges], "from_fqn string, to_fqn string, relation string"), spark.createDataFrame([("p.C.c()",)], "symbol_fqn string")]
+    got = impact(*frames, spark.createDataFrame([("p.T.t()",), ("p.C.c()",)], "fqn string")).orderBy("source").collect()
+    assert [tuple(r)[:6] for r in got] == [("p.C.c()", 0, 0, 0, 0, 0), ("p.T.t()", 7, 1, 1, 5, 55)]
+    assert got[1]["risk_level"] == "HIGH" and abs(got[1]["confidence"] - 0.9) < 1e-9
