@@ -40,6 +40,7 @@ VIEWS = {
         UNION ALL SELECT from_fqn, 'http', to_fqn, 'weak' FROM edges WHERE from_fqn LIKE 'dao.%'""",
     "summaries": "SELECT fqn AS target_fqn, 'method' AS level, p_name AS summary, p_size > 25 AS is_stale FROM part_method",
     "glossary": "SELECT p_type AS code_term, min(p_name) AS business_meaning, min(p_brand) AS first_brand, count(*) AS n FROM part GROUP BY p_type",
+    "glossary_source": "SELECT p_type AS code_term, min(parent_fqn) AS source_fqn FROM part_method GROUP BY p_type",
     "constraints": "SELECT DISTINCT o_orderstatus || '-' || o_orderpriority AS name, 'svc.P' || substr(o_orderpriority, 1, 1) || 'Service' AS source_fqn, o_orderstatus AS constraint_type FROM orders",
     "requests": "SELECT event_id AS request_id, ts, user_id AS client, event_type AS path, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events",
 }

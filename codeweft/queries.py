@@ -95,6 +95,19 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return relations.orphans(symbols, {"edges_to": (frame(spark, d, "edges"), "to_fqn"), "parents": (symbols.select("parent_fqn"), "parent_fqn"), "summaries": (frame(spark, d, "summaries"), "target_fqn")})
 
 
+#: Frames with a key that should name a symbol: label, view, column.
+_SATELLITES = [("edges_from", "edges", "from_fqn"), ("edges_to", "edges", "to_fqn"), ("entry_points", "entry_points", "symbol_fqn"), ("external_dependencies", "dependencies", "caller_fqn"), ("summaries", "summaries", "target_fqn"), ("glossary", "glossary_source", "source_fqn"), ("constraints", "constraints", "source_fqn")]
+_anti_patterns = "(SELECT from_fqn FROM edges WHERE relation = 'calls' AND from_fqn LIKE 'geo.%Controller.%' AND to_fqn LIKE 'dao.%Mapper.%')"
+
+
+@query("c10_all_orphans", " UNION ALL ".join(f"SELECT '{label}' AS table_name, count(*) AS orphans FROM {view} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT fqn FROM symbols)" for label, view, column in [*_SATELLITES, ("anti_patterns", _anti_patterns, "from_fqn")]))
+def all_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """The 8 checks of C10; anti-patterns are the rule's findings."""
+    symbols, edges = frame(spark, d, "symbols"), frame(spark, d, "edges")
+    checks = {label: (frame(spark, d, view), column) for label, view, column in _SATELLITES}
+    return relations.orphans(symbols, checks | {"anti_patterns": (rules.detect(symbols, edges), "from_fqn")})
+
+
 @query("d7_coverage", "WITH callers AS (SELECT DISTINCT to_fqn AS target, from_fqn AS fqn FROM edges) SELECT target, count(*) AS total_callers, CAST(sum(CASE WHEN contains(s.file_path, '/test/') THEN 1 ELSE 0 END) AS BIGINT) AS tested_callers, round(100.0 * sum(CASE WHEN contains(s.file_path, '/test/') THEN 1 ELSE 0 END) / count(*), 2) AS coverage_percentage FROM callers JOIN symbols s USING (fqn) GROUP BY target")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     return measures.coverage(frame(spark, d, "symbols"), frame(spark, d, "edges"))

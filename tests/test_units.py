@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from codeweft import queries
 from codeweft.functions import scalars
 from codeweft.operators import graph, relations
 from codeweft.plans import rules
@@ -73,3 +74,8 @@ def test_impact_finds_tests_by_path(spark):
     got = impact(*frames, spark.createDataFrame([("p.T.t()",), ("p.C.c()",)], "fqn string")).orderBy("source").collect()
     assert [tuple(r)[:6] for r in got] == [("p.C.c()", 0, 0, 0, 0, 0), ("p.T.t()", 7, 1, 1, 5, 55)]
     assert got[1]["risk_level"] == "HIGH" and abs(got[1]["confidence"] - 0.9) < 1e-9
+
+
+def test_all_orphan_checks_are_made(spark):
+    got = {r["table_name"] for r in queries.QUERIES["c10_all_orphans"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"edges_from", "edges_to", "entry_points", "external_dependencies", "summaries", "glossary", "constraints", "anti_patterns"}
