@@ -13,7 +13,12 @@ SCHEMA = (
 )
 
 # Packages whose calls are not kept as edges.
-EXTERNAL = ("java.", "javax.", "jakarta.", "sun.", "org.springframework.")
+EXTERNAL = (
+    "java.", "javax.", "jdk.", "sun.", "com.sun.",
+    "org.w3c.", "org.xml.", "org.omg.", "org.ietf.",
+    "org.slf4j.", "org.apache.", "org.springframework.",
+    "com.fasterxml.", "com.google.", "org.hibernate.",
+)
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:

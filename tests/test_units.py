@@ -79,3 +79,11 @@ def test_impact_finds_tests_by_path(spark):
 def test_all_orphan_checks_are_made(spark):
     got = {r["table_name"] for r in queries.QUERIES["c10_all_orphans"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {"edges_from", "edges_to", "entry_points", "external_dependencies", "summaries", "glossary", "constraints", "anti_patterns"}
+
+
+def test_external_calls(spark, tmp_path):
+    gone = ["java.", "javax.", "jdk.", "sun.", "com.sun.", "org.w3c.", "org.xml.", "org.omg.", "org.ietf.", "org.slf4j.", "org.apache.", "org.springframework.", "com.fasterxml.", "com.google.", "org.hibernate."]
+    calls = ",".join(f'{{"toFqn":"{p}X.f()"}}' for p in [*gone, "jakarta.", "org.mine."])
+    (tmp_path / "c.json").write_text('{"fqn":"p.A","methods":[{"fqn":"p.A.f()","calls":[' + calls + "]}]}")
+    edges = classes.flatten_edges(classes.read_classes(spark, str(tmp_path)))
+    assert {r["to_fqn"] for r in edges.collect()} == {"jakarta.X.f()", "org.mine.X.f()"}
