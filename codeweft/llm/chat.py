@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.llm import kernels
 from codeweft.llm.encoding import byte_encoding
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -47,6 +48,7 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
     spec = f"conv_id {kinds[0]}, turn {kinds[1]}, place string, ids array<int>, loss_mask array<tinyint>"
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoding(tokenizer).encode_ordinary
         start, sep, end = RESERVED[START], RESERVED[SEP], RESERVED[END]
@@ -88,6 +90,7 @@ def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
     marks = {v: k for k, v in RESERVED.items()}
     fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = byte_encoding(tokenizer).decode_bytes
         now, state, done = None, None, []

@@ -15,10 +15,8 @@ from tokenizers import Tokenizer
 
 from codeweft.llm import kernels
 
-#: Words whose ids one Python worker remembers; the memo starts anew when it is full.
-MEMO_WORDS = 1_500_000
-#: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+#: Bytes of the memo in which one Python worker remembers words' ids; it starts anew when it is full.
+MEMO_BYTES = 24 << 20
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,6 +80,9 @@ class WordEncoder:
         self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def memo_bytes(self) -> int:
+        return self.keys.nbytes + self.begin.nbytes + self.count.nbytes + self.pool.nbytes
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and how many each has."""
         simple = [w for w in words if self.plain.fullmatch(w) and "<|" not in w]
@@ -103,8 +104,6 @@ class WordEncoder:
     def _learn(self, part: kernels.Slice, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = part.data
         ids, counts = self.encode_words([raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts, ends, strict=True)])
-        if len(self.keys) + len(keys) > MEMO_WORDS:
-            self._reset()
         begin = len(self.pool) + np.cumsum(counts) - counts
         self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
         at = np.searchsorted(self.keys, keys)
@@ -117,7 +116,7 @@ class WordEncoder:
         known = self._find(keys)[1]
         if not known.all():
             new = first[~known]
-            if len(self.keys) + len(new) > MEMO_WORDS:
+            if self.memo_bytes() > MEMO_BYTES:
                 self._reset()
                 new = first
             self._learn(part, hashes[new], starts[new], ends[new])

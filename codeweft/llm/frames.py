@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -16,25 +17,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (a local test) a temporary folder."""
+    """A folder of this application in the session's ``spark.checkpoint.dir``.
+
+    Only a local session that has none gets a temporary folder; on a cluster that would split the data over
+    machines, so it is an error there.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return f"{folder}/{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; frames cut there can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     Lost executors then cost no recomputation, and the plan starts anew with the written table's true size.
-    The files are scratch data of the application, like checkpoints.
+    The files are scratch data of the application, like checkpoints; ``clear`` deletes them.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the frame's columns."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def identity(*values: Column) -> Column:
+    """128 hash bits of some values, as a pair of longs: unlike values meet with a chance of 1e-19 among 1e10."""
+    return F.struct(F.xxhash64(*values).alias("high"), F.xxhash64(F.lit(1), *values).alias("low"))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's text modulo ``modulus``; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -2,19 +2,24 @@
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D`` (the class is ASCII only, so byte and
 code point views agree).  All kernels take whole texts; a batch is walked in slices of about
-``SLICE_BYTES`` so that memory does not follow the batch, and one text is never cut.
+``SLICE_BYTES`` and at most ``SLICE_TEXTS`` texts, so that memory does not follow the batch, and one text is
+never cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+SLICE_TEXTS = 2048
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -22,6 +27,27 @@ _INVERSE = pow(_PRIME, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def released(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``task``, trimmed at its end, as Spark uses a worker for many tasks."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -98,7 +124,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES, count: int = SLICE_TEXTS) -> Iterator[Slice]:
     """The texts of an Arrow column in order; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -111,7 +137,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterat
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
-        last = min(last, len(texts))
+        last = min(last, first + count, len(texts))
         yield Slice(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

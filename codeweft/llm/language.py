@@ -111,6 +111,7 @@ def learn(examples: DataFrame) -> Filters:
     """
     rows = examples.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -142,6 +143,7 @@ def learn(examples: DataFrame) -> Filters:
     most_members = own.groupBy("number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     rows_n = rows_for(most_members or 0)
 
+    @kernels.released
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column("number").to_numpy()
@@ -168,6 +170,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.llm import kernels
 from codeweft.llm.encoding import byte_encoding
 from codeweft.llm.frames import cut
 
@@ -23,6 +24,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     The histogram is written, so that no text is encoded again for each of its uses.
     """
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoding(tokenizer).encode_ordinary
         counts: Counter[int] = Counter()

@@ -9,6 +9,10 @@ The draws are conditioned on each source's total, so the totals meet the targets
 independent multinomial counts are multivariate hypergeometric, which is drawn by halving the range of shards
 again and again.  Any shard finds its counts, and the slots of a source before it, by walking down that tree
 of seeded draws, without a scan over the other shards.
+
+The driver and each task hold a few numbers for each source; documents, blocks and slots stay in frames.
+Texts of any length take part whole; documents of equal hash order are taken by id, then by row, and repeated rows are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -20,42 +24,30 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import cut, seed_of, small
+from codeweft.llm.frames import columns, cut, identity, seed_of, small, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 4096
-#: Parts into which a source's documents are hashed, so that no window holds a whole source.
-BUCKETS = 512
-#: The driver holds one row for each source, up to this many.
-MAX_SOURCES = 100_000
+#: Documents, on average, in the parts into which a source is hashed, so that no window holds a whole source.
+PART_ROWS = 4096
 SEED = 20240501
-#: Above this many slots a node of the tree is halved in proportion; numpy's draw stops at 10**9.
-DRAW_LIMIT = 500_000_000
+#: Items from which numpy's hypergeometric draw is replaced by a rounded normal one; the two have the same mean,
+#: variance and range, and at this size a skewness below 1e-4.
+NORMAL_FROM = 500_000_000
 
 _word = re.compile("[^ \t-\r]+")
 
 
-def word_counts(docs: DataFrame, name: str = "size") -> DataFrame:
-    """``docs`` with the number of words of ``text`` added (null: 0)."""
-    plain = docs.drop(name)
-    names = [*plain.columns, name]
-    schema = T.StructType([*plain.schema.fields, T.StructField(name, T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            counts = [kernels.per_text(part.words()[2], len(part)) for part in kernels.slices(batch.column("text"))]
-            if counts:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts), pa.int64())], names=names)
-
-    return plain.mapInArrow(run, schema)
+def word_count(text: Column) -> Column:
+    """The number of words of a text (null: 0)."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[tuple[str | None, int, float]]:
@@ -106,17 +98,27 @@ class Plan:
         return own, before
 
 
+def _draw(good: int, bad: int, size: int, rng: np.random.Generator) -> int:
+    """How many of ``good`` items are among ``size`` drawn without replacement from ``good + bad``."""
+    total = good + bad
+    if not good or not size:
+        return 0
+    if total < NORMAL_FROM:
+        return int(rng.hypergeometric(good, bad, size))
+    mean = size * (good / total)
+    spread = (mean * (bad / total) * ((total - size) / max(total - 1, 1))) ** 0.5
+    return min(max(round(rng.normal(mean, spread)), size - bad, 0), good, size)
+
+
 def _halve(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of each kind are among ``size`` slots drawn without replacement."""
-    total = int(counts.sum())
-    size = min(size, total)
-    if total <= DRAW_LIMIT:
-        return rng.multivariate_hypergeometric(counts, size, method="marginals")
-    left = counts * size // total
-    spare = size - int(left.sum())
-    order = np.argsort(-(counts * size % total), kind="stable")[:spare]
-    left[order] += 1
-    return left
+    """How many of each kind are among ``size`` slots drawn without replacement, kind by kind."""
+    rest = int(counts.sum())
+    size, out = min(size, rest), np.zeros(len(counts), np.int64)
+    for k, n in enumerate(counts.tolist()):
+        rest -= n
+        out[k] = _draw(n, rest, size, rng)
+        size -= int(out[k])
+    return out
 
 
 def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -161,17 +163,11 @@ def place(docs: DataFrame, *, block_words: int = BLOCK_WORDS, weights: tuple[flo
     """Documents with their places in their source's stream, and the slots drawn from the streams.
 
     The first frame has ``doc_id, row_key, source, size, source_no, source_size, target, start``; the second
-    ``source_no, block, pass, shard``.  ``row_key`` hashes the whole row, ``start`` counts the words before.
+    ``source_no, block, pass, shard``.  ``row_key`` names the whole row, ``start`` counts the words before.
     """
-    sized = word_counts(docs.select("doc_id", "text", "source", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"))).drop("text")
-    bucket = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(BUCKETS))
-    sized = cut(sized.withColumn("bucket", bucket))
-    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "bucket", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("base"))
-    sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), identity(*columns(docs)).alias("row_key")))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
+    sizes, rows = {r["source"]: r["n"] for r in totals}, {r["source"]: r["docs"] for r in totals}
     aims = targets(sizes, weights=weights, share=share, cap=cap)
     blocks = np.array([-(-n // block_words) for _, n, _ in aims], np.int64)
     passes = np.array([int(t / n + 1e-9) if n else 0 for _, n, t in aims], np.int64)
@@ -179,14 +175,16 @@ def place(docs: DataFrame, *, block_words: int = BLOCK_WORDS, weights: tuple[flo
     plan = Plan(blocks, np.minimum(passes * blocks + rest, int(cap) * blocks), seed)
     spark = docs.sparkSession
     kind = sized.schema["source"].dataType.simpleString()
-    aims = spark.createDataFrame([(k, x, n, t) for k, (x, n, t) in enumerate(aims)], f"source_no long, source {kind}, source_size long, target double")
-
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("source", "bucket")]
-    placed = sized.alias("l").join(small(parts).alias("r"), same[0] & same[1]).select("l.*", "r.base")
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.alias("l").join(F.broadcast(aims).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
-    placed = placed.select("doc_id", "row_key", "l.source", "size", "source_no", "source_size", "target", "start")
+    aims = spark.createDataFrame([(k, x, n, t, -(-rows[x] // PART_ROWS)) for k, (x, n, t) in enumerate(aims)], f"source_no long, source {kind}, source_size long, target double, n_parts long")
+
+    placed = sized.alias("l").join(small(aims).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).drop(F.col("r.source"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("n_parts")))
+    parts = placed.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(parts.select("source_no", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")))
+    within = Window.partitionBy("source_no", "part").orderBy("doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(small(parts), ["source_no", "part"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = placed.select("doc_id", "row_key", "source", "size", "source_no", "source_size", "target", "start")
     shards = spark.range(0, plan.n_shards if plan.slots.sum() else 0, 1, max(1, plan.n_shards // 32))
     slots = draw_slots(shards, plan)
     return placed, slots
@@ -228,15 +226,17 @@ def mixed_documents(docs: DataFrame, *, block_words: int, weights: tuple[float,
     spread = covered_blocks(placed, block_words).select("row_key", "source_no", "start", "block", "low", "high")
     hits = spread.join(slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
     runs = hits.groupBy("row_key", "source_no", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "low", "high"))).alias("runs"))
-    whole = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).dropDuplicates(["__key"])
-    joined = whole.join(runs, F.col("__key") == F.col("row_key")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("runs").alias("__runs"))
-    columns, schema = docs.columns, docs.schema
+    whole = docs.select(F.struct(*columns(docs)).alias("row"), identity(*columns(docs)).alias("row_key")).dropDuplicates(["row_key"])
+    pieces_name = unused(docs, "runs")
+    joined = whole.join(runs, "row_key").select("row.*", F.col("runs").alias(pieces_name))
+    names, schema = docs.columns, docs.schema
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
             origin: list[int] = []
-            for i, (text, pieces) in enumerate(zip(batch.column("text"), batch.column("__runs"), strict=True)):
+            for i, (text, pieces) in enumerate(zip(batch.column("text"), batch.column(pieces_name), strict=True)):
                 text = text.as_py()
                 at = [m.start() for m in _word.finditer(text)]
                 at[0] = 0
@@ -244,10 +244,10 @@ def mixed_documents(docs: DataFrame, *, block_words: int, weights: tuple[float,
                 for low, high in _joined(pieces.as_py()):
                     texts.append(text[at[low] : at[high]])
                     origin.append(i)
-            out = batch.select(columns).take(pa.array(origin, pa.int64()))
-            out = out.set_column(columns.index("text"), "text", pa.array(texts, out.schema.field("text").type))
-            if "n_chars" in columns:
-                out = out.set_column(columns.index("n_chars"), "n_chars", pa.array(list(map(len, texts)), out.schema.field("n_chars").type))
+            out = batch.select(names).take(pa.array(origin, pa.int64()))
+            out = out.set_column(names.index("text"), "text", pa.array(texts, out.schema.field("text").type))
+            if "n_chars" in names:
+                out = out.set_column(names.index("n_chars"), "n_chars", pa.array(list(map(len, texts)), out.schema.field("n_chars").type))
             yield out
 
     return joined.mapInArrow(run, schema)

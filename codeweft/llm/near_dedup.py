@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import cut, small
+from codeweft.llm.frames import columns, cut, identity, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS, DEVIATIONS = 4, 4.8
 #: Pairs of texts held against each other in one go, which bounds memory.
 PAIRS_AT_ONCE = 64
+#: Pairs of one text, on average, that are held against it under one key; a text with more is copied to more keys.
+PAIRS_PER_KEY = 1000
 #: Rounds after the first; the last of them joins what is left by residues.
 STAR_ROUNDS = 2
 
@@ -89,11 +91,11 @@ def _points(keys: np.ndarray, owners: np.ndarray, counts: np.ndarray, limit: np.
     while len(keys):
         width = 1 << max(0, level - 1)
         floor = 0 if level == 0 else width
-        seed = kernels.mix64(keys + np.uint64(0xA0761D6478BD642F) * np.uint64(level + 1))
+        seed = kernels.mix64(keys + np.uint64(0xA0761D6478BD642F * (level + 1) & 2**64 - 1))
         time, live, step = np.zeros(len(keys)), np.arange(len(keys)), 0
         while len(live):
             step += 1
-            bits = kernels.mix64(seed[live] + np.uint64(0xE7037ED1A0B428DB) * np.uint64(step))
+            bits = kernels.mix64(seed[live] + np.uint64(0xE7037ED1A0B428DB * step & 2**64 - 1))
             time[live] -= np.log(kernels.uniform(bits)) / width
             live_in = time[live] <= limit[owners[live]]
             live, bits = live[live_in], bits[live_in]
@@ -194,11 +196,12 @@ def _reach(m: int, threshold: float) -> int:
 
 
 def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``node, weight, keys, sketch`` for each row of ``node, text``; texts without words are left out.
+    """``name, weight, keys, sketch`` for each row of ``name, text``; texts without words are left out.
 
     ``sketch`` is ``SKETCH_BITS`` bits of every signature component, 64 to a long.
     """
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch.column("text")):
@@ -214,20 +217,34 @@ def _signed(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
                     keys[:, band] = key
                 values = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), values)
-                node = batch.column("node").slice(part.first, len(part)).take(pa.array(some))
+                name = batch.column("name").slice(part.first, len(part)).take(pa.array(some))
                 sketches = _sketches(marks[some])
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * sketches.shape[1]), pa.array(sketches.ravel()))
-                yield pa.record_batch([node, pa.array(weight[some]), lists, sketch], names=["node", "weight", "keys", "sketch"])
+                yield pa.record_batch([name, pa.array(weight[some]), lists, sketch], names=["name", "weight", "keys", "sketch"])
 
-    return nodes.mapInArrow(run, "node long, weight long, keys array<long>, sketch array<long>")
+    return nodes.mapInArrow(run, "name binary, weight long, keys array<long>, sketch array<long>")
+
+
+def _with_text(rows: DataFrame, texts: DataFrame, node: str, text: str) -> DataFrame:
+    """``rows`` with the text of their ``node``.
+
+    A node of many rows, such as the pivot of a large group of copies, is copied to several keys, among which its
+    rows are dealt, so that none of them meets all.
+    """
+    many = cut(rows.groupBy(node).agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_PER_KEY).select(F.col(node).alias("many"), F.ceil(F.col("n") / PAIRS_PER_KEY).cast("int").alias("keys")))
+    others = [F.col(c) for c in rows.columns if c != node]
+    dealt = rows.join(small(many), F.col(node) == F.col("many"), "left").withColumn("deal", F.when(F.col("keys").isNull(), 0).otherwise(F.pmod(F.xxhash64(*others), F.col("keys")).cast("int"))).drop("many", "keys")
+    copied = texts.select(F.col("node").alias(node), F.col("text").alias(text)).join(small(many), F.col(node) == F.col("many"), "left")
+    copied = copied.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1))).drop("many", "keys")
+    return dealt.join(copied, [node, "deal"]).drop("deal")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact likeness of ``a, b`` pairs of nodes: ``a, b, likeness``."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    pairs = cut(pairs)
+    both = _with_text(_with_text(pairs, texts, "b", "text_b"), texts, "a", "text_a").select("a", "b", "text_a", "text_b")
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0)]
@@ -246,9 +263,9 @@ def _meetings(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     ``groups`` holds ``pivot, node, comp``.  Tokens are taken rarest first, so that what many copies have added
     or lack makes few pairs; the first token that a pair shares leaves room for an overlap of ``rest`` at most.
     """
-    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    sides = groups.where("node <> pivot").join(pivots, "pivot").join(texts, "node").select("pivot", "node", "comp", "text", "pivot_text")
+    sides = _with_text(_with_text(groups.where("node <> pivot"), texts, "node", "text"), texts, "pivot", "pivot_text").select("pivot", "node", "comp", "text", "pivot_text")
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), PAIRS_AT_ONCE):
@@ -288,8 +305,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def name_of(text: Column) -> Column:
+    """A text's name: 128 hash bits."""
+    return F.unhex(F.md5(text))
+
+
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``node, comp``: the class of every text that has a near-duplicate, both named by 64-bit text hashes.
+    """``name, comp``: the class of every text that has a near-duplicate, by the text's ``name_of``.
 
     Copies of one text are one node from the start.  Round one holds each bucket's texts against its pivot, the
     text that meets most others over all bands, which in a group of copies is the likeliest original.  A
@@ -301,8 +323,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     components are those of all pairs that share a bucket and reach ``threshold``; a pair at 0.8 shares none of
     32 bands of 5 with a chance of 3 in a million.
     """
-    nodes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("node"), "text")
-    signed = cut(_signed(nodes, bands, rows).dropDuplicates(["node"]))
+    named = docs.where(F.col("text").isNotNull()).select(name_of(F.col("text")).alias("name"), "text")
+    # Nodes are numbered before they are written, so the numbers stay as they are.
+    signed = cut(_signed(named, bands, rows).dropDuplicates(["name"]).withColumn("node", F.monotonically_increasing_id()))
+    labels = _labels(named, signed, threshold, bands, rows)
+    return labels.join(signed.select("node", "name"), "node").select("name", "comp")
+
+
+def _labels(named: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``node, comp`` for the nodes of ``signed`` that are linked to others."""
     placed = signed.select("node", "weight", F.explode("keys").alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
     members = cut(placed.join(cut(sizes.where("n > 1")), "key"))
@@ -311,7 +340,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     pivots = members.groupBy("key").agg(F.max(F.struct("met", "node", "weight")).alias("p"))
     pivots = cut(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("pivot_weight")))
     members = cut(members.join(pivots, "key"))
-    texts = cut(nodes.join(small(cut(members.select("node").distinct())), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = cut(members.select("node").distinct().join(signed.select("node", "name"), "node"))
+    texts = cut(named.join(small(wanted), "name").select("node", "text").dropDuplicates(["node"]))
 
     def heavy_enough(a: str, b: str):
         """The lighter bag bounds the overlap, the heavier one the union."""
@@ -363,28 +393,30 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, class_id`` for each row of ``docs``; ``class_id`` is the smallest ``doc_id`` of the class.
 
     Null texts are in no class with others: their ``class_id`` is their own ``doc_id``.  Texts without words
-    are alike only if they are equal.  Repeated rows are in one class, and each is returned.
+    are alike only if they are equal.  Repeated rows are in one class, and each is returned.  Texts of any length are
+    compared whole; an empty table gives no rows; other columns are ignored.
     """
     plain = docs.select("doc_id", "text")
     labels = classes(plain, **options)
-    ids = plain.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("node"))
-    ids = ids.join(labels, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
-    ids = cut(ids)
-    smallest = cut(ids.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id")))
-    return ids.join(smallest, "comp", "left").select("doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    ids = plain.select("doc_id", name_of(F.col("text")).alias("name")).join(labels, "name", "left")
+    ids = cut(ids.select("doc_id", F.when(F.col("comp").isNull(), F.col("name")).alias("name"), "comp"))
+    known = F.col("comp").isNotNull() | F.col("name").isNotNull()
+    smallest = cut(ids.where(known).groupBy("comp", "name").agg(F.min("doc_id").alias("class_id")))
+    same = F.col("l.comp").eqNullSafe(F.col("r.comp")) & F.col("l.name").eqNullSafe(F.col("r.name"))
+    return ids.alias("l").join(smallest.alias("r"), same, "left").select("l.doc_id", F.when(F.col("l.comp").isNull() & F.col("l.name").isNull(), F.col("l.doc_id")).otherwise(F.col("r.class_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest ``doc_id`` stays.
+    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest ``doc_id`` stays, of
+    equal ids one by a hash of the row.
 
-    Null texts stay, but repeated rows are cut to one.
+    Null texts stay, but repeated rows are cut to one.  Texts of any length are compared whole.
     """
-    columns = docs.columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    node = F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(row)
+    row, name = identity(*columns(docs)), name_of(F.col("text"))
     labels = classes(docs.select("text"), **options)
-    ids = docs.select(node.alias("__node"), F.col("doc_id").alias("__id"), row.alias("__row"))
-    ids = ids.join(labels.select(F.col("node").alias("__node"), F.col("comp").alias("__comp")), "__node", "left")
-    kept = ids.groupBy(F.coalesce("__comp", "__node")).agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("best"))
-    kept = kept.select(F.col("best.__row").alias("__row"))
-    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in columns])
+    ids = docs.select(name.alias("name"), F.col("doc_id").alias("id"), row.alias("row")).join(labels, "name", "left")
+    # A null text is a class of its own, by its row.
+    group = [F.col("comp"), F.when(F.col("comp").isNull(), F.col("name")), F.when(F.col("name").isNull(), F.col("row"))]
+    kept = ids.groupBy(*(c.alias(f"g{k}") for k, c in enumerate(group))).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    whole = docs.select(F.struct(*columns(docs)).alias("doc"), row.alias("row"))
+    return whole.join(kept.select(F.col("best.row").alias("row")), "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

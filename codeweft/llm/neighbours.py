@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.llm import kernels
 from codeweft.llm.frames import cut
 
 CURVES = 4
@@ -133,6 +134,7 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, complete: bool =
 
 
 def _along_curves(nodes: DataFrame, keep: int) -> DataFrame:
+    @kernels.released
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -140,6 +142,7 @@ def _along_curves(nodes: DataFrame, keep: int) -> DataFrame:
                 for curve in range(CURVES):
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), curve, np.int32)), pa.array(curve_key(unit, curve))], names=["node", "embedding", "asks", "curve", "key"])
 
+    @kernels.released
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -169,6 +172,7 @@ def _completed(nodes: DataFrame, found: DataFrame, keep: int) -> DataFrame:
     known = found.withColumn("rank", rank).where(F.col("rank") <= keep).groupBy("asker").agg(F.when(F.count("*") == keep, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
     askers = nodes.where("asks").join(known, nodes["node"] == known["asker"]).select("node", "embedding", "least")
 
+    @kernels.released
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -176,6 +180,7 @@ def _completed(nodes: DataFrame, found: DataFrame, keep: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
 
     def packed(size: int, extra: bool):
+        @kernels.released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low in range(0, len(batch), size):
@@ -198,6 +203,7 @@ def _completed(nodes: DataFrame, found: DataFrame, keep: int) -> DataFrame:
     pairs = left.select("block", "part").join(numbers, "part")
     pairs = pairs.join(blocks, "block").join(asked, "asked").select("nodes", "rows", "q_nodes", "q_rows", "least")
 
+    @kernels.released
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):

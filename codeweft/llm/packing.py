@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.encoding import SLICE_BYTES, WordEncoder
+from codeweft.llm.encoding import WordEncoder
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -47,12 +47,13 @@ def pack(docs: DataFrame, tokenizer: str, *, max_length: int = MAX_LENGTH, end_i
     key = source.schema["doc_id"].dataType.simpleString()
     spec = f"doc_id {key}, " + (_PIECE if with_ids else _PIECE.replace("ids array<int>, ", ""))
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.cached(tokenizer)
         end = np.array([end_id], np.uint32)
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in kernels.slices(batch.column("text"), SLICE_BYTES):
+            for part in kernels.slices(batch.column("text")):
                 ids, offsets = encoder.encode(part)
                 totals = np.diff(offsets) + 1
                 ids = np.insert(ids, offsets[1:], end)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,9 @@ from codeweft.llm.frames import cut, small
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: A host whose shrunken failure rate is above this loses all its documents.
-HOST_LIMIT = 0.5
+#: A host loses all its documents if the odds of its shrunken failure rate are more than so many times those of
+#: the prior's mean, and the rate is above the floor.
+HOST_ODDS, HOST_FLOOR = 8.0, 0.25
 #: Prior strengths (in documents) allowed to the fitted beta distribution.
 STRENGTH = (2.0, 1000.0)
 
@@ -71,34 +72,37 @@ def _distinct(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order[first]
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``RULES`` and ``base_failed`` added; they replace columns of these names.
+def with_counts(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``carry``, with the columns of ``RULES`` and ``base_failed`` added; they replace
+    columns of these names.
 
     Null texts have no words and so fail.
     """
     plain = docs.drop(*RULES, "base_failed")
     schema = ", ".join(f"{name} long" for name in RULES)
-    names = plain.columns
+    names = plain.columns if carry is None else list(carry)
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [measure(part) for part in kernels.slices(batch.column("text"))]
             if parts:
                 counts = [pa.array(np.concatenate([p[name] for p in parts]), pa.int64()) for name in RULES]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*names, *RULES])
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *counts], names=[*names, *RULES])
 
-    out = T.StructType([*plain.schema.fields, *T.StructType.fromDDL(schema).fields])
+    out = T.StructType([*(plain.schema[c] for c in names), *T.StructType.fromDDL(schema).fields])
     words = F.col("n_words")
     failed = (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words)
-    return plain.mapInArrow(run, out).withColumn("base_failed", failed)
+    return plain.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, out).withColumn("base_failed", failed)
 
 
-def host_verdicts(per_host: DataFrame, *, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(per_host: DataFrame, *, odds: float = HOST_ODDS, floor: float = HOST_FLOOR) -> DataFrame:
     """``host, n, failed`` to ``host, n, failed, rate, host_failed``.
 
     The failure rates of the hosts are taken as draws of one beta distribution, fitted by moments over hosts
     (each weighing alike, the binomial part of their variance taken off); ``rate`` is the posterior mean.
-    A null host is a host of its own.
+    A host fails whose rate is above ``floor`` and stands out against the prior: the odds of its rate are more than
+    ``odds`` times those of the prior's mean.  A null host is a host of its own.
     """
     share = F.col("failed") / F.col("n")
     m, v, inverse = per_host.agg(F.avg(share), F.var_pop(share), F.avg(1 / F.col("n"))).first()
@@ -107,19 +111,23 @@ def host_verdicts(per_host: DataFrame, *, limit: float = HOST_LIMIT) -> DataFram
     between = (v - spread * inverse) / (1 - inverse) if inverse < 1 else 0.0
     strength = min(max(spread / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
     rate = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    limit = max(floor, odds * m / (1 - m + odds * m))
     return per_host.select("host", "n", "failed", rate.alias("rate"), (rate > limit).alias("host_failed"))
 
 
-def judge(docs: DataFrame, *, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """``docs`` with its counts, ``base_failed`` and ``kept`` (false if the text or its whole host failed).
+def judge(docs: DataFrame, *, host: str = "source", carry: Sequence[str] | None = None, odds: float = HOST_ODDS, floor: float = HOST_FLOOR) -> DataFrame:
+    """``docs``, or its columns in ``carry``, with its counts, ``base_failed`` and ``kept`` (false if the text or
+    its whole host failed); all these replace columns of their names.
 
-    The rules are counted once for the hosts and once for the documents rather than written out with the
-    texts.  An empty table gives no rows.
+    Every text is measured once, whole, and written with its counts, from which the hosts are judged; so
+    ``carry`` saves writing what isn't needed.  Repeated rows count as often as they occur and each is returned.  An
+    empty table gives no rows.
     """
-    tallied = with_counts(docs.select(F.col("text"), F.col(host).alias("host"))).groupBy("host")
-    hosts = cut(tallied.agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    bad = host_verdicts(hosts, limit=limit).where("host_failed").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-    counted = with_counts(docs.drop("kept"))
-    joined = counted.join(small(bad), F.col(host).eqNullSafe(F.col("__host")), "left")
-    kept = ~F.col("base_failed") & F.col("__bad").isNull()
-    return joined.withColumn("kept", kept).drop("__host", "__bad")
+    plain = docs.drop("kept")
+    carried = plain.columns if carry is None else list(carry)
+    counted = cut(with_counts(plain, [c for c in dict.fromkeys([*carried, host]) if c not in (*RULES, "base_failed")]))
+    hosts = cut(counted.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
+    bad = host_verdicts(hosts, odds=odds, floor=floor).where("host_failed").select(F.struct("host").alias("bad"))
+    joined = counted.alias("l").join(small(bad).alias("r"), F.col(f"l.`{host}`").eqNullSafe(F.col("r.bad.host")), "left")
+    kept = ~F.col("l.base_failed") & F.col("r.bad").isNull()
+    return joined.select(*[F.col(f"l.`{c}`") for c in counted.columns if c in (*carried, *RULES, "base_failed")], kept.alias("kept"))

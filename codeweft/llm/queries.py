@@ -16,7 +16,7 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighed, least = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    weighed, least = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=("doc_id",))
     return weighed.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= least).alias("kept"))
 
 
@@ -64,7 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules.judge(docs).select("doc_id", *quality_rules.RULES, "base_failed", "kept")
+    return quality_rules.judge(docs, carry=("doc_id",)).select("doc_id", *quality_rules.RULES, "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,12 @@
 
 Two generative models give n-grams of tokens independent probabilities by hash bucket: one is counted over
 texts labelled good, one over the raw table.  A text's log importance weight is the sum of the log ratios of
-its n-grams, tempered for texts of more than ``EFFECTIVE`` n-grams, whose n-grams are far from independent: it
-is then ``EFFECTIVE`` times their mean.  Weights plus Gumbel noise, cut at the k-th largest, are a sample of k texts without replacement
+its n-grams.  Weights plus Gumbel noise, cut at the k-th largest, are a sample of k texts without replacement
 in proportion to the weights.
 
+Weights of long texts are far apart, so among these the noise seldom decides; it does among texts of like weight,
+such as short ones, and wherever fewer texts are kept than fit the target.
+
 A token is a run of letters, of digits (by length only) or of one kind of symbol; a word that repeats one of
 the last two tokens counts as a repetition, whatever it is.
 """
@@ -13,7 +15,7 @@ the last two tokens counts as a repetition, whatever it is.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,6 @@ from codeweft.llm.frames import cut
 BUCKETS = 1 << 12
 #: Labelled texts of each label that the target model and the size of the sample are fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: N-grams of a long text that count as independent.
-EFFECTIVE = 100
 SEED = 1
 
 _KIND = np.full(256, 3, np.uint8)
@@ -70,6 +70,7 @@ def ngram_buckets(part: kernels.Slice) -> tuple[np.ndarray, np.ndarray]:
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     """N-grams of all texts by bucket; each task sums its own rows before anything is shuffled."""
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -108,30 +109,32 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(values[at] + values[at - 1]) / 2 if at else -math.inf
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``log_weight`` and ``gumbel_key`` added; they replace columns of these names.
+def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, carry: Sequence[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``carry``, with ``log_weight`` and ``gumbel_key`` added; they replace columns of
+    these names.
 
     The noise is a hash of the text, so reruns agree and equal texts tie.  A null or empty text has no
     n-grams and a weight of 0.
     """
     plain = docs.drop("log_weight", "gumbel_key")
-    names = [*plain.columns, "log_weight", "gumbel_key"]
-    schema = T.StructType([*plain.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
+    carried = plain.columns if carry is None else list(carry)
+    names = [*carried, "log_weight", "gumbel_key"]
+    schema = T.StructType([*(plain.schema[c] for c in carried), T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights, keys = [], []
             for part in kernels.slices(batch.column("text")):
                 buckets, owner = ngram_buckets(part)
-                size = kernels.per_text(owner, len(part))
-                weight = kernels.per_text(owner, len(part), ratios[buckets]) * np.minimum(1.0, EFFECTIVE / np.maximum(size, 1))
+                weight = kernels.per_text(owner, len(part), ratios[buckets])
                 code = kernels.RangeHash(part.data)(part.offsets[:-1], part.offsets[1:])
                 weights.append(weight)
                 keys.append(weight - np.log(-np.log(kernels.uniform(kernels.mix64(code + np.uint64(seed))))))
             if weights:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(weights)), pa.array(np.concatenate(keys))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.select(carried).columns, pa.array(np.concatenate(weights)), pa.array(np.concatenate(keys))], names=names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 5) -> float:
@@ -155,20 +158,21 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, rounds
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, keep: int | None = None, seed: int = SEED) -> tuple[DataFrame, float]:
+def resample(docs: DataFrame, labels: DataFrame, *, keep: int | None = None, seed: int = SEED, carry: Sequence[str] | None = None) -> tuple[DataFrame, float]:
     """``docs`` with weights and keys, and the key from which they are sampled.
 
     ``keep`` is the size of the sample.  If it is not given, it is the number of texts whose weight is at
-    least the one that parts the labelled sample best.  Keys that tie with the last one are all in the sample.
-    Without good labels the weights are 0 and everything is kept; an empty table stays empty.
+    least the one that parts the labelled sample best.  Keys that tie with the last one, such as those of repeated
+    rows, are all in the sample.  Without good labels the weights are 0 and everything is kept; an empty table stays
+    empty.  With ``carry`` only these columns of ``docs`` are in the result, which is then written once, so that
+    no text is weighed twice.  Texts of any length are weighed whole, and other columns are left as they are.
     """
     sample = cut(labelled_sample(docs, labels))
     good = bucket_counts(sample.where("quality = 1"))
     ratios = log_ratios(good, bucket_counts(docs)) if good.sum() else np.zeros(BUCKETS)
-    weighed = weigh(docs, ratios, seed)
-    scored = cut(weighed.select("log_weight", "gumbel_key"))
+    scored = cut(weigh(docs, ratios, seed, carry or ()))
     if keep is None:
-        known = weigh(sample, ratios, seed).select("quality", "log_weight").toPandas()
+        known = weigh(sample, ratios, seed, ("quality",)).select("quality", "log_weight").toPandas()
         level = best_cut(*(known["log_weight"][known["quality"] == q].to_numpy() for q in (1, 0)))
         keep = scored.where(F.col("log_weight") >= level).count()
-    return weighed, kth_largest(scored, "gumbel_key", keep)
+    return weigh(docs, ratios, seed) if carry is None else scored, kth_largest(scored, "gumbel_key", keep)

@@ -55,6 +55,7 @@ _DISGUISE[list(b"0123456789@$!|+(*._-#~^")] = True
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Character trigrams of all texts, words standing between blanks; a table of fixed size."""
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
@@ -278,6 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = docs.select("doc_id", "text").join(F.broadcast(cut(chosen)), "doc_id").select("text", "toxic")
 
+    @kernels.released
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch.column("text")):
@@ -299,6 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
 
+    @kernels.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(trigrams)
         for batch in batches:
@@ -336,6 +339,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         channel = Channel(known.trigrams)
