@@ -1,14 +1,14 @@
 """Nearest neighbours by shifted space-filling curves (operator 7).
 
-Vectors are scaled to length one and projected, by several random rotations with random shifts, to a few
-dimensions, where their cells are put in Hilbert order.  Spark range-partitions the rows of all curves by key;
-a query is held against the rows of a window around it on each curve, and the curves' finds are merged and
-ranked by the exact cosine.
-
-That alone finds nearly all neighbours where vectors lie near a surface of few dimensions, and few of them
-where they fill all dimensions evenly.  So an exact completion follows: the vectors, in blocks along the first
-curve, are held against the queries in blocks; a query skips every block that, by its centre and radius, can't
-beat what the query has already.
+Vectors are scaled to length one and projected, by several random rotations, to a few dimensions, which are brought
+to one scale by their mean and deviation over all rows, shifted at random and put in Hilbert order.  Spark
+range-partitions the rows of all curves by key; along each curve every ``BLOCK_ROWS`` rows are a block.  A query is
+held against the blocks around its own on each curve; what the curves find is merged and ranked by the exact cosine.
+
+How many blocks to each side are searched is fitted: for a bounded sample of the queries the true neighbours are
+found by brute force, and the window is the smallest in which the curves together have the share ``TARGET`` of them.
+So the window follows the data: a few blocks where vectors lie near a surface of few dimensions or in clusters, and
+many where they fill all dimensions evenly, as no order of such vectors keeps neighbours together.
 """
 
 from __future__ import annotations
@@ -17,16 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import cut
+from codeweft.llm.frames import cut, identity, small
 
-CURVES = 4
+CURVES = 8
 DIMENSIONS, BITS = 8, 7
-WINDOW = 256
-BLOCK_ROWS, QUERY_ROWS = 1024, 1024
+BLOCK_ROWS = 256
+#: Blocks of queries that meet a block of rows in one go.
+GROUP = 64
+#: Queries whose true neighbours the window is fitted to, at most, and the share of these that it must find.
+SAMPLE_QUERIES, TARGET = 256, 0.97
+#: Queries whose finds a task holds before it passes them on.
+HELD_QUERIES = 20_000
 SEED = 7
 
 
@@ -59,23 +65,34 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_key(unit: np.ndarray, curve: int) -> np.ndarray:
-    """Keys of unit vectors on one curve: rotated, shifted and cut into cells."""
-    rng = np.random.default_rng([SEED, curve, unit.shape[1]])
-    width = min(DIMENSIONS, unit.shape[1])
-    turn = np.linalg.qr(rng.normal(size=(unit.shape[1], unit.shape[1])))[0][:, :width]
-    spread = 3.0 / np.sqrt(unit.shape[1]) if unit.shape[1] > width else 1.0
-    place = (unit @ turn) / spread + rng.uniform(-0.5, 0.5, width)
-    cells = np.clip((place + 1.5) / 3.0 * (1 << BITS), 0, (1 << BITS) - 1)
-    return hilbert(cells.astype(np.int64), BITS)
+def projections(size: int) -> np.ndarray:
+    """For vectors of this size, the axes of each curve as a ``curves x size x axes`` array."""
+    rng = np.random.default_rng([SEED, size])
+    return np.stack([np.linalg.qr(rng.normal(size=(size, size)))[0][:, :DIMENSIONS] for _ in range(CURVES)])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+def curve_keys(unit: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> np.ndarray:
+    """Keys of unit vectors, a row for each curve; ``mean`` and ``deviation`` are those of each curve's axes."""
+    shift = np.random.default_rng([SEED, unit.shape[1], 1]).uniform(-0.5, 0.5, mean.shape)
+    out = []
+    for axes, m, d, s in zip(projections(unit.shape[1]), mean, deviation, shift, strict=True):
+        place = (unit @ axes - m) / np.where(d > 0, d, 1) + s
+        cells = np.clip((place + 3.5) / 7 * (1 << BITS), 0, (1 << BITS) - 1)
+        out.append(hilbert(cells.astype(np.int64), BITS))
+    return np.stack(out)
+
+
+def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column and their places, vectors of one size at a time."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        some = column.take(pa.array(at))
+        yield at, some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1)[:, None]  # so that squares stay finite
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
@@ -88,43 +105,34 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, embedding`` (doubles) of the vectors that take part.
 
-    Left out are null ids, null, zero or empty vectors, vectors with null or non-finite components, and
-    vectors of another length than the most common one (the longer of equally common ones).
+    Left out are null ids, null, zero or empty vectors, and vectors with null or non-finite components.
     """
     v = F.col("embedding")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size(v) == (sizes[0]["n"] if sizes else 0))
-
-
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` largest of each row and of what ties with them, as flat row and column pairs."""
-    if scores.shape[1] <= k:
-        return np.argwhere(scores > -2)
-    least = np.partition(scores, -k, axis=1)[:, -k]
-    return np.argwhere((scores >= least[:, None] - 1e-9) & (scores > -2))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, *, k: int = 5, every: int = 50, complete: bool = True) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows of each row whose id is divisible by ``every``.
+def search(vectors: DataFrame, *, k: int = 5, every: int = 50, target: float = TARGET, window: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found of each row whose id is divisible by ``every``.
 
     Nearness is the cosine; ties go to the smaller id; all rows are given if there are fewer.  Rows with the
-    query's own id are never given.  Equal vectors are searched once and keep their ``k + 1`` smallest ids,
-    which are all that can be among a result.  ``complete=False`` stops after the curves.
+    query's own id are never given.  Vectors meet those of their own size only.  Equal vectors, such as repeated rows,
+    are searched once and keep their ``k + 1`` smallest ids, which are all that can be among a result.  Other columns
+    are ignored; an empty table gives no rows.  ``window``, in blocks to each side, is fitted unless it is given.
     """
-    rows = cut(usable(vectors).withColumn("node", F.xxhash64("embedding")))
+    rows = cut(usable(vectors).withColumn("node", identity(F.col("embedding"))))
     is_query = F.col("vec_id") % every == 0
     nodes = cut(rows.groupBy("node").agg(F.first("embedding").alias("embedding"), F.max(is_query).alias("asks")))
+    blocks = _blocks(nodes)
+    if window is None:
+        window = _fitted_window(nodes, blocks, k, target)
+    keep = 2 * k + 8  # blocks are scored in single precision, so some more than k are ranked exactly
+    pairs = cut(_best(_along_curves(blocks, window, keep), keep))
+    scored = _exact(pairs, nodes)
     smallest = Window.partitionBy("node").orderBy("vec_id")
     ids = rows.select("node", "vec_id").withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).drop("place")
-    keep = k + 2
-    found = cut(_along_curves(nodes, keep))
-    if complete:
-        found = found.unionByName(_completed(nodes, found, keep))
-    best = found.dropDuplicates(["asker", "node"])
-    named = best.join(ids, "node").select("asker", "score", "vec_id").distinct()
+    named = scored.join(ids, "node").select("asker", "score", "vec_id").distinct()
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     named = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
     queries = rows.where(is_query).select(F.col("node").alias("asker"), F.col("vec_id").alias("query_id")).distinct()
@@ -133,98 +141,214 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, complete: bool =
     return own.select("query_id", F.row_number().over(rank).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _along_curves(nodes: DataFrame, keep: int) -> DataFrame:
+def _axes(nodes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of every curve's axes over all nodes, by the vectors' size."""
+
+    @kernels.released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, rows in _by_size(batch.column("embedding")):
+                place = np.einsum("ij,cjk->ick", _unit(rows), projections(rows.shape[1])).reshape(len(rows), -1)
+                own = np.stack([np.full(place.shape[1], len(rows)), place.sum(axis=0), (place**2).sum(axis=0)])
+                sums[rows.shape[1]] = sums.get(rows.shape[1], 0) + own
+        for size, (n, x, xx) in sums.items():
+            yield pa.record_batch([pa.array(np.full(len(n), size)), pa.array(np.arange(len(n))), pa.array(n), pa.array(x), pa.array(xx)], names=["size", "axis", "n", "x", "xx"])
+
+    sums = nodes.select("embedding").mapInArrow(run, "size long, axis long, n double, x double, xx double").groupBy("size", "axis").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
+    out = {}
+    for size, own in sums.toPandas().sort_values("axis").groupby("size"):
+        mean = (own["x"] / own["n"]).to_numpy().reshape(CURVES, -1)
+        spread = np.sqrt(np.maximum(0, (own["xx"] / own["n"]).to_numpy().reshape(CURVES, -1) - mean**2))
+        out[int(size)] = mean, spread
+    return out
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """The nodes in blocks along every curve: ``size, curve, block, names, asks, units``.
+
+    ``names`` and ``asks`` are lists; ``units`` are the unit vectors in single precision.  Blocks are numbered in
+    order within a curve and size.
+    """
+    axes = _axes(nodes)
+
     @kernels.released
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                unit = _unit(_matrix(batch.column("embedding")))
-                for curve in range(CURVES):
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), curve, np.int32)), pa.array(curve_key(unit, curve))], names=["node", "embedding", "asks", "curve", "key"])
+            for at, rows in _by_size(batch.column("embedding")):
+                unit = _unit(rows)
+                own = batch.take(pa.array(at))
+                units = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * rows.shape[1]), len(at), [None, pa.py_buffer(unit.astype(np.float32).tobytes())]).cast(pa.binary())
+                size = pa.array(np.full(len(at), rows.shape[1], np.int32))
+                for curve, key in enumerate(curve_keys(unit, *axes[rows.shape[1]])):
+                    yield pa.record_batch([own.column("node"), own.column("asks"), units, size, pa.array(np.full(len(at), curve, np.int32)), pa.array(key)], names=["node", "asks", "unit", "size", "curve", "key"])
 
     @kernels.released
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, []
+
+        def block(rows: pa.Table, line: tuple[int, int]) -> pa.RecordBatch:
+            columns = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (line[0], pa.int32()), (line[1], pa.int32()))]
+            lists = [pa.array([rows.column("node").to_pylist()]), pa.array([rows.column("asks").to_pylist()])]
+            units = pa.array([b"".join(rows.column("unit").to_pylist())], pa.binary())
+            return pa.record_batch([*columns, *lists, units], names=["part", "number", "size", "curve", "names", "asks", "units"])
+
+        now = None
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = _matrix(batch.column("embedding"))
-            unit = _unit(rows)
-            curve = batch.column("curve").to_numpy()
-            node = batch.column("node").to_numpy()
-            asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
-            for low in range(0, len(asks), 64):
-                some = asks[low : low + 64]
-                first, last = max(0, some[0] - WINDOW), min(len(rows), some[-1] + WINDOW + 1)
-                scores = unit[some] @ unit[first:last].T
-                at = np.arange(first, last)
-                scores[(np.abs(at[None, :] - some[:, None]) > WINDOW) | (curve[at][None, :] != curve[some][:, None])] = -3
-                q, c = _best(scores, keep).T
-                yield pa.record_batch([pa.array(node[some[q]]), pa.array(node[first + c]), pa.array(cosine(rows[some[q]], rows[first + c]))], names=["asker", "node", "score"])
-
-    on_curves = nodes.mapInArrow(keyed, "node long, embedding array<double>, asks boolean, curve int, key long")
-    ordered = on_curves.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
-    return ordered.mapInArrow(windows, "asker long, node long, score double").distinct()
-
-
-def _completed(nodes: DataFrame, found: DataFrame, keep: int) -> DataFrame:
-    """Pairs that beat what the curves have found, from all blocks that can hold such."""
-    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score")))
-    known = found.withColumn("rank", rank).where(F.col("rank") <= keep).groupBy("asker").agg(F.when(F.count("*") == keep, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
-    askers = nodes.where("asks").join(known, nodes["node"] == known["asker"]).select("node", "embedding", "least")
+            size, curve = (batch.column(c).to_numpy() for c in ("size", "curve"))
+            edges = np.flatnonzero((np.diff(size) != 0) | (np.diff(curve) != 0)) + 1
+            for low, high in zip([0, *edges], [*edges, len(batch)], strict=True):
+                if low == high:
+                    continue
+                line = int(size[low]), int(curve[low])
+                if line != now and held:
+                    yield block(pa.Table.from_batches(held), now)
+                    number, held = number + 1, []
+                now = line
+                while low < high:
+                    take = min(high - low, BLOCK_ROWS - sum(map(len, held)))
+                    held.append(batch.slice(low, take))
+                    low += take
+                    if sum(map(len, held)) == BLOCK_ROWS:
+                        yield block(pa.Table.from_batches(held), now)
+                        number, held = number + 1, []
+        if held:
+            yield block(pa.Table.from_batches(held), now)
+
+    on_curves = nodes.mapInArrow(keyed, "node string, asks boolean, unit binary, size int, curve int, key long")
+    ordered = on_curves.repartitionByRange("size", "curve", "key").sortWithinPartitions("size", "curve", "key")
+    blocks = cut(ordered.mapInArrow(packed, "part int, number int, size int, curve int, names array<string>, asks array<boolean>, units binary"))
+    # A number for each part of a line of blocks; there are as many as shuffle partitions.
+    parts = blocks.groupBy("size", "curve", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    earlier = Window.partitionBy("size", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("size", "curve", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("base"))
+    return cut(blocks.join(small(cut(parts)), ["size", "curve", "part"]).withColumn("block", F.col("base") + F.col("number")).select("size", "curve", "block", "names", "asks", "units"))
+
+
+def _fitted_window(nodes: DataFrame, blocks: DataFrame, k: int, target: float) -> int:
+    """The smallest window, in blocks to each side, that finds the share ``target`` of the sample's neighbours."""
+    chosen = nodes.where("asks").orderBy(F.xxhash64("node"), "node").limit(SAMPLE_QUERIES).collect()
+    asked: dict[int, tuple[list[str], np.ndarray]] = {}
+    for size in {len(r["embedding"]) for r in chosen}:
+        own = [r for r in chosen if len(r["embedding"]) == size]
+        asked[size] = [r["node"] for r in own], _unit(np.array([r["embedding"] for r in own], float))
 
     @kernels.released
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Held(k)
         for batch in batches:
-            if len(batch):
-                key = curve_key(_unit(_matrix(batch.column("embedding"))), 0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
-
-    def packed(size: int, extra: bool):
-        @kernels.released
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for low in range(0, len(batch), size):
-                    part = batch.slice(low, size)
-                    columns = [part.column("node").to_numpy().tobytes(), _matrix(part.column("embedding")).tobytes()]
-                    columns += [part.column("least").to_numpy().tobytes()] if extra else []
-                    yield pa.record_batch([pa.array([c], pa.binary()) for c in columns], names=["nodes", "rows", "least"][: len(columns)])
-
-        return run
-
-    by_key = nodes.select("node", "embedding").mapInArrow(keyed, "node long, embedding array<double>, key long").repartitionByRange("key").sortWithinPartitions("key")
-    blocks = cut(by_key.mapInArrow(packed(BLOCK_ROWS, False), "nodes binary, rows binary").withColumn("block", F.monotonically_increasing_id()))
-    asked = askers.mapInArrow(keyed, "node long, embedding array<double>, least double, key long").repartitionByRange("key").sortWithinPartitions("key")
-    asked = cut(asked.mapInArrow(packed(QUERY_ROWS, True), "nodes binary, rows binary, least binary"))
-    asked = cut(asked.select(F.col("nodes").alias("q_nodes"), F.col("rows").alias("q_rows"), "least", F.monotonically_increasing_id().alias("asked")))
-    groups = max(1, blocks.count() // 2)
-    numbers = asked.select("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    # Each block meets each block of queries; blocks are dealt to parts so that no query block's work is in one task.
-    left = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    pairs = left.select("block", "part").join(numbers, "part")
-    pairs = pairs.join(blocks, "block").join(asked, "asked").select("nodes", "rows", "q_nodes", "q_rows", "least")
+            node = np.array(batch.column("node").to_pylist(), object)
+            for at, rows in _by_size(batch.column("embedding")):
+                if rows.shape[1] in asked:
+                    names, units = asked[rows.shape[1]]
+                    scores = units @ _unit(rows).T
+                    scores[np.array(names, object)[:, None] == node[at][None, :]] = -3
+                    best.add(np.array(names, object), node[at], scores)
+        yield from best.batches()
+
+    true = _best(nodes.select("node", "embedding").mapInArrow(run, "asker string, node string, score double"), k).select("asker", "node").collect()
+    wanted = {r[c] for r in true for c in ("asker", "node")}
+
+    @kernels.released
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for curve, block, names in zip(batch.column("curve").to_pylist(), batch.column("block").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                some = [x for x in names if x in wanted]
+                yield pa.record_batch([pa.array(some, pa.string()), pa.array([curve] * len(some), pa.int32()), pa.array([block] * len(some), pa.int64())], names=["node", "curve", "block"])
+
+    at: dict[str, np.ndarray] = {}
+    for r in blocks.select("curve", "block", "names").mapInArrow(places, "node string, curve int, block long").collect():
+        at.setdefault(r["node"], np.zeros(CURVES, np.int64))[r["curve"]] = r["block"]
+    apart = np.sort([np.abs(at[r["asker"]] - at[r["node"]]).min() for r in true])
+    return int(apart[min(len(apart) - 1, int(np.ceil(target * len(apart))) - 1)]) if len(apart) else 0
+
+
+class _Held:
+    """The best finds of some queries; a pair that is found again counts once."""
+
+    def __init__(self, keep: int):
+        self.keep, self.found = keep, {}
+
+    def add(self, askers: np.ndarray, nodes: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a row for each asker and a column for each node; below -2 they don't count."""
+        k = min(self.keep, scores.shape[1])
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        values = np.take_along_axis(scores, top, axis=1)
+        for asker, places, own in zip(askers.tolist(), top, values, strict=True):
+            best = self.found.setdefault(asker, {})
+            least = min(best.values()) if len(best) >= self.keep else -2.0
+            better = own > least
+            if better.any():
+                best.update(zip(nodes[places[better]].tolist(), own[better].tolist(), strict=True))
+                if len(best) > 2 * self.keep:
+                    self.found[asker] = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[: self.keep])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        rows = [(asker, node, score) for asker, best in self.found.items() for node, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[: self.keep]]
+        self.found = {}
+        if rows:
+            askers, nodes, scores = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(askers), pa.array(nodes), pa.array(scores, pa.float64())], names=["asker", "node", "score"])
+
+
+def _best(found: DataFrame, keep: int) -> DataFrame:
+    """``asker, node, score``: the ``keep`` best finds of each asker."""
+    once = found.groupBy("asker", "node").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "node")
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("place")
+
+
+def _along_curves(blocks: DataFrame, window: int, keep: int) -> DataFrame:
+    """``asker, node, score`` of the blocks around each query's, with scores in single precision.
+
+    The queries of a block go to all blocks of the window, ``GROUP`` such blocks to a row; what a row holds doesn't
+    grow with the window.
+    """
+    asking = blocks.where(F.exists("asks", lambda x: x)).select("size", "curve", "block", "names", "asks", "units")
+
+    @kernels.released
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, units = [], []
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                use = np.flatnonzero(batch.column("asks")[i].values.to_numpy(zero_copy_only=False))
+                names.append([batch.column("names")[i][j].as_py() for j in use.tolist()])
+                units.append(np.frombuffer(batch.column("units")[i].as_buffer(), np.float32).reshape(-1, size)[use].tobytes())
+            yield pa.record_batch([*batch.select(["size", "curve", "block"]).columns, pa.array(names, pa.list_(pa.string())), pa.array(units, pa.binary())], names=["size", "curve", "block", "askers", "asked"])
+
+    asking = asking.mapInArrow(asks, "size int, curve int, block long, askers array<string>, asked binary")
+    sent = asking.withColumn("group", F.floor(F.col("block") / GROUP)).withColumn("to", F.explode(F.sequence(F.col("block") - window, F.col("block") + window)))
+    met = sent.groupBy("size", "curve", F.col("to").alias("block"), "group").agg(F.flatten(F.collect_list("askers")).alias("askers"), F.collect_list("asked").alias("asked"))
+    pairs = met.join(blocks.select("size", "curve", "block", "names", "units"), ["size", "curve", "block"])
+
+    @kernels.released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Held(keep)
+        for batch in batches:
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                rows = np.frombuffer(batch.column("units")[i].as_buffer(), np.float32).reshape(-1, size)
+                asked = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in batch.column("asked")[i]]).reshape(-1, size)
+                best.add(np.array(batch.column("askers")[i].as_py(), object), np.array(batch.column("names")[i].as_py(), object), asked @ rows.T)
+                if len(best.found) > HELD_QUERIES:
+                    yield from best.batches()
+        yield from best.batches()
+
+    return pairs.mapInArrow(run, "asker string, node string, score double")
+
+
+def _exact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``asker, node, score`` with the cosine of the vectors as they were given."""
+    vectors = [nodes.select(F.col("node").alias(name), F.col("embedding").alias(vector)) for name, vector in (("asker", "a"), ("node", "b"))]
+    both = pairs.select("asker", "node").join(vectors[0], "asker").join(vectors[1], "node").select("asker", "node", "a", "b")
 
     @kernels.released
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: E731, B023
-                node, asker, least = get("nodes", np.int64), get("q_nodes", np.int64), get("least", np.float64)
-                rows, asks = get("rows", np.float64).reshape(len(node), -1), get("q_rows", np.float64).reshape(len(asker), -1)
-                unit, query = _unit(rows), _unit(asks)
-                centre = unit.mean(axis=0)
-                length = np.linalg.norm(centre)
-                if length > 1e-12:
-                    centre /= length
-                    radius = np.arccos(np.clip((unit @ centre).min(), -1, 1))
-                    nearest = np.cos(np.maximum(0, np.arccos(np.clip(query @ centre, -1, 1)) - radius))
-                    use = np.flatnonzero(nearest >= least - 1e-9)
-                else:
-                    use = np.arange(len(asker))
-                for low in range(0, len(use), 256):
-                    some = use[low : low + 256]
-                    scores = query[some] @ unit.T
-                    scores[scores < least[some][:, None] - 1e-9] = -3
-                    q, c = _best(scores, keep).T
-                    yield pa.record_batch([pa.array(asker[some[q]]), pa.array(node[c]), pa.array(cosine(asks[some[q]], rows[c]))], names=["asker", "node", "score"])
-
-    return pairs.mapInArrow(evaluate, "asker long, node long, score double")
+            scores = np.empty(len(batch))
+            other = batch.column("b")
+            for at, rows in _by_size(batch.column("a")):
+                b = other.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                scores[at] = cosine(rows, b)
+            yield pa.record_batch([batch.column("asker"), batch.column("node"), pa.array(scores)], names=["asker", "node", "score"])
+
+    return both.mapInArrow(run, "asker string, node string, score double")
