@@ -42,7 +42,9 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """``conv_id, turn, place, ids, loss_mask``: every turn's tokens and mask.
 
     A conversation's sequence is its rows by ``turn``, nulls last, then ``place``, which orders rows of the
-    same turn by role and text.  Null roles and texts are empty.  ``conv_id`` null is a conversation.
+    same turn by role and text; repeated rows are turns of their own.  Null roles and texts are empty.  ``conv_id``
+    null is a conversation.  Texts of any length are encoded whole, other columns are ignored, and an empty table gives
+    no rows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]

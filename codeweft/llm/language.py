@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import cut
+from codeweft.llm.frames import cut, small
 
 UNKNOWN = "und"
 WIDTHS = (3, 4)
@@ -27,7 +27,6 @@ WIDTHS = (3, 4)
 PROBES, FALSE_POSITIVES = 3, 0.005
 #: An n-gram belongs to a language where its share is at least this part of its share in any language.
 BELONGS = 0.2
-MAX_LANGUAGES = 4096
 
 
 def grams(part: kernels.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +106,8 @@ def learn(examples: DataFrame) -> Filters:
     """Filters from ``text, lang`` rows; rows with a null in either are left out.
 
     Every n-gram that belongs to a language enters its filter, whose rows are sized by a count.  The bits are put
-    together by Spark; the driver gets the finished table, 8 bytes for a row and 64 languages.
+    together by Spark; the driver gets the finished table, 8 bytes for a row and 64 languages, besides a name and a
+    count for each language.
     """
     rows = examples.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -129,15 +129,13 @@ def learn(examples: DataFrame) -> Filters:
             yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counts = cut(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()
     languages = [r["lang"] for r in sorted(totals, key=lambda r: (-r["total"], r["lang"]))]
     if not languages:
         return Filters([], np.zeros((rows_for(0), 0), np.uint64), np.zeros(0))
     total = {r["lang"]: r["total"] for r in totals}
     sizes = examples.sparkSession.createDataFrame([(lang, k, total[lang]) for k, lang in enumerate(languages)], "lang string, number int, total long")
-    shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("total"))
+    shares = counts.join(small(sizes), "lang").withColumn("share", F.col("n") / F.col("total"))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     own = cut(shares.join(most, "gram").where(F.col("share") >= BELONGS * F.col("most")).select("number", "gram"))
     most_members = own.groupBy("number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -163,7 +161,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     ``und`` with score 0 is given for null texts, texts without a letter, and all texts if nothing was learnt.
     The score is the language's part of all languages' counts; a text none of whose n-grams is known goes to
-    the most common language with score 0; ties go to the more common language.
+    the most common language with score 0; ties go to the more common language.  Texts of any length are read whole,
+    repeated rows are predicted alike and each returned, other columns stay as they are, and an empty table gives no
+    rows.
     """
     plain = docs.drop("lang_pred", "score")
     names = [*plain.columns, "lang_pred", "score"]

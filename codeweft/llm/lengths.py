@@ -20,8 +20,10 @@ BLOCK = 1024
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``length, n_docs``: how many texts encode to so many tokens; null and empty texts have length 0.
 
-    ``tokenizer`` is a file of byte-level ranks.  Each task counts its own rows, so what is shuffled is one row for each length and task.
-    The histogram is written, so that no text is encoded again for each of its uses.
+    ``tokenizer`` is a file of byte-level ranks.  Each task counts its own rows, so what is shuffled is one row for
+    each length and task.  The histogram is written, so that no text is encoded again for each of its uses.  Texts of
+    any length are encoded whole, repeated rows and equal lengths count as often as they occur, other columns are
+    ignored, and an empty table gives an empty histogram.
     """
 
     @kernels.released
@@ -36,13 +38,17 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     return cut(counted.groupBy("length").agg(F.sum("n").alias("n_docs")))
 
 
-def answers(hist: DataFrame) -> DataFrame:
-    """For every length that occurs, as a context limit: totals, suffix sums, truncated totals and ranks.
+def answers(hist: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """For every length that occurs, and every one in ``limits.length``, as a context limit: totals, suffix sums,
+    truncated totals and ranks.
 
     Suffix sums go in two levels, within blocks of ``BLOCK`` lengths and over the blocks' totals, so no task
     sorts the whole histogram.  ``truncated_tokens`` is the total when every document is cut to ``length``
-    tokens; ``docs_up_to`` is the rank that answers quantiles.  An empty histogram gives no rows.
+    tokens; ``docs_up_to`` is the rank that answers quantiles.  An empty histogram without limits gives no rows.
     """
+    if limits is not None:
+        asked = limits.select(F.col("length").cast("long").alias("length"), F.lit(0).cast("long").alias("n_docs"))
+        hist = hist.unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
     own = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -35,7 +35,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     trap = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.digests(chat.format_turns(turns.unionByName(trap), BYTE_VOCABULARY), BYTE_VOCABULARY)
+    return chat.digests(chat.format_turns(turns.unionByName(trap), BYTE_VOCABULARY), BYTE_VOCABULARY).drop("n_tokens")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_importance_resampling, op2_token_counts, op3_toxicity, op4_chat_format, op5_near_duplicates, op6_language, op7_nearest_neighbours, op8_source_mixing, op9_packing, op10_quality_rules)}
 
 
+_CHAT = r"""WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
+rows_of AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', text FROM said UNION ALL SELECT -1, 1, 'assistant', text FROM said),
+placed AS (SELECT *, md5(role || chr(10) || text) AS place FROM rows_of)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, place)) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
+_RULES = r"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+lines AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line),
+dups AS (SELECT rid, sum(n - 1) AS n_dup_lines FROM lines GROUP BY rid),
+eights AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS eight FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) >= 8)),
+twice AS (SELECT rid, i FROM eights QUALIFY count(*) OVER (PARTITION BY rid, eight) > 1),
+repeats AS (SELECT rid, count(DISTINCT w) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS w FROM twice) GROUP BY rid),
+counted AS (SELECT rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM split LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid)),
+ruled AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM ruled GROUP BY source),
+moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v, avg(1 / n) AS inverse FROM hosts),
+spread AS (SELECT m, CASE WHEN inverse < 1 THEN (v - m * (1 - m) * inverse) / (1 - inverse) ELSE 0 END AS between_hosts FROM moments),
+prior AS (SELECT m, CASE WHEN between_hosts > 0 THEN least(greatest(m * (1 - m) / between_hosts - 1, 2), 1000) ELSE 1000 END AS strength FROM spread),
+bad AS (SELECT source FROM hosts, prior WHERE (failed + m * strength) / (n + strength) > greatest(0.25, 8 * m / (1 - m + 8 * m)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM ruled.source) AS kept FROM ruled"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what DuckDB can express; the rest needs hashes, models or tokenizers, and is tested by brute force."""
+    return {"op4_chat_format": _CHAT, "op10_quality_rules": _RULES}
