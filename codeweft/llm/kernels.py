@@ -164,7 +164,7 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
     """Sums by text."""
     if weights is None:
         return np.bincount(owner, minlength=n).astype(np.int64)
-    return np.bincount(owner, weights=weights, minlength=n)
+    return np.bincount(owner, weights=weights, minlength=n).astype(np.float64)  # of nothing it gives integers
 
 
 _letter: list[np.ndarray] = []

@@ -92,9 +92,23 @@ def test_host_verdicts(docs, spark):
     judged = quality_rules.judge(docs)
     assert judged.count() == len(ROWS)
     assert {r["doc_id"] for r in judged.where("kept").collect()} == {1, 2}
-    hosts = spark.createDataFrame([("good", 1000, 10), ("bad", 1000, 990), ("tiny", 1, 1)], "host string, n long, failed long")
-    assert {r["host"]: r["host_failed"] for r in quality_rules.host_verdicts(hosts).collect()}["bad"]
     assert quality_rules.judge(docs.limit(0)).count() == 0
+    hosts = spark.createDataFrame([("good", 1000, 10), ("fair", 1000, 20), ("bad", 1000, 700), ("tiny", 1, 1), *((f"g{i}", 500, 5) for i in range(8))], "host string, n long, failed long")
+    got = {r["host"]: r["host_failed"] for r in quality_rules.host_verdicts(hosts).collect()}
+    assert got["bad"] and not got["good"] and not got["fair"]
+    alike = spark.createDataFrame([(f"h{i}", 100, 9 + i % 3) for i in range(20)], "host string, n long, failed long")
+    assert not any(r["host_failed"] for r in quality_rules.host_verdicts(alike).collect())
+
+
+def test_host_verdict_reaches_documents(spark):
+    """A document that passes the base rules goes with its host; columns named like the results are replaced."""
+    rows = [(i, LONG if i % 20 else "short", f"h{i % 10}", "x", False) for i in range(400)] + [(1000 + i, "short" if i % 5 else LONG, "junk", "x", True) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host string, kept boolean")
+    judged = quality_rules.judge(docs)
+    assert sorted(judged.columns) == sorted({*docs.columns, *quality_rules.RULES, "base_failed"})
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in judged.collect()}
+    assert got[1000] == (False, False) and got[1] == (False, True) and got[20] == (True, False)
+    assert {k for k, v in got.items() if v[1]} == {i for i in range(400) if i % 20}
 
 
 def test_near_duplicates(docs, spark):
@@ -130,6 +144,8 @@ def test_mixing(docs):
     aims = mixing.targets({"a": 100, "b": 1000, None: 10})
     assert [x[0] for x in aims] == ["a", "b", None] and abs(sum(x[2] for x in aims) - 1.5 * 1110) < 1e-6
     assert sorted(mixing.permute(np.arange(1000), 1000, 5).tolist()) == list(range(1000))
+    wide = mixing._halve(np.array([3 * 10**9, 10**9]), 2 * 10**9, np.random.default_rng(0))
+    assert wide.sum() == 2 * 10**9 and abs(wide[0] - 1.5 * 10**9) < 2 * 10**5 and wide[0] != 15 * 10**8
     plan = mixing.Plan(np.array([900, 50]), np.array([9000, 70]), 1)
     before = np.zeros(2, np.int64)
     for k in range(plan.n_shards):
@@ -160,20 +176,47 @@ def test_language(docs, spark):
     assert language.predict(docs, nothing).where("lang_pred = 'und' and score = 0").count() == len(ROWS)
 
 
+def near_by_hand(rows, k=5, every=50):
+    valid = [(i, np.array(v)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q, v in valid:
+        if q % every == 0:
+            near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in valid if i != q and len(w) == len(v))
+            out[q] = [i for _, i in near[:k]]
+    return out
+
+
+def found(frame):
+    got: dict[int, list[int]] = {}
+    for r in frame.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
-    rows += [(300 + i, [1.0] * 8) for i in range(12)] + [(400, None), (450, [0.0] * 8), (500, [float("nan")] * 8), (550, [None] * 8), (600, [1.0])]
-    got: dict[int, list[int]] = {}
-    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    valid = [(i, np.array(v)) for i, v in rows if i < 400]
-    for q, v in valid:
-        if q % 50 == 0:
-            near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in valid if i != q)
-            assert got.pop(q) == [i for _, i in near[:5]]
-    assert not got
-    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    rows += [(300 + i, [1.0] * 8) for i in range(12)] + [(400, None), (450, [0.0] * 8), (500, [float("nan")] * 8), (550, [None] * 8), (600, [1.0]), (650, [2.0]), (651, [-3.0])]
+    vectors = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, node string, score double")
+    assert found(neighbours.search(vectors)) == near_by_hand(rows)
+    assert neighbours.search(vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "most"), [("even", None), ("clusters", 1)])
+def test_curves_find_neighbours(spark, kind, most, monkeypatch):
+    """Recall against brute force of what the curves find, for queries divisible by 20 on all rows."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(4000, 32))
+    if kind == "clusters":
+        points = rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)] + 0.2 * points
+    rows = list(enumerate(points.tolist()))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nodes = neighbours.usable(vectors).select(neighbours.identity("embedding").alias("node"), "embedding", (neighbours.F.col("vec_id") % 20 == 0).alias("asks"))
+    window = neighbours._fitted_window(nodes, neighbours._blocks(nodes), 5, neighbours.TARGET)
+    assert most is None or window <= most
+    got, want = found(neighbours.search(vectors, every=20, window=window)), near_by_hand(rows, every=20)
+    assert sum(len(set(got[q]) & set(near)) for q, near in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
 def test_resampling(docs, spark):
@@ -187,6 +230,41 @@ def test_resampling(docs, spark):
     assert values.where(values["v"] >= resampling.kth_largest(values, "v", 2)).count() == 3
 
 
+def test_weights_by_hand(docs, spark):
+    """A weight is the sum over all n-grams of the log ratio of two smoothed models, whatever the text's length."""
+    labels = spark.createDataFrame([(1, 1), (6, 1)], "doc_id long, quality int")
+    texts = [r[1] or "" for r in ROWS]
+    grams = [resampling.ngram_buckets(p)[0].tolist() if t else [] for t in texts for p in kernels.slices(pa.array([t]))]
+    good, raw = collections.Counter(), collections.Counter()
+    for (doc_id, *_), own in zip(ROWS, grams, strict=True):
+        raw.update(own)
+        good.update(own if doc_id in (1, 6) else [])
+    chance = lambda c, g: (c[g] + 1) / (sum(c.values()) + resampling.BUCKETS)
+    want = sorted(sum(math.log(chance(good, g) / chance(raw, g)) for g in own) for own in grams)
+    got = sorted(r["log_weight"] for r in resampling.resample(docs, labels, carry=("doc_id",))[0].collect())
+    assert np.allclose(got, want)
+
+
+def test_gumbel_keys_sample_by_weight(spark):
+    """Over many seeds the largest of a few keys falls on each text in proportion to its weight."""
+    texts = ["aa bb", "cc dd", "ee", "ff gg hh"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    ratios = np.linspace(-1.5, 1.5, resampling.BUCKETS)
+    rows = [{r["doc_id"]: (r["log_weight"], r["gumbel_key"]) for r in resampling.weigh(docs, ratios, seed).collect()} for seed in range(40)]
+    weight = np.array([rows[0][k][0] for k in range(4)])
+    noise = [part.data for part in kernels.slices(pa.array(texts))]
+    assert len(noise) == 1
+    part = next(kernels.slices(pa.array(texts)))
+    code = kernels.RangeHash(part.data)(part.offsets[:-1], part.offsets[1:])
+    wins = np.zeros(4)
+    for seed in range(20_000):
+        key = weight - np.log(-np.log(kernels.uniform(kernels.mix64(code + np.uint64(seed)))))
+        wins[key.argmax()] += 1
+        if seed < 40:
+            assert np.allclose(key, [rows[seed][k][1] for k in range(4)])
+    assert np.abs(wins / wins.sum() - np.exp(weight) / np.exp(weight).sum()).max() < 0.02
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["garden", "window", "little", "summer", "letter", "morning", "simple", "station", "picture", "idle", "diot"]
@@ -266,3 +344,193 @@ def test_probes_are_spread(rows):
     places = [language.probed(keys, probe, rows) for probe in range(language.PROBES)]
     assert all(0 <= p.min() and p.max() < rows and p.max() > 0.99 * rows for p in places)
     assert abs(np.corrcoef(places)[np.triu_indices(3, 1)]).max() < 0.1
+
+
+def test_viterbi_finds_the_cheapest_path():
+    """Against all paths through the lattice of short words."""
+    rng = np.random.default_rng(9)
+    channel = toxicity.Channel(rng.integers(0, 50, size=(toxicity.SYMBOLS,) * 3))
+
+    def price(text):
+        total, x, y = 0.0, 0, 0
+        for c in text:
+            z = toxicity._CODE.get(c, 0)
+            total, x, y = total + (channel.cost[x, y, z] if z else 8.0), y, z
+        return total + channel.cost[x, y, 0]
+
+    for word in ("1d10t", "m00r0n", "l0$3r", "aaab!!", "b4dd", "5h1t+", "a", "7", "zzz0"):
+        paths, i = [("", 0.0)], 0
+        while i < len(word):
+            times = len(word) - i - len(word[i:].lstrip(word[i]))
+            paths = [(text + reading, cost + extra) for text, cost in paths for reading, extra in channel.readings(word[i], times)]
+            i += times
+        best = min(cost + price(text) for text, cost in paths)
+        chosen = channel.restore(word)
+        assert math.isclose(min(cost + price(text) for text, cost in paths if text == chosen), best, abs_tol=1e-9)
+
+
+def test_filters_hold_exact_sets(spark):
+    """Every n-gram given to a language is found in its filter, and others about as seldom as the bound says."""
+    rng = random.Random(8)
+    text = {lang: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(3000)) for lang, letters in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("cc", "стуфхцчш"))}
+    learnt = language.learn(spark.createDataFrame([(t, lang) for lang, t in text.items()], "text string, lang string"))
+    grams = {lang: collections.Counter(language.grams(next(kernels.slices(pa.array([t]))))[0].tolist()) for lang, t in text.items()}
+    share = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in grams.items()}
+    sets = {lang: {g for g, s in own.items() if s >= language.BELONGS * max(o.get(g, 0) for o in share.values())} for lang, own in share.items()}
+    every = np.array(sorted({g for own in grams.values() for g in own}), np.uint64)
+    wrong = others = 0
+    for k, lang in enumerate(learnt.languages):
+        bits = np.ones(len(every), bool)
+        for probe in range(language.PROBES):
+            bits &= (learnt.bits[language.probed(every, probe, len(learnt.bits)), k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)
+        inside = np.array([g in sets[lang] for g in every.tolist()])
+        assert bits[inside].all()
+        wrong, others = wrong + int(bits[~inside].sum()), others + int((~inside).sum())
+    assert wrong <= 3 * language.FALSE_POSITIVES * others + 5
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    """A large group of near copies, chains of edits, multisets that differ by counts only, and unlike texts."""
+    pick = random.Random(11)
+    base = [f"w{pick.randrange(300)}" for _ in range(150)]
+    edit = lambda words, n: [f"e{pick.randrange(10**6)}" if i in set(pick.sample(range(len(words)), n)) else w for i, w in enumerate(words)]
+    texts = [edit(base, pick.randrange(3)) for _ in range(60)]
+    chain = [f"c{pick.randrange(300)}" for _ in range(120)]
+    for _ in range(12):
+        chain = edit(chain, 1)
+        texts.append(chain)
+    texts += [["x", "y", "z", "u", "v"] * n for n in (10, 11, 13, 20)] + [[f"u{pick.randrange(400)}" for _ in range(80)] for _ in range(40)] + [["a"], ["a", "b"], ["a"]]
+    texts = [" ".join(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    bags = []
+    for t in texts:
+        words = t.split()
+        bags.append(collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))))
+    for i, a in enumerate(bags):
+        for j in range(i):
+            both = sum((a & bags[j]).values())
+            if both >= 0.8 * (sum(a.values()) + sum(bags[j].values()) - both):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
+def test_pivot_of_many_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_KEY", 3)
+    texts = spark.createDataFrame([(i, f"one two three four five {i}") for i in range(20)], "node long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 20)], "a long, b long")
+    assert sorted((r["a"], r["b"], r["text_a"]) for r in near_dedup._with_text(pairs, texts, "a", "text_a").collect()) == [(0, i, "one two three four five 0") for i in range(1, 20)]
+
+
+def test_mix_replayed(spark):
+    """Words taken, from the slots and the streams replayed in plain Python; targets by hand; reruns agree."""
+    pick = random.Random(3)
+    rows = [(i, " ".join(["w"] * pick.randrange(0, 90)), pick.choice(["b", "a", None, "c"]) if i % 3 else "hot", "n", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, runs string, row int")
+    got = {r["doc_id"]: r for r in mixing.taken(docs, block_words=16).collect()}
+    placed, slots = mixing.place(docs, block_words=16)
+    times = collections.Counter((r["source_no"], r["block"]) for r in slots.collect())
+    streams: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.collect():
+        streams.setdefault(r["source_no"], []).append((r["start"], r["doc_id"]))
+        size = len(rows[r["doc_id"]][1].split())
+        words = sum(times[r["source_no"], w // 16] for w in range(r["start"], r["start"] + size))
+        assert (got[r["doc_id"]]["size"], got[r["doc_id"]]["taken"]) == (size, words)
+    for own in streams.values():  # every source is one stream without gaps
+        at = 0
+        for start, doc_id in sorted(own, key=lambda x: (x[0], got[x[1]]["size"])):
+            assert start == at
+            at += got[doc_id]["size"]
+    sizes: dict[str | None, int] = {}
+    for _, text, source, *_ in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    target = dict.fromkeys(sizes, 0.0)
+    full: set = set()
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[x] for x in full)
+        level = rest / sum(weight[x] for x in names if x not in full)
+        target = {x: 2.0 * sizes[x] if x in full else level * weight[x] for x in names}
+        above = {x for x in names if target[x] > 2 * sizes[x] + 1e-9}
+        if not above:
+            break
+        full |= above
+    taken: collections.Counter = collections.Counter()
+    for doc_id, _, source, *_ in rows:
+        taken[source] += got[doc_id]["taken"]
+        assert abs(got[doc_id]["target"] - target[source]) < 1e-6
+    assert all(abs(taken[x] - target[x]) <= 40 for x in names)
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken(docs, block_words=16).collect()} == {k: r["taken"] for k, r in got.items()}
+    assert mixing.mixed_documents(docs, block_words=16).columns == docs.columns
+
+
+def test_pieces_join_to_the_ids(spark, docs):
+    """Every document's pieces are its ids by the tokenizer, once each, with their checksums."""
+    import zlib
+
+    tokenizer = Tokenizer.from_file(WORD_VOCABULARY)
+    want: dict = collections.defaultdict(list)
+    for doc_id, text, *_ in ROWS:
+        want[doc_id].append([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
+    for doc_id, streams in want.items():
+        ids = streams[0]
+        own = [r for r in packing.pack(docs, WORD_VOCABULARY, max_length=64).collect() if r["doc_id"] == doc_id]
+        starts: dict = collections.Counter()
+        for r in own:
+            assert r["doc_tokens"] == len(ids) and r["ids"] == ids[r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+            starts[r["start"]] += 1
+        assert set(starts.values()) == {len(streams)} and sum(r["length"] for r in own) == len(ids) * len(streams)
+
+
+def test_memory_is_bounded():
+    """The memo of words starts anew within its bytes, and slices hold few texts however short these are."""
+    encoder = WordEncoder.cached(WORD_VOCABULARY)
+    most = 0
+    for k in range(12):
+        words = pa.array([" ".join(f"q{k}x{i}" for i in range(60_000))])
+        for part in kernels.slices(words):
+            encoder.encode(part)
+        most = max(most, encoder.memo_bytes())
+    assert most <= 28 << 20
+    assert max(len(p) for p in kernels.slices(pa.array(["a"] * 10_000))) == kernels.SLICE_TEXTS
+
+
+def test_limits_that_do_not_occur(spark, docs):
+    encode = byte_encoding(BYTE_VOCABULARY).encode_ordinary
+    sizes = [len(encode(r[1] or "")) for r in ROWS]
+    asked = spark.createDataFrame([(10,), (100_000,)], "length int")
+    got = {r["length"]: r for r in lengths.answers(lengths.histogram(docs, BYTE_VOCABULARY), asked).collect()}
+    for limit in (10, 100_000):
+        assert got[limit]["n_docs"] == 0 and got[limit]["truncated_tokens"] == sum(min(s, limit) for s in sizes)
+
+
+HUGE = " ".join(f"word{i % 5000} l0ser" if i % 7 else f"line{i}\n" for i in range(120_000))
+
+
+def test_very_long_texts(spark):
+    """A text of over a megabyte passes every operator whole, beside columns named like results."""
+    rows = [(1, HUGE, "en", "a", 5, 0.5, True, "x"), (2, LONG, "en", "a", 5, 0.5, True, "x"), (3, HUGE + " end", "de", "b", 5, 0.5, False, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, lang_pred string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    n = len(HUGE.split())
+    assert resampling.resample(docs, labels)[0].count() == 3
+    encode = byte_encoding(BYTE_VOCABULARY).encode_ordinary
+    assert {r["length"] for r in lengths.answers(lengths.histogram(docs, BYTE_VOCABULARY)).collect()} >= {len(encode(HUGE))}
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == 3
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert language.predict(docs, language.learn(docs)).columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+    assert {r["doc_id"]: r["size"] for r in mixing.taken(docs).collect()} == {1: n, 2: 400, 3: n + 1}
+    assert sum(r["length"] for r in packing.pack(docs.where("doc_id = 1"), WORD_VOCABULARY).collect()) == len(Tokenizer.from_file(WORD_VOCABULARY).encode(HUGE, add_special_tokens=False).ids) + 1
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs).collect()} == {1: n, 2: 400, 3: n + 1}
+    turns = spark.createDataFrame([(1, 0, "assistant", HUGE, 1), (1, 0, "assistant", HUGE, 1)], "conv_id long, turn long, role string, text string, place int")
+    said = chat.digests(chat.format_turns(turns, BYTE_VOCABULARY), BYTE_VOCABULARY).first()
+    assert (said["n_turns"], said["loss_chars"], said["loss_sha256"]) == (2, 2 * len(HUGE), hashlib.sha256((HUGE * 2).encode()).hexdigest())
+    assert chat.digests(chat.format_turns(turns.limit(0), BYTE_VOCABULARY), BYTE_VOCABULARY).count() == 0
