@@ -7,51 +7,126 @@ is made distinct: the rows are those of a recursive union without its paths.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.scratch import cut
+from codeweft.functions.scalars import chain_layer, layer, trace_line
+from codeweft.operators.lookup import resolve_entry
+from codeweft.scratch import cut_counted
 
+#: Sources up to which edges are joined as they are; with more of them duplicate edges are taken out first.
+FEW = 1000
 
-def traverse(edges: DataFrame, sources: DataFrame, *, max_depth: int = 10, reverse: bool = False, relation: str | None = "calls", symbols: DataFrame | None = None) -> DataFrame:
-    """Edges reachable from the nodes in ``sources.fqn``, forwards or in reverse.
 
-    With ``symbols`` an edge whose far end is not a symbol is dropped and ends the walk there.
-    """
-    near, far = ("to_fqn", "from_fqn") if reverse else ("from_fqn", "to_fqn")
+def links_of(edges: DataFrame, *, reverse: bool, relation: str | None, symbols: DataFrame | None = None) -> DataFrame:
+    """Distinct ``from_fqn, to_fqn`` of one relation; with ``symbols`` only those whose far end is one of them."""
+    far = "from_fqn" if reverse else "to_fqn"
     if relation is not None:
         edges = edges.where(F.col("relation") == relation)
     links = edges.select("from_fqn", "to_fqn").distinct()
     if symbols is not None:
         links = links.join(symbols.select(F.col("fqn").alias(far)).distinct(), far, "left_semi")
-    links = cut(links.select("from_fqn", "to_fqn"))
-    frontier = sources.select(F.col("fqn").alias("source"), F.col("fqn").alias(near)).distinct()
+    return links.select("from_fqn", "to_fqn")
+
+
+def traverse(edges: DataFrame, sources: DataFrame, *, max_depth: int = 10, reverse: bool = False, relation: str | None = "calls", symbols: DataFrame | None = None) -> DataFrame:
+    """Edges reachable from the nodes in ``sources.fqn``, forwards or in reverse.
+
+    With ``symbols`` an edge whose far end is not a symbol is dropped and ends the walk there.
+    """
+    near, far = ("to_fqn", "from_fqn") if reverse else ("from_fqn", "to_fqn")
+    starts = sources.select("fqn").distinct()
+    if symbols is None and starts.limit(FEW + 1).count() <= FEW:
+        links = edges if relation is None else edges.where(F.col("relation") == relation)
+    else:
+        links, _ = cut_counted(links_of(edges, reverse=reverse, relation=relation, symbols=symbols))
+    frontier = starts.select(F.col("fqn").alias("source"), F.col("fqn").alias(near))
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        level = cut(frontier.join(links, near).select("source", F.lit(depth).alias("depth"), "from_fqn", "to_fqn"))
-        if level.isEmpty():
-            break
+        met = frontier.join(links.select("from_fqn", "to_fqn"), near).select("source", F.lit(depth).alias("depth"), "from_fqn", "to_fqn").distinct()
+        level, n = cut_counted(met)
         levels.append(level)
+        if not n:
+            break
         frontier = level.select("source", F.col(far).alias(near)).distinct()
-    if not levels:
-        return level
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return reduce(DataFrame.unionByName, levels)
+
 
+def neighbourhood(edges: DataFrame, symbols: DataFrame, start: str, *, direction: str = "both", relation: str = "calls", depth: int = 3, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and totals around ``start``.
 
-def neighbourhood(edges: DataFrame, symbols: DataFrame, start: str, *, relation: str, depth: int, limit: int) -> DataFrame:
-    """Symbols at the ends of the edges around ``start`` in both directions, and ``start`` itself."""
+    For each direction the first ``2 * limit`` edges by depth and ends are taken, one after the other; nodes are the symbols at
+    their ends and ``start``, at most ``limit`` by FQN.  The totals are one row: ``max_depth, total_nodes,
+    total_edges, truncated``, with the nodes counted before they are cut.
+    """
+    if direction not in ("outgoing", "incoming", "both"):
+        raise ValueError(f"unknown direction {direction!r}")
     source = edges.sparkSession.createDataFrame([(start,)], "fqn string")
-    both = [traverse(edges, source, max_depth=depth, reverse=r, relation=relation).orderBy("depth", "from_fqn", "to_fqn").limit(2 * limit) for r in (False, True)]
-    ends = both[0].unionByName(both[1]).select(F.explode(F.array("from_fqn", "to_fqn")).alias("fqn")).unionByName(source).distinct()
-    return symbols.join(ends, "fqn", "left_semi").orderBy("fqn").limit(limit)
+    walks = []
+    for name in ("outgoing", "incoming"):
+        if direction in (name, "both"):
+            walk = traverse(edges, source, max_depth=depth, reverse=name == "incoming", relation=relation)
+            walks.append(walk.orderBy("depth", "from_fqn", "to_fqn").limit(2 * limit).select(F.lit(name).alias("direction"), "depth", "from_fqn", "to_fqn", F.lit(relation).alias("relation")))
+    found, n_edges = cut_counted(reduce(DataFrame.unionByName, walks))
+    ends = found.select(F.explode(F.array("from_fqn", "to_fqn")).alias("fqn")).unionByName(source).distinct()
+    nodes, n_nodes = cut_counted(symbols.join(ends, "fqn", "left_semi"))
+    totals = edges.sparkSession.createDataFrame([(depth, n_nodes, n_edges, n_nodes > limit)], "max_depth int, total_nodes long, total_edges long, truncated boolean")
+    return node_rows(nodes).orderBy("fqn").limit(limit), found, totals
+
+
+def node_rows(symbols: DataFrame) -> DataFrame:
+    """Symbols as nodes of a graph: ``fqn, kind, name, layer, file_path`` and what else is known of them in ``metadata``."""
+    extra = [c for c in ("modifiers", "signature") if c in symbols.columns]
+    shown = symbols.select("fqn", "kind", "name", layer(F.col("kind"), F.col("annotations")).alias("layer"), "file_path", *extra)
+    return shown.withColumn("metadata", F.struct(*extra)).drop(*extra) if extra else shown
 
 
 def affected(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """The changed symbols, their callers and their parents."""
     fqns = changed.select("fqn").distinct()
     callers = edges.where("relation = 'calls'").join(fqns.withColumnRenamed("fqn", "to_fqn"), "to_fqn", "left_semi").select(F.col("from_fqn").alias("fqn"))
-    parents = symbols.join(fqns, "fqn", "left_semi").where("parent_fqn is not null").select(F.col("parent_fqn").alias("fqn"))
-    return fqns.unionByName(callers).unionByName(parents).distinct()
+    return fqns.unionByName(callers).unionByName(parents(symbols, fqns).select(F.col("parent_fqn").alias("fqn"))).distinct()
+
+
+def parents(symbols: DataFrame, fqns: DataFrame) -> DataFrame:
+    """``fqn, parent_fqn`` of those symbols in ``fqns.fqn`` that have a parent."""
+    return symbols.join(fqns.select("fqn").distinct(), "fqn", "left_semi").where("parent_fqn is not null").select("fqn", "parent_fqn")
+
+
+def with_layers(chain: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A chain with the layer of each called symbol; what is no symbol has a layer by its FQN."""
+    known = symbols.select(F.col("fqn").alias("to_fqn"), "name", "annotations")
+    return chain.join(known, "to_fqn", "left").withColumn("layer", chain_layer(F.col("annotations"), F.col("name"), F.col("to_fqn"))).drop("name", "annotations")
+
+
+def chain_dependencies(chain: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Dependencies of all symbols in a chain, one for each ``target``: the first by caller and type."""
+    members = chain.select(F.explode(F.array("from_fqn", "to_fqn")).alias("caller_fqn")).distinct()
+    first = F.min(F.struct("caller_fqn", "dependency_type", "strength")).alias("d")
+    return dependencies.join(members, "caller_fqn", "left_semi").groupBy("target").agg(first).select("d.*", "target")
+
+
+def max_depth(chain: DataFrame) -> DataFrame:
+    """The depth of a chain as one row, 0 if it is empty."""
+    return chain.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+
+
+def trace(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame, fqn: str, *, depth: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The call chain of a symbol with layers, its dependencies and its depth."""
+    chain = traverse(edges, edges.sparkSession.createDataFrame([(fqn,)], "fqn string"), max_depth=depth)
+    return with_layers(chain, symbols), chain_dependencies(chain, dependencies), max_depth(chain)
+
+
+def trace_entry(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame, entries: DataFrame, path: str, *, depth: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``trace`` of the entry point that answers an HTTP path; an error if there is none."""
+    entry = resolve_entry(entries, path).first()
+    if entry is None:
+        raise ValueError(f"no entry point for {path!r}")
+    return trace(symbols, edges, dependencies, entry["symbol_fqn"], depth=depth)
+
+
+def rendered(chain: DataFrame) -> DataFrame:
+    """``depth, from_fqn, to_fqn, line``: a layered chain as indented lines."""
+    return chain.select("depth", "from_fqn", "to_fqn", trace_line(F.col("depth"), F.col("to_fqn"), F.col("layer")).alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import is_test_file
+from codeweft.scratch import small
 
 
 def coverage(symbols: DataFrame, edges: DataFrame, relation: str | None = None) -> DataFrame:
@@ -48,5 +49,23 @@ def sliding_count(requests: DataFrame, seconds: int) -> DataFrame:
 
 def cost_rollup(usage: DataFrame, rates: DataFrame, default: float = 0.001) -> DataFrame:
     """Tokens and cost for each model and, with a null model, in all."""
-    rated = usage.join(F.broadcast(rates), "model", "left").withColumn("usd", F.col("tokens") / 1000 * F.coalesce("rate", F.lit(default)))
+    rated = usage.join(small(rates), "model", "left").withColumn("usd", F.col("tokens") / 1000 * F.coalesce("rate", F.lit(default)))
     return rated.rollup("model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("usd").alias("usd"))
+
+
+def usage_report(usage: DataFrame, rates: DataFrame, default: float = 0.001) -> DataFrame:
+    """``model, line``: a line of text for all models (null) and for each."""
+    rolled = cost_rollup(usage, rates, default)
+    line = F.format_string("%s: %,d requests, %,d tokens, $%.4f", F.coalesce("model", F.lit("all")), "n", "tokens", F.round("usd", 4))
+    return rolled.select("model", line.alias("line"))
+
+
+def success_counts(results: DataFrame, ok: Column) -> DataFrame:
+    """One row: how many results there are, how many failed, and how many didn't."""
+    good = F.coalesce(ok, F.lit(False))
+    return results.agg(F.count("*").alias("total"), F.count_if(~good).alias("failed"), F.count_if(good).alias("success"))
+
+
+def job_metrics(jobs: DataFrame) -> DataFrame:
+    """One row: jobs in all and by outcome."""
+    return jobs.agg(F.count("*").alias("n_jobs"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("pending", "running", "complete", "failed")])

@@ -20,16 +20,19 @@ def related(symbols: DataFrame, edges: DataFrame, fqn: str, direction: str = "bo
 def orphan_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Edge ends that name no symbol: ``side, fqn, n``."""
     known = symbols.select("fqn").distinct()
-    ends = edges.select(F.lit("from").alias("side"), F.col("from_fqn").alias("fqn")).unionByName(edges.select(F.lit("to").alias("side"), F.col("to_fqn").alias("fqn")))
-    return ends.where("fqn is not null").join(known, "fqn", "left_anti").groupBy("side", "fqn").agg(F.count("*").alias("n"))
+    ends = edges.select(F.explode(F.array(F.struct(F.lit("from").alias("side"), F.col("from_fqn").alias("fqn")), F.struct(F.lit("to").alias("side"), F.col("to_fqn").alias("fqn")))).alias("e")).select("e.*")
+    # Counted first, so that an end of very many edges is one row in the join.
+    counted = ends.where("fqn is not null").groupBy("side", "fqn").agg(F.count("*").alias("n"))
+    return counted.join(known, "fqn", "left_anti").select("side", "fqn", "n")
 
 
 def orphans(symbols: DataFrame, satellites: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """How many rows of each table point at no symbol: ``table_name, orphans``."""
     known, out = symbols.select(F.col("fqn").alias("__fqn")).distinct(), None
     for name, (df, column) in satellites.items():
-        lost = df.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("__fqn"), "left_anti")
-        row = lost.agg(F.count("*").alias("orphans")).select(F.lit(name).alias("table_name"), "orphans")
+        counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__fqn")).agg(F.count("*").alias("n"))
+        lost = counted.join(known, "__fqn", "left_anti")
+        row = lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")).select(F.lit(name).alias("table_name"), "orphans")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -47,17 +50,27 @@ def delete_by_file(symbols: DataFrame, edges: DataFrame, paths: DataFrame) -> tu
     return left, edges
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``old`` with the rows of ``new`` merged in by ``key``; columns in ``keep`` hold their old value."""
-    columns = old.columns
-    joined = old.withColumn("__old", F.lit(True)).alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
-    pick = [F.when(F.col("__new").isNull() | (F.col("__old").isNotNull() & F.lit(c in keep)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in columns]
-    return joined.select(pick)
-
-
 def stale_by_file(symbols: DataFrame, summaries: DataFrame, paths: DataFrame) -> DataFrame:
     """Summaries with those of the files' symbols and of these symbols' parents marked stale."""
     hit = symbols.join(paths.select("file_path").distinct(), "file_path", "left_semi")
     touched = hit.select("fqn").unionByName(hit.where("parent_fqn is not null").select(F.col("parent_fqn").alias("fqn"))).distinct()
     marked = summaries.join(touched.select(F.col("fqn").alias("target_fqn"), F.lit(True).alias("__hit")), "target_fqn", "left")
     return marked.withColumn("is_stale", F.col("is_stale") | F.col("__hit").isNotNull()).drop("__hit")
+
+
+def one_hop(edges: DataFrame, fqns: DataFrame, direction: str = "callers") -> DataFrame:
+    """``fqn, other``: those that call the symbols in ``fqns.fqn``, or are called by them, each pair once."""
+    if direction not in ("callers", "callees"):
+        raise ValueError(f"unknown direction {direction!r}")
+    near, far = ("to_fqn", "from_fqn") if direction == "callers" else ("from_fqn", "to_fqn")
+    calls = edges.where("relation = 'calls'").select(F.col(near).alias("fqn"), F.col(far).alias("other"))
+    return calls.join(fqns.select("fqn").distinct(), "fqn", "left_semi").distinct()
+
+
+def members(symbols: DataFrame) -> DataFrame:
+    """``fqn, methods, fields``: names of the members of each class, in order; a class without any has empty lists."""
+    inside = symbols.where("kind in ('method', 'field') and parent_fqn is not null").groupBy(F.col("parent_fqn").alias("fqn"))
+    lists = inside.agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("name")))).alias(f"{kind}s") for kind in ("method", "field")))
+    none = F.array().cast("array<string>")
+    classes = symbols.where("kind in ('class', 'interface')").select("fqn")
+    return classes.join(lists, "fqn", "left").select("fqn", F.coalesce("methods", none).alias("methods"), F.coalesce("fields", none).alias("fields"))

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_score, test_paths
-from codeweft.operators.graph import traverse
-from codeweft.scratch import cut
+from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_rank, risk_score, test_paths
+from codeweft.operators.graph import links_of
+from codeweft.scratch import cut, cut_counted, small
+
+
+def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """``source, depth, fqn`` of the nodes whose callers count at each depth, and ``source, fqn`` of all callers.
+
+    Only nodes are carried from level to level, not the edges between them: what is counted of edges depends on the
+    node that they lead to.
+    """
+    level, n = cut_counted(targets.select(F.col("fqn").alias("source"), "fqn").distinct())
+    levels, callers = [], []
+    for k in range(depth + 1):
+        levels.append(level.select("source", F.lit(k).alias("depth"), "fqn"))
+        above = level.join(links.select(F.col("to_fqn").alias("fqn"), "from_fqn"), "fqn").select("source", F.col("from_fqn").alias("fqn")).distinct()
+        level, n = cut_counted(above)
+        callers.append(level)
+        if not n:
+            break
+    return reduce(DataFrame.unionByName, levels), cut(reduce(DataFrame.unionByName, callers).distinct())
+
+
+def tested_files(symbols: DataFrame) -> DataFrame:
+    """``file_path, test_path``: main files and those of their candidate tests that are among the symbols' files."""
+    files = symbols.where("file_path is not null").select("file_path").distinct()
+    found = files.select("file_path", F.explode(test_paths(F.col("file_path"))).alias("test_path"))
+    return found.join(files.withColumnRenamed("file_path", "test_path"), "test_path", "left_semi")
 
 
 def impact(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
@@ -15,33 +42,54 @@ def impact(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: Da
     test among the symbols' files, caller rows without such a test, risk and confidence.  Targets without callers
     are given too.
     """
-    walk = cut(traverse(edges, targets, max_depth=depth, reverse=True, symbols=symbols))
-    files = symbols.where("file_path is not null").select("file_path").distinct()
-    found = files.select("file_path", F.explode(test_paths(F.col("file_path"))).alias("test_path"))
-    tested = found.join(files.withColumnRenamed("file_path", "test_path"), "test_path", "left_semi").select("file_path").distinct()
-    covered = symbols.join(tested, "file_path", "left_semi").select(F.col("fqn").alias("from_fqn"), "file_path").distinct()
-    tests = walk.select("source", "from_fqn").distinct().join(covered, "from_fqn").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
-    missing = walk.join(covered, "from_fqn", "left_anti").groupBy("source").agg(F.count("*").alias("n_untested"))
-    return _judged(symbols, entries, targets, walk, (tests, missing))
+    links, _ = cut_counted(links_of(edges, reverse=True, relation="calls", symbols=symbols))
+    levels, callers = _walk(links, targets, depth)
+    files = tested_files(symbols).select("file_path").distinct()
+    covered = cut(symbols.join(files, "file_path", "left_semi").select("fqn", "file_path").distinct())
+    ends = links.join(covered.select(F.col("fqn").alias("from_fqn"), F.lit(1).alias("covered")).distinct(), "from_fqn", "left")
+    degrees = ends.groupBy(F.col("to_fqn").alias("fqn")).agg(F.count("*").alias("callers"), F.count_if(F.col("covered").isNull()).alias("untested"))
+    counts = levels.join(degrees, "fqn").groupBy("source").agg(F.sum("callers").alias("n_callers"), F.sum("untested").alias("n_untested"))
+    tests = callers.join(covered, "fqn").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
+    return _judged(entries, targets, callers, (counts, tests))
 
 
 def impact_by_own_files(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
     """As ``impact``, but tests are the distinct callers in test files, and untested the distinct callers outside of them."""
-    walk = cut(traverse(edges, targets, max_depth=depth, reverse=True, symbols=symbols))
-    reached = walk.select("source", F.col("from_fqn").alias("fqn")).distinct().join(symbols.select("fqn", "file_path"), "fqn")
+    links, _ = cut_counted(links_of(edges, reverse=True, relation="calls", symbols=symbols))
+    levels, callers = _walk(links, targets, depth)
+    degrees = links.groupBy(F.col("to_fqn").alias("fqn")).agg(F.count("*").alias("callers"))
+    counts = levels.join(degrees, "fqn").groupBy("source").agg(F.sum("callers").alias("n_callers"))
     test = is_test_file(F.col("file_path"))
-    tests = reached.groupBy("source").agg(F.count_if(test).alias("n_tests"), F.count_if(~test).alias("n_untested"))
-    return _judged(symbols, entries, targets, walk, (tests,))
+    known = symbols.select("fqn", test.alias("test"))
+    tests = callers.join(known, "fqn").groupBy("source").agg(F.count_if("test").alias("n_tests"), F.count_if(~F.col("test")).alias("n_untested"))
+    return _judged(entries, targets, callers, (counts, tests))
 
 
-def _judged(symbols: DataFrame, entries: DataFrame, targets: DataFrame, walk: DataFrame, tests: tuple[DataFrame, ...]) -> DataFrame:
-    callers = walk.groupBy("source").agg(F.count("*").alias("n_callers"))
-    reached = walk.select("source", F.col("from_fqn").alias("fqn")).distinct().join(symbols.select("fqn"), "fqn")
-    hits = entries.select(F.col("symbol_fqn").alias("fqn")).join(reached, "fqn").groupBy("source").agg(F.count("*").alias("n_entries"))
-    zero = F.lit(0).cast("long")
+def _judged(entries: DataFrame, targets: DataFrame, callers: DataFrame, parts: tuple[DataFrame, ...]) -> DataFrame:
+    hits = callers.join(entries.select(F.col("symbol_fqn").alias("fqn")), "fqn").groupBy("source").agg(F.count("*").alias("n_entries"))
     joined = targets.select(F.col("fqn").alias("source")).distinct()
-    for part in (callers, hits, *tests):
+    for part in (*parts, hits):
         joined = joined.join(part, "source", "left")
+    zero = F.lit(0).cast("long")
     joined = joined.select("source", *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_entries", "n_tests", "n_untested")])
     score = risk_score(F.col("n_callers"), F.col("n_entries"), F.col("n_untested"))
     return joined.withColumn("risk_score", score).withColumn("risk_level", risk_level(score)).withColumn("confidence", confidence(F.col("n_callers"), F.col("n_tests")))
+
+
+def gated(judged: DataFrame, threshold: str = "low") -> DataFrame:
+    """Impact as it is reported: below the threshold nothing is listed and the level is low, only the confidence stays."""
+    below = risk_rank(F.col("risk_level")) < risk_rank(F.lit(threshold))
+
+    def shown(name: str) -> Column:
+        return F.when(below, F.lit(0).cast("long")).otherwise(F.col(name)).alias(name)
+
+    return judged.select("source", *map(shown, ("n_callers", "n_entries", "n_tests", "n_untested")), F.when(below, "low").otherwise(F.lower("risk_level")).alias("risk_level"), "confidence")
+
+
+def impact_of_known(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5, threshold: str = "low") -> DataFrame:
+    """``gated`` impact of the targets that are symbols, with their kind and name; a depth outside 1 to 20 is an error."""
+    if not 1 <= depth <= 20:
+        raise ValueError("depth must be from 1 to 20")
+    known = symbols.select("fqn", "kind", "name").join(small(targets.select("fqn").distinct()), "fqn", "left_semi")
+    found = gated(impact(symbols, edges, entries, known, depth=depth), threshold)
+    return found.join(known.withColumnRenamed("fqn", "source"), "source")

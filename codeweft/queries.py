@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.fixtures import frame, with_views
 from codeweft.functions import scalars
-from codeweft.operators import graph, lookup, measures, relations, vectors
+from codeweft.operators import graph, lookup, measures, mutations, relations, vectors
 from codeweft.plans import rules
 from codeweft.plans.impact import impact, impact_by_own_files
 from codeweft.streaming.limits import limited
@@ -139,7 +139,7 @@ def affected(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i1_controller_dao", "SELECT 'controller-dao' AS rule_id, from_fqn, to_fqn, 'error' AS severity FROM edges WHERE relation = 'calls' AND from_fqn LIKE 'geo.%Controller.%' AND to_fqn LIKE 'dao.%Mapper.%'")
 def controller_dao(spark: SparkSession, d: str) -> DataFrame:
-    return rules.detect(frame(spark, d, "symbols"), frame(spark, d, "edges"))
+    return rules.detect(frame(spark, d, "symbols"), frame(spark, d, "edges")).drop("message")
 
 
 _IMPACT = """WITH calls AS (SELECT DISTINCT from_fqn, to_fqn FROM edges WHERE relation = 'calls' AND from_fqn IN (SELECT fqn FROM symbols)),
@@ -203,6 +203,7 @@ def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h1_upsert", "SELECT target_fqn, level, CASE WHEN is_stale THEN 'new' ELSE summary END AS summary, false AS is_stale FROM summaries WHERE is_stale UNION ALL SELECT target_fqn, level, summary, is_stale FROM summaries WHERE NOT is_stale")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries merged in, each twice; the later one wins."""
     old = frame(spark, d, "summaries")
-    new = old.where("is_stale").select("target_fqn", F.lit("other").alias("level"), F.lit("new").alias("summary"), F.lit(False).alias("is_stale"))
-    return relations.upsert(old, new, "target_fqn", keep=("level",))
+    new = old.where("is_stale").select("target_fqn", F.lit("other").alias("level"), F.explode(F.array(F.struct(F.lit("first").alias("summary"), F.lit(0).alias("at")), F.struct(F.lit("new").alias("summary"), F.lit(1).alias("at")))).alias("s"), F.lit(False).alias("is_stale")).select("target_fqn", "level", "s.summary", "s.at", "is_stale")
+    return mutations.upsert_summaries(old, new, order="at")

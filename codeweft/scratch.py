@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (a local test) a temporary folder."""
+    """A folder of this application in the session's ``spark.checkpoint.dir``.
+
+    Only a local session that has none gets a temporary folder; on a cluster that would split the data over
+    machines, so it is an error there.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return f"{folder}/{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; frames cut there can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,3 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+#: Rows up to which a table is sent to every executor.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Marks a narrow table for broadcast if a count shows it has at most ``rows`` rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

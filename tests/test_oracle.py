@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from codeweft import queries
+from codeweft import catalog as queries
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
