@@ -21,10 +21,6 @@ _PART = "dao.Brand_4Mapper.p2()"
 _BRAND_FILE = "src/main/java/dao/Brand_4Mapper.java"
 
 
-def names(spark: SparkSession, *values: str, column: str = "fqn") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
-
-
 def parts(spark: SparkSession, d: str, *views: str) -> list[DataFrame]:
     return [frame(spark, d, v) for v in views]
 
@@ -101,7 +97,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i3_live_check", f"SELECT *, severity = 'error' AS blocking FROM anti_patterns WHERE from_fqn IN ('{_nation}', '{_PART}') OR to_fqn IN ('{_nation}', '{_PART}')")
 def live_check(spark: SparkSession, d: str) -> DataFrame:
-    return rules.check(frame(spark, d, "anti_patterns"), names(spark, _nation, _PART))
+    return rules.check(frame(spark, d, "anti_patterns"), lookup.named(spark, _nation, _PART))
 
 
 _HANDLERS = [("web", "Controller", 93), ("core", "Rest", 100), ("store", "Repository", 75), ("bean", "Service", 75)]
@@ -278,7 +274,7 @@ _covered = "WITH asked AS (SELECT fqn FROM part_method UNION SELECT 'no.such()')
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "part_method").select("fqn").unionByName(names(spark, "no.such()"))
+    return frame(spark, d, "part_method").select("fqn").unionByName(lookup.named(spark, "no.such()"))
 
 
 @query("d7_coverage_of", f"{_covered} SELECT * FROM own")
@@ -482,7 +478,7 @@ _gone = f"(SELECT fqn FROM symbols WHERE file_path = '{_BRAND_FILE}')"
 
 def _cascaded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     frames = {v: frame(spark, d, v) for v in ("symbols", "edges", "entry_points", "dependencies", "anti_patterns", "summaries", "constraints")} | {"glossary": frame(spark, d, "glossary_source")}
-    return mutations.delete_files(frames, names(spark, _BRAND_FILE, column="file_path"))
+    return mutations.delete_files(frames, lookup.named(spark, _BRAND_FILE, column="file_path"))
 
 
 @query("h17_cascade_counts", " UNION ALL ".join([f"SELECT 'symbols' AS table_name, count(*) AS n FROM symbols WHERE fqn NOT IN {_gone}", f"SELECT 'edges', count(*) FROM edges WHERE from_fqn NOT IN {_gone} AND to_fqn NOT IN {_gone}", *(f"SELECT '{v}', count(*) FROM {v} WHERE {c} NOT IN {_gone}" for v, c in (("entry_points", "symbol_fqn"), ("dependencies", "caller_fqn"), ("anti_patterns", "from_fqn"), ("summaries", "target_fqn"))), "SELECT 'constraints', count(*) FROM constraints", "SELECT 'glossary', count(*) FROM glossary_source"]))

@@ -106,8 +106,18 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = with_views(f"SELECT * FROM {name}")
+    """A view from the tables and from the written views that it reads."""
+    inner, known, todo = {name}, set(), [name]
+    while todo:
+        for other in VIEWS.keys() & set(re.findall(r"\w+", VIEWS[todo.pop()])) - inner - known:
+            if other in WRITTEN:
+                known.add(other)
+            else:
+                inner.add(other)
+                todo.append(other)
+    sql = "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in inner) + f" SELECT * FROM {name}"
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    tables |= {v: frame(spark, sf_dir, v) for v in known}
     for t in tables:
         sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     out = spark.sql(sql, **tables)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import chain_layer, layer, trace_line
-from codeweft.operators.lookup import resolve_entry
-from codeweft.scratch import cut_counted
+from codeweft.operators.lookup import named, resolve_entry
+from codeweft.scratch import cut_counted, sized
 
 #: Sources up to which edges are joined as they are; with more of them duplicate edges are taken out first.
 FEW = 1000
@@ -37,15 +37,15 @@ def traverse(edges: DataFrame, sources: DataFrame, *, max_depth: int = 10, rever
     With ``symbols`` an edge whose far end is not a symbol is dropped and ends the walk there.
     """
     near, far = ("to_fqn", "from_fqn") if reverse else ("from_fqn", "to_fqn")
-    starts = sources.select("fqn").distinct()
-    if symbols is None and starts.limit(FEW + 1).count() <= FEW:
+    starts, n = cut_counted(sources.select("fqn").distinct())
+    if symbols is None and n <= FEW:
         links = edges if relation is None else edges.where(F.col("relation") == relation)
     else:
         links, _ = cut_counted(links_of(edges, reverse=reverse, relation=relation, symbols=symbols))
     frontier = starts.select(F.col("fqn").alias("source"), F.col("fqn").alias(near))
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        met = frontier.join(links.select("from_fqn", "to_fqn"), near).select("source", F.lit(depth).alias("depth"), "from_fqn", "to_fqn").distinct()
+        met = sized(frontier, n).join(links.select("from_fqn", "to_fqn"), near).select("source", F.lit(depth).alias("depth"), "from_fqn", "to_fqn").distinct()
         level, n = cut_counted(met)
         levels.append(level)
         if not n:
@@ -63,7 +63,7 @@ def neighbourhood(edges: DataFrame, symbols: DataFrame, start: str, *, direction
     """
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"unknown direction {direction!r}")
-    source = edges.sparkSession.createDataFrame([(start,)], "fqn string")
+    source = named(edges.sparkSession, start)
     walks = []
     for name in ("outgoing", "incoming"):
         if direction in (name, "both"):
@@ -72,7 +72,7 @@ def neighbourhood(edges: DataFrame, symbols: DataFrame, start: str, *, direction
     found, n_edges = cut_counted(reduce(DataFrame.unionByName, walks))
     ends = found.select(F.explode(F.array("from_fqn", "to_fqn")).alias("fqn")).unionByName(source).distinct()
     nodes, n_nodes = cut_counted(symbols.join(ends, "fqn", "left_semi"))
-    totals = edges.sparkSession.createDataFrame([(depth, n_nodes, n_edges, n_nodes > limit)], "max_depth int, total_nodes long, total_edges long, truncated boolean")
+    totals = edges.sparkSession.range(1).select(F.lit(depth).alias("max_depth"), F.lit(n_nodes).cast("long").alias("total_nodes"), F.lit(n_edges).cast("long").alias("total_edges"), F.lit(n_nodes > limit).alias("truncated"))
     return node_rows(nodes).orderBy("fqn").limit(limit), found, totals
 
 
@@ -115,7 +115,7 @@ def max_depth(chain: DataFrame) -> DataFrame:
 
 def trace(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame, fqn: str, *, depth: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The call chain of a symbol with layers, its dependencies and its depth."""
-    chain = traverse(edges, edges.sparkSession.createDataFrame([(fqn,)], "fqn string"), max_depth=depth)
+    chain = traverse(edges, named(edges.sparkSession, fqn), max_depth=depth)
     return with_layers(chain, symbols), chain_dependencies(chain, dependencies), max_depth(chain)
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def named(spark: SparkSession, *values: str, column: str = "fqn") -> DataFrame:
+    """Some values as a table, made without Python workers."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))
+
+
 def equal(df: DataFrame, **wanted: object) -> DataFrame:
     """Rows that match every given key; keys given as ``None`` are no condition."""
     tests = [F.col(k) == F.lit(v) for k, v in wanted.items() if v is not None]

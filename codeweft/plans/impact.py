@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_rank, risk_score, test_paths
 from codeweft.operators.graph import links_of
-from codeweft.scratch import cut, cut_counted, small
+from codeweft.scratch import cut, cut_counted, sized, small
 
 
 def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +22,7 @@ def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame,
     levels, callers = [], []
     for k in range(depth + 1):
         levels.append(level.select("source", F.lit(k).alias("depth"), "fqn"))
-        above = level.join(links.select(F.col("to_fqn").alias("fqn"), "from_fqn"), "fqn").select("source", F.col("from_fqn").alias("fqn")).distinct()
+        above = sized(level, n).join(links.select(F.col("to_fqn").alias("fqn"), "from_fqn"), "fqn").select("source", F.col("from_fqn").alias("fqn")).distinct()
         level, n = cut_counted(above)
         callers.append(level)
         if not n:

@@ -128,7 +128,7 @@ def call_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e2_reverse_callers", _walk("'ext.Supplier.s7()'", 10, True), recursive=True)
 def reverse_callers(spark: SparkSession, d: str) -> DataFrame:
-    return graph.traverse(frame(spark, d, "edges"), spark.createDataFrame([("ext.Supplier.s7()",)], "fqn string"), reverse=True)
+    return graph.traverse(frame(spark, d, "edges"), lookup.named(spark, "ext.Supplier.s7()"), reverse=True)
 
 
 @query("e9_affected", "WITH changed AS (SELECT fqn FROM symbols WHERE parent_fqn = 'dao.Brand_4Mapper') SELECT fqn FROM changed UNION SELECT from_fqn FROM edges WHERE relation = 'calls' AND to_fqn IN (SELECT fqn FROM changed) UNION SELECT 'dao.Brand_4Mapper' FROM changed")
@@ -191,13 +191,13 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h9_stale_by_file", "WITH touched AS (SELECT fqn FROM symbols WHERE file_path = 'src/main/java/dao/Brand_4Mapper.java' UNION SELECT parent_fqn FROM symbols WHERE file_path = 'src/main/java/dao/Brand_4Mapper.java') SELECT target_fqn, level, summary, is_stale OR target_fqn IN (SELECT fqn FROM touched WHERE fqn IS NOT NULL) AS is_stale FROM summaries")
 def stale_by_file(spark: SparkSession, d: str) -> DataFrame:
-    paths = spark.createDataFrame([("src/main/java/dao/Brand_4Mapper.java",)], "file_path string")
+    paths = lookup.named(spark, "src/main/java/dao/Brand_4Mapper.java", column="file_path")
     return relations.stale_by_file(frame(spark, d, "symbols"), frame(spark, d, "summaries"), paths)
 
 
 @query("h15_delete_by_file", "SELECT relation, count(*) AS n FROM edges WHERE from_fqn NOT LIKE 'dao.Brand_4Mapper%' AND to_fqn NOT LIKE 'dao.Brand_4Mapper%' GROUP BY relation")
 def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
-    paths = spark.createDataFrame([("src/main/java/dao/Brand_4Mapper.java",)], "file_path string")
+    paths = lookup.named(spark, "src/main/java/dao/Brand_4Mapper.java", column="file_path")
     return measures.counts_by(relations.delete_by_file(frame(spark, d, "symbols"), frame(spark, d, "edges"), paths)[1], "relation")
 
 

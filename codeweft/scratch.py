@@ -52,6 +52,11 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 SMALL_ROWS = 200_000
 
 
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """Marks a narrow table of at most ``n`` rows for broadcast if that is few."""
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast if a count shows it has at most ``rows`` rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
