@@ -29,15 +29,15 @@ def parts(spark: SparkSession, d: str, *views: str) -> list[DataFrame]:
 simple("a1_entry_points", "entry_points", lambda e: lookup.equal(e, entry_type="http_api"), "SELECT * FROM entry_points WHERE entry_type = 'http_api'")
 simple("b8_anti_patterns", "anti_patterns", lambda a: lookup.equal(a, rule_id="circular-type", severity="warning"), "SELECT * FROM anti_patterns WHERE rule_id = 'circular-type' AND severity = 'warning'")
 simple("b11_summaries_by_level", "summaries", lambda s: lookup.equal(s, level="method"), "SELECT * FROM summaries WHERE level = 'method'")
-simple("b12_glossary_term", "glossary", lambda g: lookup.equal(g, code_term="STANDARD ANODIZED TIN"), "SELECT * FROM glossary WHERE code_term = 'STANDARD ANODIZED TIN'")
-simple("b14_glossary_by_source", "glossary_source", lambda g: lookup.equal(g, source_fqn="dao.Brand_1Mapper"), "SELECT * FROM glossary_source WHERE source_fqn = 'dao.Brand_1Mapper'")
+simple("b12_glossary_term", "glossary", lambda g: lookup.equal(g, code_term="STANDARD"), "SELECT * FROM glossary WHERE code_term = 'STANDARD'")
+simple("b14_glossary_by_source", "glossary_source", lambda g: lookup.equal(g, source_fqn="dao.Brand_10Mapper"), "SELECT * FROM glossary_source WHERE source_fqn = 'dao.Brand_10Mapper'")
 simple("b15_constraint", "constraints", lambda c: lookup.equal(c, name="F-1-URGENT"), "SELECT * FROM constraints WHERE name = 'F-1-URGENT'")
 simple("b16_constraints_by_source", "constraints", lambda c: lookup.equal(c, source_fqn="svc.P2Service"), "SELECT * FROM constraints WHERE source_fqn = 'svc.P2Service'")
 simple("b18_search_constraints", "constraints", lambda c: lookup.contains_any(c, "high", ["name", "source_fqn"], ["name"]), "SELECT * FROM constraints WHERE name ILIKE '%high%' OR source_fqn ILIKE '%high%' ORDER BY name LIMIT 100")
 simple("b19_metadata", "metadata", lambda m: lookup.equal(m, key="ASIA"), "SELECT * FROM metadata WHERE key = 'ASIA'")
 simple("b21_filtered_findings", "anti_patterns", lambda a: rules.filtered(a, "GEO.nation_1", "warning"), "SELECT * FROM anti_patterns WHERE lower(from_fqn) LIKE 'geo.nation\\_1%' ESCAPE '\\' AND severity = 'warning'")
-simple("b25_glossary_page_total", "glossary", lambda g: search.page_with_total(g, "code_term", "S", 5, 2), "SELECT *, (SELECT count(*) FROM glossary WHERE starts_with(code_term, 'S')) AS total FROM glossary WHERE starts_with(code_term, 'S') ORDER BY code_term LIMIT 5 OFFSET 2")
-simple("g50_entries_of_symbol", "entry_points", lambda e: lookup.equal(e, symbol_fqn="geo.NATION_3Controller.c1()"), "SELECT * FROM entry_points WHERE symbol_fqn = 'geo.NATION_3Controller.c1()'")
+simple("b25_glossary_page_total", "glossary", lambda g: search.page_with_total(g, "code_term", "S", 5, 1), "SELECT *, (SELECT count(*) FROM glossary WHERE starts_with(code_term, 'S')) AS total FROM glossary WHERE starts_with(code_term, 'S') ORDER BY code_term LIMIT 5 OFFSET 1")
+simple("g50_entries_of_symbol", "entry_points", lambda e: lookup.equal(e, symbol_fqn="geo.NATION_10Controller.c4()"), "SELECT * FROM entry_points WHERE symbol_fqn = 'geo.NATION_10Controller.c4()'")
 simple("f8_glossary_search", "glossary", lambda g: search.glossary_search(g, "S", 8), "WITH tagged AS (SELECT * FROM (SELECT *, 0 AS tag FROM glossary WHERE starts_with(code_term, 'S') ORDER BY code_term LIMIT 8) UNION ALL SELECT * FROM (SELECT *, 1 AS tag FROM glossary WHERE contains(lower(business_meaning), 's') ORDER BY code_term LIMIT 8)), once AS (SELECT * FROM tagged QUALIFY row_number() OVER (PARTITION BY code_term ORDER BY tag) = 1) SELECT * EXCLUDE (tag) FROM once ORDER BY tag, code_term LIMIT 8")
 
 # Jobs and requests.
@@ -254,9 +254,14 @@ def tests_of_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select("file_path", "path", F.size("covers").cast("long").alias("n_covered"), F.size("additional_tests").cast("long").alias("n_more"))
 
 
-@query("g11_related_tests", "SELECT file_path, test_path FROM (SELECT DISTINCT file_path, regexp_replace(replace(file_path, '/main/java/', '/test/java/'), '\\.java$', '') || suffix || '.java' AS test_path FROM symbols, (VALUES ('Test'), ('Tests'), ('IT')) t(suffix) WHERE contains(file_path, '/main/java/')) WHERE test_path IN (SELECT file_path FROM symbols)")
+@query("g11_related_tests", "WITH callers AS (SELECT DISTINCT s.fqn, s.file_path FROM symbols s JOIN edges e ON e.from_fqn = s.fqn WHERE e.relation = 'calls' AND e.to_fqn LIKE 'dao.%' AND contains(s.file_path, '/main/java/')), own AS (SELECT file_path, count(*) AS n_covered FROM callers GROUP BY file_path), sought AS (SELECT o.*, place, regexp_replace(replace(file_path, '/main/java/', '/test/java/'), '\\.java$', '') || suffix || '.java' AS path FROM own o, (VALUES (0, 'Test'), (1, 'Tests'), (2, 'IT'), (3, '')) t(place, suffix)) SELECT file_path, arg_min(path, place) AS path, any_value(n_covered) AS n_covered FROM sought WHERE path IN (SELECT path FROM java_files) GROUP BY file_path")
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
-    return tested_files(frame(spark, d, "symbols"))
+    """The first test of each file that has callers of parts, with the callers that it covers."""
+    symbols, edges = parts(spark, d, "symbols", "edges")
+    called = symbols.where("fqn like 'dao.%'").select("fqn")
+    callers = relations.one_hop(edges, called).select(F.col("other").alias("fqn")).distinct()
+    found = testmap.tests_of_files(symbols.where("file_path like '%/main/java/%'").join(callers, "fqn", "left_semi"), frame(spark, d, "java_files"))
+    return found.select("file_path", "path", F.size("covers").cast("long").alias("n_covered"))
 
 
 @query("f12_missing_coverage", f"SELECT DISTINCT fqn FROM symbols WHERE contains(file_path, '/main/java/') AND file_path NOT IN (SELECT file_path FROM ({_found_tests}))")
@@ -325,7 +330,7 @@ query("f3_constraint_top_k", _near("label = 2"))(lambda spark, d: nearest(spark,
 query("g23_similarity", _near("true"))(lambda spark, d: nearest(spark, d, "true"))
 
 
-@query("k1_semantic_search", f"SELECT p.fqn, 'method' AS kind, coalesce(m.summary, '') AS text, (SELECT count(*) FROM entry_points e WHERE e.symbol_fqn = p.fqn) AS n_entries, score FROM ({_near('label = 3')}) JOIN part_method p ON p.p_partkey = id + 1 LEFT JOIN summaries m ON m.target_fqn = p.fqn")
+@query("k1_semantic_search", f"SELECT p.fqn, 'method' AS kind, coalesce(m.summary, '') AS text, (SELECT count(*) FROM entry_points e WHERE e.symbol_fqn = p.fqn) AS n_entries, score FROM ({_near('label = 3 AND vec_id < (SELECT count(*) FROM part)')}) JOIN part_method p ON p.p_partkey = id + 1 LEFT JOIN summaries m ON m.target_fqn = p.fqn")
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
     start = [float(x) for x in rows.where("vec_id = 0").first()["embedding"]]
