@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.scratch import clear, cut, cut_counted, shared_folder, sized, small
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in the session's ``spark.checkpoint.dir``.
-
-    Only a local session that has none gets a temporary folder; on a cluster that would split the data over
-    machines, so it is an error there.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return f"{folder}/{context.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes what this application has written to the shared folder; frames cut there can't be read after that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clear", "columns", "crc_mod", "cut", "cut_counted", "identity", "seed_of", "shared_folder", "sized", "small", "table", "unused"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    Lost executors then cost no recomputation, and the plan starts anew with the written table's true size.
-    The files are scratch data of the application, like checkpoints; ``clear`` deletes them.
-    """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -77,12 +43,3 @@ def seed_of(*parts: object) -> int:
     """A stable 64-bit seed."""
     text = "\x1f".join(map(str, parts)).encode()
     return zlib.crc32(text) << 32 | zlib.crc32(text, 0x5EED)
-
-
-#: Rows up to which a table is sent to every executor.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Marks a narrow table for broadcast if a count shows it has at most ``rows`` rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

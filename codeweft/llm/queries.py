@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import chat, language, lengths, mixing, near_dedup, neighbours, packing, quality_rules, resampling, toxicity
-from codeweft.llm.frames import crc_mod, table
+from codeweft.llm import chat, exact_dedup, language, lengths, mixing, near_dedup, neighbours, packing, quality_rules, resampling, targeting, toxicity, whitening
+from codeweft.llm.frames import crc_mod, shared_folder, table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -67,8 +68,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, carry=("doc_id",)).select("doc_id", *quality_rules.RULES, "base_failed", "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_dedup.open_index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return exact_dedup.add(index, table(spark, sf_dir, "documents"), "documents")
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targeting.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_token_counts, op3_toxicity, op4_chat_format, op5_near_duplicates, op6_language, op7_nearest_neighbours, op8_source_mixing, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_token_counts, op3_toxicity, op4_chat_format, op5_near_duplicates, op6_language, op7_nearest_neighbours, op8_source_mixing, op9_packing, op10_quality_rules, op11_exact_dedup, op12_target_resampling, op13_whitening)}
 
 
 _CHAT = r"""WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
@@ -99,6 +113,26 @@ bad AS (SELECT source FROM hosts, prior WHERE (failed + m * strength) / (n + str
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM ruled.source) AS kept FROM ruled"""
 
 
+_EXACT = r"""SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+_TARGET = r"""WITH crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, [0::UBIGINT for i in range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+split AS (SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+runs AS (SELECT side, rid, array_to_string(words[i:i + k - 1], ' ') AS run FROM (SELECT side, rid, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM split, (VALUES (1), (2), (3)) v(k))),
+counted AS (SELECT side, rid, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM counted)),
+hashed AS (SELECT run, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT FOR i IN range(len(h) // 2)]), lambda c, b: xor(t[CAST(xor(c & 255, b) AS BIGINT) + 1], c >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM bytes, crc_table),
+placed AS (SELECT side, rid, bucket, sum(n) AS n FROM counted JOIN hashed USING (run) GROUP BY ALL),
+sums AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+weighed AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY rid),
+scored AS (SELECT doc_id, rid, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM split LEFT JOIN weighed USING (rid) WHERE side = 'd'),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what DuckDB can express; the rest needs hashes, models or tokenizers, and is tested by brute force."""
-    return {"op4_chat_format": _CHAT, "op10_quality_rules": _RULES}
+    return {"op4_chat_format": _CHAT, "op10_quality_rules": _RULES, "op11_exact_dedup": _EXACT, "op12_target_resampling": _TARGET}
