@@ -44,7 +44,8 @@ class WordEncoder:
     No token of such a vocabulary reaches over white space, so each word is encoded once and looked up after
     that.  New words are encoded together, by a byte pair encoder that takes a NUL for the vocabulary's
     end-of-word mark; words with characters outside the Latin blocks, control characters or ``<|`` go through
-    the tokenizer itself.  The memo is keyed by 64-bit word hashes.
+    the tokenizer itself.  The memo is keyed by 64-bit word hashes and holds a second hash of each word; a word whose
+    second hash isn't that of its key is encoded apart.
     """
 
     END, CUT = "\x00", "\x01"
@@ -77,11 +78,12 @@ class WordEncoder:
         return cls(path)
 
     def _reset(self) -> None:
-        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.seconds = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def memo_bytes(self) -> int:
-        return self.keys.nbytes + self.begin.nbytes + self.count.nbytes + self.pool.nbytes
+        return self.keys.nbytes + self.seconds.nbytes + self.begin.nbytes + self.count.nbytes + self.pool.nbytes
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and how many each has."""
@@ -101,17 +103,22 @@ class WordEncoder:
                 out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
         return np.concatenate(out), np.array([len(x) for x in out])
 
-    def _learn(self, part: kernels.Slice, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _encode_ranges(self, part: kernels.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = part.data
-        ids, counts = self.encode_words([raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts, ends, strict=True)])
+        return self.encode_words([raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts, ends, strict=True)])
+
+    def _learn(self, part: kernels.Slice, keys: np.ndarray, seconds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, counts = self._encode_ranges(part, starts, ends)
         begin = len(self.pool) + np.cumsum(counts) - counts
         self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, counts)
+        self.keys, self.seconds = np.insert(self.keys, at, keys), np.insert(self.seconds, at, seconds)
+        self.begin, self.count = np.insert(self.begin, at, begin), np.insert(self.count, at, counts)
 
     def encode(self, part: kernels.Slice) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a slice's texts in a row, and each text's offset in them."""
         hashes, owner, starts, ends = kernels.word_hashes(part)
+        seconds = kernels.RangeHash(part.data, 1)(starts, ends)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         known = self._find(keys)[1]
         if not known.all():
@@ -119,11 +126,16 @@ class WordEncoder:
             if self.memo_bytes() > MEMO_BYTES:
                 self._reset()
                 new = first
-            self._learn(part, hashes[new], starts[new], ends[new])
-        at = self._find(keys)[0]
-        counts = self.count[at][inverse]
+            self._learn(part, hashes[new], seconds[new], starts[new], ends[new])
+        at = self._find(keys)[0][inverse]
+        begin, counts, pool = self.begin[at], self.count[at], self.pool
+        apart = np.flatnonzero(self.seconds[at] != seconds) if len(at) else at
+        if len(apart):
+            extra, sizes = self._encode_ranges(part, starts[apart], ends[apart])
+            begin[apart], counts[apart] = len(pool) + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool, extra.astype(np.uint32)])
         ends_at = np.cumsum(counts)
-        ids = self.pool[np.repeat(self.begin[at][inverse] - (ends_at - counts), counts) + np.arange(ends_at[-1] if len(counts) else 0)]
+        ids = pool[np.repeat(begin - (ends_at - counts), counts) + np.arange(ends_at[-1] if len(counts) else 0)]
         offsets = np.zeros(len(part) + 1, np.int64)
         np.cumsum(kernels.per_text(owner, len(part), counts).astype(np.int64), out=offsets[1:])
         return ids, offsets

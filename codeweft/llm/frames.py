@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.scratch import clear, cut, cut_counted, shared_folder, sized, small
 
-__all__ = ["clear", "columns", "crc_mod", "cut", "cut_counted", "identity", "seed_of", "shared_folder", "sized", "small", "table", "unused"]
+__all__ = ["clear", "columns", "crc_mod", "cut", "cut_counted", "identity", "row_identity", "seed_of", "shared_folder", "sized", "small", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def identity(*values: Column) -> Column:
-    """128 hash bits of some values, as text: unlike values meet with a chance of 1e-19 among 1e10."""
-    return F.concat_ws("-", F.hex(F.xxhash64(*values)), F.hex(F.xxhash64(F.lit(1), *values)))
+def identity(*values: Column | str) -> Column:
+    """128 hash bits of some values, as text: unlike values meet with a chance of 1e-19 among 1e10.
+
+    Spark's hash passes over nulls, so it is told where they stand.
+    """
+    told = [x for v in (F.col(v) if isinstance(v, str) else v for v in values) for x in (v.isNull(), v)]
+    return F.concat_ws("-", F.hex(F.xxhash64(*told)), F.hex(F.xxhash64(F.lit(1), *told)))
+
+
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def row_identity(df: DataFrame) -> Column:
+    """``identity`` of whole rows; nested columns, maps too, are taken as JSON, in which nulls have their places."""
+    nested = ("array", "map", "struct", "variant")
+    return identity(*(F.to_json(c, _JSON) if f.dataType.simpleString().startswith(nested) else c for c, f in zip(columns(df), df.schema, strict=True)))
 
 
 def crc_mod(column: str, modulus: int) -> Column:

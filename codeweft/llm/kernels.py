@@ -17,13 +17,11 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 SLICE_TEXTS = 2048
 
-_PRIME = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -48,20 +46,6 @@ def released(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Ite
     return run
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i < n; grown on demand."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_PRIME, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     x = x.astype(np.uint64, copy=True)
@@ -78,16 +62,35 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+#: Bytes of a range up to which it is hashed with others, eight bytes at a time.
+SHORT_RANGE = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class RangeHash:
-    """Hashes of any ranges of one sequence of symbols, from one running sum."""
+    """64-bit hashes of any ranges of one sequence of symbols.
+
+    A state is mixed with every eight bytes of a range in turn, for all short ranges at once; the few long ones go
+    through XXH3, one by one.  ``seed`` gives another hash of the same ranges.
+    """
 
-    def __init__(self, symbols: np.ndarray):
-        power, self._inverse = _power_tables(len(symbols) + 1)
-        self._sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * power[: len(symbols)], out=self._sums[1:])
+    def __init__(self, symbols: np.ndarray, seed: int = 0):
+        self._size, self._seed = symbols.itemsize, seed
+        self._bytes = np.concatenate([np.ascontiguousarray(symbols).view(np.uint8), np.zeros(8, np.uint8)])
+        self._eights = np.ndarray(len(self._bytes) - 7, "<u8", self._bytes, strides=(1,))  # those that begin at each byte
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        at, left = start.astype(np.int64) * self._size, (end - start).astype(np.int64) * self._size
+        out = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (self._seed + 1) & 2**64 - 1))
+        for k in np.flatnonzero(left > SHORT_RANGE).tolist():
+            out[k] ^= np.uint64(xxhash.xxh3_64_intdigest(self._bytes[at[k] : at[k] + left[k]], self._seed))
+        todo = np.flatnonzero((left > 0) & (left <= SHORT_RANGE))
+        at, left = at[todo], left[todo]
+        while len(todo):
+            out[todo] = mix64((out[todo] ^ (self._eights[at] & _FIRST_BYTES[np.minimum(left, 8)])) + np.uint64(0x632BE59BD9B4E019))
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        return out
 
 
 @dataclass

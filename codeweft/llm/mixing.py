@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import columns, cut, identity, seed_of, small, unused
+from codeweft.llm.frames import columns, cut, row_identity, seed_of, small, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -163,16 +163,18 @@ def place(docs: DataFrame, *, block_words: int = BLOCK_WORDS, weights: tuple[flo
     """Documents with their places in their source's stream, and the slots drawn from the streams.
 
     The first frame has ``doc_id, row_key, source, size, source_no, source_size, target, start``; the second
-    ``source_no, block, pass, shard``.  ``row_key`` names the whole row, ``start`` counts the words before.
+    ``source_no, block, pass, shard``.  ``row_key`` names the whole row, ``start`` counts the words before.  Null texts
+    and texts without words have size 0, a null source is a source of its own, repeated rows are placed each, rows that
+    differ only in where a null stands are different, and an empty table has no slots.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), identity(*columns(docs)).alias("row_key")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_identity(docs).alias("row_key")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     sizes, rows = {r["source"]: r["n"] for r in totals}, {r["source"]: r["docs"] for r in totals}
     aims = targets(sizes, weights=weights, share=share, cap=cap)
     blocks = np.array([-(-n // block_words) for _, n, _ in aims], np.int64)
     passes = np.array([int(t / n + 1e-9) if n else 0 for _, n, t in aims], np.int64)
     rest = np.array([max(0, round((t - k * n) / block_words)) for (_, n, t), k in zip(aims, passes, strict=True)], np.int64)
-    plan = Plan(blocks, np.minimum(passes * blocks + rest, int(cap) * blocks), seed)
+    plan = Plan(blocks, np.minimum(passes * blocks + rest, np.floor(cap * blocks).astype(np.int64)), seed)
     spark = docs.sparkSession
     kind = sized.schema["source"].dataType.simpleString()
     aims = spark.createDataFrame([(k, x, n, t, -(-rows[x] // PART_ROWS)) for k, (x, n, t) in enumerate(aims)], f"source_no long, source {kind}, source_size long, target double, n_parts long")
@@ -226,7 +228,7 @@ def mixed_documents(docs: DataFrame, *, block_words: int, weights: tuple[float,
     spread = covered_blocks(placed, block_words).select("row_key", "source_no", "start", "block", "low", "high")
     hits = spread.join(slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
     runs = hits.groupBy("row_key", "source_no", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "low", "high"))).alias("runs"))
-    whole = docs.select(F.struct(*columns(docs)).alias("row"), identity(*columns(docs)).alias("row_key")).dropDuplicates(["row_key"])
+    whole = docs.select(F.struct(*columns(docs)).alias("row"), row_identity(docs).alias("row_key")).dropDuplicates(["row_key"])
     pieces_name = unused(docs, "runs")
     joined = whole.join(runs, "row_key").select("row.*", F.col("runs").alias(pieces_name))
     names, schema = docs.columns, docs.schema

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import kernels
-from codeweft.llm.frames import columns, cut, identity, small
+from codeweft.llm.frames import columns, cut, row_identity, small
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,7 +33,8 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS, DEVIATIONS = 4, 4.8
 #: Pairs of texts held against each other in one go, which bounds memory.
 PAIRS_AT_ONCE = 64
-#: Pairs of one text, on average, that are held against it under one key; a text with more is copied to more keys.
+#: Pairs of one text, or texts of one residue token, that meet under one key on average; what has more is copied to more
+#: keys.
 PAIRS_PER_KEY = 1000
 #: Rounds after the first; the last of them joins what is left by residues.
 STAR_ROUNDS = 2
@@ -280,9 +281,12 @@ def _meetings(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     often = tokens.groupBy("pivot", "token").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("pivot", "node").orderBy("often", "token")
     ranked = tokens.join(often, ["pivot", "token"]).withColumn("rank", F.row_number().over(rarest)).where("rank <= n_needed and often > 1")
-    tokens = cut(ranked.select("pivot", "node", "comp", "token", "linked", "excess", F.expr("size - rank + 1").alias("rest"), F.expr("rank <= n_short").alias("short")))
-    l, r = tokens.where("short").alias("l"), tokens.where("not linked").alias("r")
-    meet = (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp"))
+    # A token of many texts is copied to several keys on one side, among which those of the other side are dealt.
+    keys = F.ceil(F.col("often") / PAIRS_PER_KEY).cast("int")
+    tokens = cut(ranked.select("pivot", "node", "comp", "token", "linked", "excess", F.expr("size - rank + 1").alias("rest"), F.expr("rank <= n_short").alias("short"), keys.alias("keys")))
+    l = tokens.where("short").withColumn("deal", F.pmod(F.xxhash64("node"), F.col("keys")).cast("int")).alias("l")
+    r = tokens.where("not linked").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).alias("r")
+    meet = (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.deal") == F.col("r.deal")) & (F.col("l.comp") != F.col("r.comp"))
     once = F.col("l.linked") | (F.col("r.short") & (F.col("l.node") < F.col("r.node")))
     enough = F.least("l.rest", "r.rest") >= (F.col("l.excess") + F.col("r.excess")) / 2 - 1e-9
     return l.join(r, meet & once & enough).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
@@ -310,8 +314,14 @@ def name_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``name, comp``: the class of every text that has a near-duplicate, by the text's ``name_of``.
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """``name, comp``: the class of every text that has a near-duplicate, by the text's ``name_of``; see ``linked_classes``."""
+    return linked_classes(docs, **options)[0]
+
+
+def linked_classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The class of every text that has a near-duplicate, ``name, comp``, and the links that were verified on the way,
+    ``name, other, likeness``, each both ways; texts go by their ``name_of``.
 
     Copies of one text are one node from the start.  Round one holds each bucket's texts against its pivot, the
     text that meets most others over all bands, which in a group of copies is the likeliest original.  A
@@ -326,12 +336,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS
     named = docs.where(F.col("text").isNotNull()).select(name_of(F.col("text")).alias("name"), "text")
     # Nodes are numbered before they are written, so the numbers stay as they are.
     signed = cut(_signed(named, bands, rows).dropDuplicates(["name"]).withColumn("node", F.monotonically_increasing_id()))
-    labels = _labels(named, signed, threshold, bands, rows)
-    return labels.join(signed.select("node", "name"), "node").select("name", "comp")
+    labels, links = _labels(named, signed, threshold, bands, rows)
+    names = signed.select("node", "name")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+    both = both.join(names.select(F.col("node").alias("a"), "name"), "a").join(names.select(F.col("node").alias("b"), F.col("name").alias("other")), "b")
+    return labels.join(names, "node").select("name", "comp"), both.select("name", "other", "likeness")
 
 
-def _labels(named: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """``node, comp`` for the nodes of ``signed`` that are linked to others."""
+def _labels(named: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``node, comp`` for the nodes of ``signed`` that are linked to others, and the links ``a, b, likeness``."""
     placed = signed.select("node", "weight", F.explode("keys").alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
     members = cut(placed.join(cut(sizes.where("n > 1")), "key"))
@@ -371,7 +384,7 @@ def _labels(named: DataFrame, signed: DataFrame, threshold: float, bands: int, r
         colored = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         span = cut(colored.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"))
         if span.isEmpty():
-            return labels
+            break
         open_members = cut(colored.join(span.select("key"), "key"))
         if turn == STAR_ROUNDS - 1:
             groups = cut(open_members.select("pivot", "node", "comp").distinct())
@@ -386,24 +399,37 @@ def _labels(named: DataFrame, signed: DataFrame, threshold: float, bands: int, r
         if not found.where(F.col("likeness") >= threshold).isEmpty():
             links = cut(links.unionByName(found.where(F.col("likeness") >= threshold).select("a", "b")))
             labels = components(links)
-    return labels
+    return labels, known.where(F.col("likeness") >= threshold)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, class_id`` for each row of ``docs``; ``class_id`` is the smallest ``doc_id`` of the class.
+    """``doc_id, class_id, verified_links, linked_id, likeness`` for each row of ``docs``.
+
+    ``class_id`` is the smallest ``doc_id`` of the class.  ``verified_links`` counts the unlike texts that the row's text
+    was found near by exact comparison, at least one in a class of unlike texts; ``linked_id`` is the smallest ``doc_id``
+    of the likest of them, of several the smallest, and ``likeness`` that text's.  A class's links connect it; pairs that
+    it holds together without having been compared aren't counted.
 
     Null texts are in no class with others: their ``class_id`` is their own ``doc_id``.  Texts without words
     are alike only if they are equal.  Repeated rows are in one class, and each is returned.  Texts of any length are
     compared whole; an empty table gives no rows; other columns are ignored.
     """
     plain = docs.select("doc_id", "text")
-    labels = classes(plain, **options)
+    labels, links = linked_classes(plain, **options)
     ids = plain.select("doc_id", name_of(F.col("text")).alias("name")).join(labels, "name", "left")
-    ids = cut(ids.select("doc_id", F.when(F.col("comp").isNull(), F.col("name")).alias("name"), "comp"))
+    ids = cut(ids.select("doc_id", "name", "comp"))
+    in_class = ids.where(F.col("comp").isNotNull())
+    first = in_class.groupBy(F.col("name").alias("other")).agg(F.min("doc_id").alias("first_id"))
+    best = F.min(F.struct((-F.col("likeness")).alias("far"), F.col("first_id").isNull().alias("nameless"), "first_id")).alias("best")
+    nearest = cut(links.join(first, "other").groupBy(F.col("name").alias("near_name")).agg(F.count("*").alias("verified_links"), best))
+    ids = ids.select("doc_id", F.when(F.col("comp").isNull(), F.col("name")).alias("name"), "comp", F.when(F.col("comp").isNotNull(), F.col("name")).alias("own"))
     known = F.col("comp").isNotNull() | F.col("name").isNotNull()
     smallest = cut(ids.where(known).groupBy("comp", "name").agg(F.min("doc_id").alias("class_id")))
     same = F.col("l.comp").eqNullSafe(F.col("r.comp")) & F.col("l.name").eqNullSafe(F.col("r.name"))
-    return ids.alias("l").join(smallest.alias("r"), same, "left").select("l.doc_id", F.when(F.col("l.comp").isNull() & F.col("l.name").isNull(), F.col("l.doc_id")).otherwise(F.col("r.class_id")).alias("class_id"))
+    class_id = F.when(F.col("l.comp").isNull() & F.col("l.name").isNull(), F.col("l.doc_id")).otherwise(F.col("r.class_id"))
+    placed = ids.alias("l").join(smallest.alias("r"), same, "left").select("l.doc_id", "l.own", class_id.alias("class_id"))
+    shown = placed.join(nearest, F.col("own") == F.col("near_name"), "left")
+    return shown.select("doc_id", "class_id", F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"), F.col("best.first_id").alias("linked_id"), (-F.col("best.far")).alias("likeness"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -412,7 +438,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Null texts stay, but repeated rows are cut to one.  Texts of any length are compared whole.
     """
-    row, name = identity(*columns(docs)), name_of(F.col("text"))
+    row, name = row_identity(docs), name_of(F.col("text"))
     labels = classes(docs.select("text"), **options)
     ids = docs.select(name.alias("name"), F.col("doc_id").alias("id"), row.alias("row")).join(labels, "name", "left")
     # A null text is a class of its own, by its row.

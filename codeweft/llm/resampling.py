@@ -138,10 +138,12 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, carry: Sequence
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 5) -> float:
-    """The k-th largest value to within 1e-15 of the range, by counting bins within ever smaller ranges."""
-    low, high = values.agg(F.min(column), F.max(column)).first()
+    """The k-th largest value, by counting bins within ever smaller ranges; all of fewer values are at least it."""
+    n, low, high = values.agg(F.count(column), F.min(column), F.max(column)).first()
     if low is None or k <= 0:
         return math.inf
+    if k >= n:
+        return low
     above = 0
     for _ in range(rounds):
         width = (high - low) / bins
@@ -155,7 +157,10 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, rounds
                 break
             above += n
         low, high = low + b * width, low + (b + 1) * width
-    return low
+    # Edges are rounded, so the value itself is looked up, from the first that at least k values reach.
+    while values.where(F.col(column) >= low).count() < k:
+        low = values.where(F.col(column) < low).agg(F.max(column)).first()[0]
+    return values.where(F.col(column) >= low).agg(F.min(column)).first()[0]
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, keep: int | None = None, seed: int = SEED, carry: Sequence[str] | None = None) -> tuple[DataFrame, float]:

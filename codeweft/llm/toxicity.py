@@ -27,6 +27,8 @@ from codeweft.llm.frames import cut
 TRAIN_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 MIN_WEIGHT = 2.5
+#: Toxic examples that a feature must be in, at any number of examples.
+MIN_TEXTS = 3
 #: Log odds taken off, so that one word seen in a handful of toxic texts isn't enough.
 MARGIN = 1.5
 MEMO = 200_000
@@ -265,7 +267,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     The lexicon is learnt from up to ``TRAIN_ROWS`` texts of each class, chosen by hash; of texts of one class that
     agree in the least hash of their long words, under either of two hash functions, the first by hash is used, so
-    that copies of one text don't pass for many.
+    that copies of one text don't pass for many.  Null labels, labels other than 0 and 1 and null ids are left out, of
+    several labels of one id the greatest counts, and without labelled texts the lexicon is empty.
     """
     trigrams = trigram_counts(docs)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -321,8 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     counted = once.mapInArrow(count, "key long, df1 long, df0 long").groupBy("key").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
     weight = F.log((F.col("df1") - 1) / F.lit(n1 + 1.0)) - F.log((F.col("df0") + 0.5) / F.lit(n0 + 1.0))
-    strong = counted.where(F.col("df1") >= max(3, round(0.004 * n1))).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-    # Every feature is in at least 0.4 percent of the toxic examples, so there are at most 250 times those of one.
+    # Features of the examples, whose number is bounded; MIN_WEIGHT asks for more toxic texts where both classes are large.
+    strong = counted.where(F.col("df1") >= MIN_TEXTS).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
     lexicon = strong.select("key", "weight").toPandas()
     keys = lexicon["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)

@@ -212,7 +212,7 @@ def test_curves_find_neighbours(spark, kind, most, monkeypatch):
         points = rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)] + 0.2 * points
     rows = list(enumerate(points.tolist()))
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    nodes = neighbours.usable(vectors).select(neighbours.identity("embedding").alias("node"), "embedding", (neighbours.F.col("vec_id") % 20 == 0).alias("asks"))
+    nodes = neighbours.usable(vectors).select(neighbours.identity("embedding").alias("node"), "embedding", (neighbours.F.col("vec_id") % 20 == 0).alias("asks"), neighbours.F.col("vec_id").alias("least"))
     window = neighbours._fitted_window(nodes, neighbours._blocks(nodes), 5, neighbours.TARGET)
     assert most is None or window <= most
     got, want = found(neighbours.search(vectors, every=20, window=window)), near_by_hand(rows, every=20)
@@ -417,8 +417,21 @@ def test_classes_are_those_of_all_pairs(spark):
             both = sum((a & bags[j]).values())
             if both >= 0.8 * (sum(a.values()) + sum(bags[j].values()) - both):
                 parent[max(top(i), top(j))] = min(top(i), top(j))
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
-    assert got == {i: top(i) for i in range(len(texts))}
+    rows = near_dedup.near_duplicates(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {i: top(i) for i in range(len(texts))}
+
+    alone = {i for i, t in enumerate(texts) if len({texts[j] for j in range(len(texts)) if top(j) == top(i)}) == 1}
+    for r in rows:
+        assert (r["verified_links"] == 0) == (r["doc_id"] in alone) == (r["linked_id"] is None)
+        if r["linked_id"] is not None:
+            a, b = bags[r["doc_id"]], bags[r["linked_id"]]
+            both = sum((a & b).values())
+            assert r["likeness"] == both / (sum(a.values()) + sum(b.values()) - both) >= 0.8 and texts[r["doc_id"]] != texts[r["linked_id"]]
+
+
+def test_classes_where_tokens_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_KEY", 2)
+    test_classes_are_those_of_all_pairs(spark)
 
 
 def test_pivot_of_many_is_dealt(spark, monkeypatch):
