@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft import ingest_catalog  # noqa: F401  registers its queries
 from codeweft.fixtures import frame, nested_classes
 from codeweft.functions import scalars
 from codeweft.operators import graph, jobs, lookup, measures, mutations, relations, search, testmap, vectors

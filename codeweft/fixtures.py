@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,7 +87,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views as a DataFrame; annotations become an array."""
     if name not in WRITTEN:
         return _derived(spark, sf_dir, name)
-    path = f"{shared_folder(spark)}/graph-{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}"
+    path = f"{shared_folder(spark)}/graph-{_state(spark, sf_dir)}/{name}"
     key = (spark.sparkContext.applicationId, path)
     if key not in _schemas:
         df = _derived(spark, sf_dir, name)
@@ -99,6 +99,21 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _schemas: dict[tuple[str, str], StructType] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """A name for what the source tables hold: their files with sizes and times, listed without reading them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for name in TABLES:
+        table = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        if files.exists(table):
+            listed = files.listFiles(table, True)
+            while listed.hasNext():
+                file = listed.next()
+                found.append(f"{file.getPath()}:{file.getLen()}:{file.getModificationTime()}")
+    return hashlib.md5("\n".join([sf_dir, *sorted(found)]).encode()).hexdigest()
+
+
 def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Writes the views that many queries read."""
     for name in WRITTEN:
@@ -152,3 +167,58 @@ def nested_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array(F.struct(F.lit("orderService").alias("name"), F.lit("svc.P1Service").alias("type"), F.array(F.lit("private")).alias("modifiers"), F.array(F.lit("@Autowired")).alias("annotations")))
     own = frame(spark, sf_dir, "nation_class").select("fqn", none.alias("type"), F.lit("class").alias("nodeType"), F.lit(1).alias("line"), F.array(F.lit("public")).alias("modifiers"), F.array(F.lit("@RestController")).alias("annotations"), F.lit("/api/").alias("classBasePath"))
     return own.join(up, "fqn", "left").withColumn("fields", fields).join(methods, "fqn", "left")
+
+
+def wired_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for each customer, in nested form, that is wired to others; its key decides everything.
+
+    Classes ``app.C<key>`` with even keys are services; one with a key divisible by 3 extends that of a third of it, by 4
+    implements ``app.I0`` or ``app.I1``.  They inject by field, by constructor and by the method of a bean.
+    """
+    key = F.col("c_custkey").cast("long")
+
+    def every(n: int) -> Column:
+        return key % n == 0
+
+    def text(*pieces: Column | str) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in pieces))
+
+    def some(*pairs: tuple[Column, Column | str]) -> Column:
+        return F.array_compact(F.array(*(F.when(test, F.lit(x) if isinstance(x, str) else x) for test, x in pairs)))
+
+    own, third, half = text("app.C", key), F.floor(key / 3), F.floor(key / 2)
+    up = F.array_compact(F.array(
+        F.when(every(3), F.struct(text("app.C", third).alias("fqn"), F.lit("extends").alias("kind"))),
+        F.when(every(4), F.struct(text("app.I", F.floor(key % 8 / 4)).alias("fqn"), F.lit("implements").alias("kind"))),
+        F.when(every(11), F.struct(F.lit("org.quartz.Job").alias("fqn"), F.lit("implements").alias("kind"))),
+    ))
+    marks = some((every(2), "@org.springframework.stereotype.Service"), (every(50), "@Primary"), (every(10), text('@Qualifier("q', key % 30, '")')), (every(9), '@Scope("prototype")'))
+    odd, fourth = key % 2 == 1, every(4)
+    injected = some((odd, "@Autowired"), (~odd & fourth, "@Resource"), (~odd & fourth, text('@Qualifier("c', 8 * (key % 4 + key % 3 + 1), '")')))
+    wanted = F.when(every(5), text("app.C", half)).when(key % 5 == 1, "app.I1").otherwise("app.I0")
+    public = F.array(F.lit("private"))
+
+    def field(name: Column, kind: Column, annotations: Column) -> Column:
+        return F.struct(name.alias("name"), kind.alias("type"), public.alias("modifiers"), annotations.alias("annotations"))
+
+    fields = F.array(field(F.when(every(7), text("c", 4 * (key % 5 + 1))).otherwise("dep"), wanted, injected), field(F.lit("count"), F.lit("int"), some((every(3), text('@Value("${app.k', key, ':1}")')))))
+
+    def method(name: str, descriptor: Column, annotations: Column, qualifier: Column) -> Column:
+        values = {"fqn": text(own, f".{name}"), "signature": descriptor, "annotations": annotations, "attributes": F.create_map(F.lit("qualifier.0"), qualifier)}
+        kinds = {"fqn": "string", "line": "int", "lineNumber": "int", "signature": "string", "modifiers": "array<string>", "annotations": "array<string>"}
+        kinds |= {"isRestEndpoint": "boolean", "isEntryPoint": "boolean", "entryPointType": "string", "isScheduled": "boolean", "httpMethod": "string", "apiPath": "string", "scheduledCron": "string"}
+        kinds |= {"attributes": "map<string,string>", "calls": "array<struct<toFqn:string,kind:string,line:int,lineNumber:int,isMybatisBaseMapperCall:boolean>>"}
+        return F.struct(*(values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()))
+
+    none = F.lit(None).cast("string")
+    web = some((every(8), "@Bean"), (every(40), "@Primary"), (every(7), text('@GetMapping("/p', key, '")')))
+    methods = F.array(
+        method("<init>(..)", text("(Lapp/C", third, ";I[Ljava/lang/String;)V"), some((every(3), "@Inject")), F.when(every(6), text("c", third))),
+        method("make(..)", text("([[ILapp/I0;)Lapp/C", key + 1, ";"), web, none),
+        method("execute(..)", F.lit("(Lorg/quartz/JobExecutionContext;)V"), some((every(13), '@Transactional(propagation = "x")'), (every(26), "@Select"), (every(17), "@Lorg/aspectj/lang/annotation/Around;")), none),
+    )
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return rows.select(
+        own.alias("fqn"), none.alias("type"), F.lit("class").alias("nodeType"), F.lit(1).alias("line"), F.array(F.lit("public")).alias("modifiers"),
+        marks.alias("annotations"), none.alias("classBasePath"), up.alias("inheritance"), fields.alias("fields"), methods.alias("methods"),
+    )
