@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft import ingest_catalog  # noqa: F401  registers its queries
+from codeweft import change_catalog, ingest_catalog  # noqa: F401  these register their queries
 from codeweft.fixtures import frame, nested_classes
 from codeweft.functions import scalars
 from codeweft.operators import graph, jobs, lookup, measures, mutations, relations, search, testmap, vectors
@@ -59,7 +59,13 @@ _rated = "(SELECT model, tokens, tokens / 1000.0::DOUBLE * CASE model WHEN 'clic
 @query("d20_cost_rollup", f"SELECT model, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(usd), 6) AS usd FROM {_rated} GROUP BY ROLLUP (model)")
 def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     rates = spark.createDataFrame(_RATES, "model string, rate double")
-    return measures.cost_rollup(frame(spark, d, "llm_usage"), rates).withColumn("usd", F.round("usd", 6))
+    return measures.cost_rollup(frame(spark, d, "llm_usage"), rates).withColumn("usd", F.round("usd", 6)).drop("n_cached")
+
+
+@query("d20_cached_requests", "SELECT model, count(*) AS n, count(*) FILTER (cached) AS n_cached FROM llm_usage GROUP BY ROLLUP (model)")
+def cached_requests(spark: SparkSession, d: str) -> DataFrame:
+    rates = spark.createDataFrame(_RATES, "model string, rate double")
+    return measures.cost_rollup(frame(spark, d, "llm_usage"), rates).select("model", "n", "n_cached")
 
 
 @query("d21_usage_report", f"SELECT model, coalesce(model, 'all') || ': ' || format('{{:,}}', count(*)) || ' requests, ' || format('{{:,}}', CAST(sum(tokens) AS BIGINT)) || ' tokens, $' || printf('%.4f', round(sum(usd), 4)) AS line FROM {_rated} GROUP BY ROLLUP (model)")
@@ -142,7 +148,7 @@ def callees_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c17_members", "SELECT c.fqn, count(m.fqn) AS n_methods, min(m.name) AS first_method FROM symbols c LEFT JOIN symbols m ON m.parent_fqn = c.fqn AND m.kind = 'method' WHERE c.kind = 'class' GROUP BY c.fqn")
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return relations.members(frame(spark, d, "symbols")).select("fqn", F.size("methods").cast("long").alias("n_methods"), F.get("methods", F.lit(0)).alias("first_method"))
+    return relations.member_counts(frame(spark, d, "symbols")).drop("n_fields")
 
 
 @query("c18_by_prefix", "SELECT DISTINCT c.fqn, s.target_fqn FROM symbols c JOIN summaries s ON starts_with(s.target_fqn, c.fqn) WHERE c.kind = 'class' AND s.target_fqn <> c.fqn")
@@ -251,8 +257,8 @@ _found_tests = "WITH own AS (SELECT file_path, count(DISTINCT fqn) AS n_covered
 
 @query("g10_tests_of_files", _found_tests)
 def tests_of_files(spark: SparkSession, d: str) -> DataFrame:
-    found = testmap.tests_of_files(frame(spark, d, "symbols").where("file_path like '%/main/java/%'"), frame(spark, d, "java_files"))
-    return found.select("file_path", "path", F.size("covers").cast("long").alias("n_covered"), F.size("additional_tests").cast("long").alias("n_more"))
+    some = frame(spark, d, "symbols").where("file_path like '%/main/java/%'")
+    return testmap.covered_counts(some, testmap.found_tests(some, frame(spark, d, "java_files")))
 
 
 @query("g11_related_tests", "WITH callers AS (SELECT DISTINCT s.fqn, s.file_path FROM symbols s JOIN edges e ON e.from_fqn = s.fqn WHERE e.relation = 'calls' AND e.to_fqn LIKE 'dao.%' AND contains(s.file_path, '/main/java/')), own AS (SELECT file_path, count(*) AS n_covered FROM callers GROUP BY file_path), sought AS (SELECT o.*, place, regexp_replace(replace(file_path, '/main/java/', '/test/java/'), '\\.java$', '') || suffix || '.java' AS path FROM own o, (VALUES (0, 'Test'), (1, 'Tests'), (2, 'IT'), (3, '')) t(place, suffix)) SELECT file_path, arg_min(path, place) AS path, any_value(n_covered) AS n_covered FROM sought WHERE path IN (SELECT path FROM java_files) GROUP BY file_path")
@@ -261,14 +267,14 @@ def related_tests(spark: SparkSession, d: str) -> DataFrame:
     symbols, edges = parts(spark, d, "symbols", "edges")
     called = symbols.where("fqn like 'dao.%'").select("fqn")
     callers = relations.one_hop(edges, called).select(F.col("other").alias("fqn")).distinct()
-    found = testmap.tests_of_files(symbols.where("file_path like '%/main/java/%'").join(callers, "fqn", "left_semi"), frame(spark, d, "java_files"))
-    return found.select("file_path", "path", F.size("covers").cast("long").alias("n_covered"))
+    some = symbols.where("file_path like '%/main/java/%'").join(callers, "fqn", "left_semi")
+    return testmap.covered_counts(some, testmap.found_tests(some, frame(spark, d, "java_files"))).drop("n_more")
 
 
 @query("f12_missing_coverage", f"SELECT DISTINCT fqn FROM symbols WHERE contains(file_path, '/main/java/') AND file_path NOT IN (SELECT file_path FROM ({_found_tests}))")
 def missing_coverage(spark: SparkSession, d: str) -> DataFrame:
     some = frame(spark, d, "symbols").where("file_path like '%/main/java/%'")
-    return testmap.missing_coverage(some.select("fqn").distinct(), testmap.tests_of_files(some, frame(spark, d, "java_files")))
+    return testmap.uncovered(some, testmap.found_tests(some, frame(spark, d, "java_files")))
 
 
 @query("g12_tests_of_package", "SELECT DISTINCT path, 'geo.' AS source_package FROM java_files WHERE path IN (SELECT regexp_replace(replace(file_path, '/main/java/', '/test/java/'), '\\.java$', '') || suffix || '.java' FROM symbols, (VALUES ('Test'), ('Tests'), ('IT'), ('')) t(suffix) WHERE starts_with(fqn, 'geo.') AND file_path IS NOT NULL)")
@@ -382,7 +388,7 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a13_light_index", _outline)
 def light_index(spark: SparkSession, d: str) -> DataFrame:
-    return classes.light_index(classes.nest(*parts(spark, d, "symbols", "edges")))
+    return classes.light_index(classes.outline(*parts(spark, d, "symbols", "edges")))
 
 
 @query("a14_light_index_batch", "WITH own AS (SELECT file_path, count(*) AS n FROM symbols WHERE kind IN ('class', 'interface') GROUP BY file_path) SELECT DISTINCT path AS file_path, n IS NOT NULL AS success, coalesce(n, 0) AS n_classes, CASE WHEN n IS NULL THEN 'no class found' END AS error FROM java_files LEFT JOIN own ON file_path = path")
@@ -392,12 +398,12 @@ def light_index_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d24_totals", f"SELECT count(*) AS n_classes, CAST(sum(n_methods) AS BIGINT) AS n_methods, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM ({_outline})")
 def totals(spark: SparkSession, d: str) -> DataFrame:
-    return classes.totals(classes.nest(*parts(spark, d, "symbols", "edges")))
+    return classes.totals(classes.outline(*parts(spark, d, "symbols", "edges")))
 
 
 @query("d14_progress", f"WITH own AS (SELECT length(fqn) % 4 AS batch, count(*) AS n_classes, CAST(sum(n_methods) AS BIGINT) AS n_methods, CAST(sum(n_calls) AS BIGINT) AS n_calls FROM ({_outline}) GROUP BY 1) SELECT CAST(batch AS INT) AS batch, n_classes, n_methods, n_calls, CAST(sum(n_classes) OVER w AS BIGINT) AS total_classes, CAST(sum(n_methods) OVER w AS BIGINT) AS total_methods, CAST(sum(n_calls) OVER w AS BIGINT) AS total_calls, CAST(100 * sum(n_classes) OVER w // sum(n_classes) OVER () AS INT) AS percentage FROM own WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)")
 def progress(spark: SparkSession, d: str) -> DataFrame:
-    return classes.progress(classes.nest(*parts(spark, d, "symbols", "edges")).withColumn("batch", F.length("fqn") % 4), "batch")
+    return classes.progress(classes.outline(*parts(spark, d, "symbols", "edges")).withColumn("batch", F.length("fqn") % 4), "batch")
 
 
 @query("i11_verified", "WITH ends AS (SELECT from_fqn AS fqn FROM edges UNION ALL SELECT to_fqn FROM edges) SELECT (SELECT count(*) FROM symbols) AS n_symbols, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM ends WHERE fqn NOT IN (SELECT fqn FROM symbols)) AS n_orphan_ends, (SELECT count(*) FROM summaries WHERE target_fqn NOT IN (SELECT fqn FROM symbols)) AS n_orphan_rows, (SELECT count(*) - count(DISTINCT fqn) FROM symbols) AS n_repeated, false AS ok")

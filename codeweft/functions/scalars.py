@@ -298,6 +298,18 @@ def prompt(code: Column, **context: Column) -> Column:
     return F.concat_ws("\n", *(prompt_part(name.replace("_", " "), value) for name, value in context.items()), fence)
 
 
+def level_prompt(level: str, name: Column, items: Column, **context: Column) -> Column:
+    """A prompt about a class, package or module (``level``, brackets left out): its name, what context is there, and its
+    parts' summaries as a list."""
+    parts = F.when(F.size(items) > 0, F.concat(F.lit("parts:\n"), listed(items)))
+    return F.concat_ws("\n", prompt_part(level.strip("()"), name), *(prompt_part(label.replace("_", " "), value) for label, value in context.items()), parts)
+
+
+def entry_fqn(symbol_fqn: Column, fqn: Column) -> Column:
+    """The FQN of an entry of a call chain, empty if it has none."""
+    return F.coalesce(symbol_fqn, fqn, F.lit(""))
+
+
 def listed(items: Column) -> Column:
     """An array of lines as a dashed list."""
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")

@@ -48,9 +48,11 @@ def sliding_count(requests: DataFrame, seconds: int) -> DataFrame:
 
 
 def cost_rollup(usage: DataFrame, rates: DataFrame, default: float = 0.001) -> DataFrame:
-    """Tokens and cost for each model and, with a null model, in all."""
+    """Requests, tokens and cost for each model and, with a null model, in all; where it is known (``cached``) also how many
+    requests were answered from a cache."""
     rated = usage.join(small(rates), "model", "left").withColumn("usd", F.col("tokens") / 1000 * F.coalesce("rate", F.lit(default)))
-    return rated.rollup("model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("usd").alias("usd"))
+    cached = [F.count_if("cached").alias("n_cached")] if "cached" in usage.columns else []
+    return rated.rollup("model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("usd").alias("usd"), *cached)
 
 
 def usage_report(usage: DataFrame, rates: DataFrame, default: float = 0.001) -> DataFrame:

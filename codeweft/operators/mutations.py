@@ -94,15 +94,11 @@ def mark_stale_by_prefix(summaries: DataFrame, symbols: DataFrame, prefixes: Seq
 def set_vector_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``vector_id`` from ``ids`` (``key, vector_id``); a summary that gets one is no longer stale."""
     given = ids.groupBy(F.col(key).alias("__key")).agg(F.max("vector_id").alias("__id"))
-    joined = df.drop("vector_id").join(given, F.col(key) == F.col("__key"), "left")
-    was = df.select(F.col(key).alias("__own"), F.col("vector_id").alias("__was")).distinct() if "vector_id" in df.columns else None
-    if was is not None:
-        joined = joined.join(was, F.col(key) == F.col("__own"), "left")
-    old = F.col("__was") if was is not None else F.lit(None).cast("string")
-    out = joined.withColumn("vector_id", F.coalesce("__id", old))
+    old = F.col("vector_id") if "vector_id" in df.columns else F.lit(None).cast(ids.schema["vector_id"].dataType)
+    out = df.join(given, F.col(key) == F.col("__key"), "left").withColumn("vector_id", F.coalesce("__id", old))
     if "is_stale" in df.columns:
         out = out.withColumn("is_stale", F.when(F.col("__id").isNotNull(), False).otherwise(F.col("is_stale")))
-    return out.drop("__key", "__id", "__own", "__was")
+    return out.drop("__key", "__id")
 
 
 #: What becomes of the rows that point at a deleted symbol, by table and column.
@@ -152,3 +148,35 @@ def counts_of(frames: dict[str, DataFrame]) -> DataFrame:
 def delete_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``df`` without the rows whose ``key`` is in the one column of ``gone``; vectors are deleted so."""
     return df.join(gone.select(F.col(gone.columns[0]).alias(key)).distinct(), key, "left_anti").select(df.columns)
+
+
+def with_vectors(summaries: DataFrame, vectors: DataFrame, new: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries and vectors with new ones merged in, to be stored together.
+
+    ``new`` has the columns of summaries by ``target_fqn``; ``embeddings`` (``target_fqn, embedding``) gives some of them a
+    vector, whose ``id`` is the target and which ``vector_id`` then names.  New summaries without one keep the vector
+    that they had only if their text is the old one.  An embedding without a new summary is left out.
+    """
+    given = embeddings.join(new.select("target_fqn").distinct(), "target_fqn", "left_semi")
+    given = last_of_each(given, ["target_fqn"], "target_fqn")
+    merged = upsert_summaries(summaries, new)
+    old = summaries.groupBy(F.col("target_fqn").alias("__key")).agg(F.max("summary").alias("__was"))
+    fresh = given.select(F.col("target_fqn").alias("__id")).distinct()
+    joined = merged.join(old, F.col("target_fqn") == F.col("__key"), "left").join(fresh, F.col("target_fqn") == F.col("__id"), "left")
+    kept = F.when(F.col("summary").eqNullSafe(F.col("__was")), F.col("vector_id"))
+    out = joined.withColumn("vector_id", F.coalesce("__id", kept)).select(merged.columns)
+    dropped = summaries.where("vector_id is not null").select("vector_id").join(out.select("vector_id"), "vector_id", "left_anti")
+    left = delete_keys(vectors, "id", dropped.unionByName(given.select(F.col("target_fqn").alias("vector_id"))))
+    return out, left.unionByName(given.select(F.col("target_fqn").alias("id"), F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding")), allowMissingColumns=True)
+
+
+def without_summaries(summaries: DataFrame, vectors: DataFrame, fqns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries and vectors without those of the symbols in ``fqns.fqn``."""
+    wanted = fqns.select(F.col("fqn").alias("target_fqn")).distinct()
+    gone = summaries.join(wanted, "target_fqn", "left_semi").where("vector_id is not null").select("vector_id")
+    return summaries.join(wanted, "target_fqn", "left_anti").select(summaries.columns), delete_keys(vectors, "id", gone)
+
+
+def put_metadata(metadata: DataFrame, new: DataFrame) -> DataFrame:
+    """``key, value`` rows, those with a known key replaced."""
+    return merge(metadata, new, ["key"])

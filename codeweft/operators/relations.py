@@ -67,6 +67,16 @@ def one_hop(edges: DataFrame, fqns: DataFrame, direction: str = "callers") -> Da
     return calls.join(fqns.select("fqn").distinct(), "fqn", "left_semi").distinct()
 
 
+def member_counts(symbols: DataFrame) -> DataFrame:
+    """``fqn, n_methods, n_fields, first_method``: how many members each class has, and its first method by name."""
+    method, field = F.col("kind") == "method", F.col("kind") == "field"
+    inside = symbols.where((method | field) & F.col("parent_fqn").isNotNull()).groupBy(F.col("parent_fqn").alias("fqn"))
+    counts = inside.agg(F.count_if(method).alias("m"), F.count_if(field).alias("f"), F.min(F.when(method, F.col("name"))).alias("first_method"))
+    zero = F.lit(0).cast("long")
+    classes = symbols.where("kind in ('class', 'interface')").select("fqn")
+    return classes.join(counts, "fqn", "left").select("fqn", F.coalesce("m", zero).alias("n_methods"), F.coalesce("f", zero).alias("n_fields"), "first_method")
+
+
 def members(symbols: DataFrame) -> DataFrame:
     """``fqn, methods, fields``: names of the members of each class, in order; a class without any has empty lists."""
     inside = symbols.where("kind in ('method', 'field') and parent_fqn is not null").groupBy(F.col("parent_fqn").alias("fqn"))

@@ -30,25 +30,52 @@ def mapping_summary(targets: DataFrame, symbols: DataFrame, files: DataFrame) ->
     return known.join(tested, "fqn", "left").agg(F.count("*").alias("total"), F.count_if(F.col("file_path").isNotNull()).alias("found"), F.count_if(F.col("tested")).alias("with_tests"))
 
 
-def tests_of_files(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """``file_path, path, covers, additional_tests``: the first test of each source file that exists, and the others.
+def found_tests(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_path, place, path``: the tests of each file in ``sources.file_path`` that exist, in order of ``place``.
 
-    ``sources`` has ``file_path`` and ``fqn``; files without a test are left out.  A file outside a main source
-    folder is looked up in the folder ``test`` beside its parent's, if any known file is in there.
+    A file outside a main source folder is looked up in the folder ``test`` beside its parent's, if any known file is in
+    there.
     """
     aside = F.concat(F.regexp_extract("file_path", r"^(.*)/[^/]+/[^/]+$", 1), F.lit("/test"))
     folders = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")).distinct()
-    grouped = sources.where("file_path is not null").groupBy("file_path").agg(F.sort_array(F.collect_set("fqn")).alias("covers")).withColumn("folder", aside)
-    known = grouped.join(folders.withColumn("there", F.lit(True)), "folder", "left")
-    sought = known.select("file_path", "covers", F.posexplode(sibling_test_paths(F.col("file_path"), F.coalesce("there", F.lit(False)))).alias("place", "path"))
-    found = sought.join(files.select("path").distinct(), "path", "left_semi")
+    known = sources.where("file_path is not null").select("file_path").distinct().withColumn("folder", aside).join(folders.withColumn("there", F.lit(True)), "folder", "left")
+    sought = known.select("file_path", F.posexplode(sibling_test_paths(F.col("file_path"), F.coalesce("there", F.lit(False)))).alias("place", "path"))
+    return sought.join(files.select("path").distinct(), "path", "left_semi").select("file_path", "place", "path")
+
+
+def first_tests(found: DataFrame) -> DataFrame:
+    """``file_path, path, n_more``: the first of each file's found tests, and how many others there are."""
+    return found.groupBy("file_path").agg(F.min_by("path", "place").alias("path"), (F.count("*") - 1).alias("n_more"))
+
+
+def covered_counts(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """``file_path, path, n_covered, n_more``: ``first_tests`` with how many different symbols (``fqn``) each covers."""
+    own = sources.where("file_path is not null").select("file_path", "fqn").distinct().groupBy("file_path").agg(F.count("*").alias("n_covered"))
+    return first_tests(found).join(own, "file_path").select("file_path", "path", "n_covered", "n_more")
+
+
+def uncovered(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """``fqn`` of the symbols in ``sources`` that are in no file with a found test, each once."""
+    rows = sources.select("fqn", "file_path").distinct()
+    covered = rows.join(found.select("file_path").distinct(), "file_path", "left_semi").select("fqn")
+    return rows.select("fqn").distinct().join(covered, "fqn", "left_anti")
+
+
+def tests_of_files(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_path, path, covers, additional_tests``: the first test of each source file that exists, and the others.
+
+    ``sources`` has ``file_path`` and ``fqn``; files without a test are left out (see ``found_tests``).  A row lists all
+    symbols of a file; where only counts or rows are wanted, ``covered_counts`` and ``uncovered`` go without lists.
+    """
+    found = found_tests(sources, files)
+    covers = sources.where("file_path is not null").groupBy("file_path").agg(F.sort_array(F.collect_set("fqn")).alias("covers"))
     paths = F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    first = found.groupBy("file_path").agg(F.first("covers").alias("covers"), paths.alias("paths"))
+    first = found.groupBy("file_path").agg(paths.alias("paths")).join(covers, "file_path")
     return first.select("file_path", F.col("paths")[0].alias("path"), "covers", F.expr("slice(paths, 2, size(paths))").alias("additional_tests"))
 
 
 def missing_coverage(callers: DataFrame, found: DataFrame) -> DataFrame:
-    """Callers (``fqn``) that no found test covers."""
+    """Callers (``fqn``) that no test in ``tests_of_files`` covers."""
     covered = found.select(F.explode("covers").alias("fqn")).distinct()
     return callers.join(covered, "fqn", "left_anti")
 
@@ -59,7 +86,7 @@ def tests_of_package(symbols: DataFrame, files: DataFrame, package: str) -> Data
     A test that is itself one of these files isn't given again.
     """
     own = symbols.where(F.col("fqn").startswith(package)).select("fqn", "file_path")
-    found = tests_of_files(own, files).select(F.explode(F.concat(F.array("path"), "additional_tests")).alias("path")).distinct()
+    found = found_tests(own, files).select("path").distinct()
     return found.join(own.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti").withColumn("source_package", F.lit(package))
 
 

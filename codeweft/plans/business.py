@@ -6,7 +6,10 @@ text that fails gets a fallback instead of failing the batch.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars
 from codeweft.operators.graph import affected
 from codeweft.operators.mutations import upsert_summaries
+from codeweft.scratch import cut
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -41,25 +45,78 @@ def terms(symbols: DataFrame) -> DataFrame:
     return found.groupBy("code_term").agg(F.min(F.struct("class_fqn", "rank", "source_fqn"))["source_fqn"].alias("source_fqn"))
 
 
-def asked(df: DataFrame, prompt: Column, answer: str, model: Model, fallback: Column) -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How a model is called: ``together`` texts at a time (a whole batch unless given), by at most ``threads`` threads of a
+    task, up to ``attempts`` times where an error is ``retriable``, with waits that double from ``wait`` to ``longest``
+    seconds."""
+
+    together: int | None = None
+    threads: int = 10
+    attempts: int = 3
+    wait: float = 1.0
+    longest: float = 10.0
+    retriable: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
+
+
+def _tried(model: Model, texts: pd.Series, calls: Calls) -> tuple[list | None, int]:
+    """The model's answers, or nothing where it fails for good, and how often it was called."""
+    for attempt in range(1, calls.attempts + 1):
+        try:
+            answers = list(model(texts))
+            if len(answers) != len(texts):
+                raise ValueError("a model must give an answer for each text")
+            return answers, attempt
+        except Exception as error:  # noqa: BLE001  whatever a model raises costs only its own texts
+            if not isinstance(error, calls.retriable) or attempt == calls.attempts:
+                return None, attempt
+            time.sleep(min(calls.longest, calls.wait * 2 ** (attempt - 1)))
+    return None, calls.attempts
+
+
+def _answered(model: Model, texts: pd.Series, calls: Calls) -> pd.DataFrame:
+    """``answer, failed, attempts`` of some texts in order; if the model fails for them together each is asked alone."""
+    answers, attempts = _tried(model, texts, calls)
+    if answers is not None:
+        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "failed": False, "attempts": attempts})
+    if len(texts) == 1:
+        return pd.DataFrame({"answer": pd.Series([None], dtype=object), "failed": True, "attempts": attempts})
+    alone = [_tried(model, texts.iloc[k : k + 1], calls) for k in range(len(texts))]
+    return pd.DataFrame({"answer": pd.Series([None if a is None else a[0] for a, _ in alone], dtype=object), "failed": [a is None for a, _ in alone], "attempts": [attempts + n for _, n in alone]})
+
+
+def responses(prompt: Column, model: Model, calls: Calls = Calls()) -> Column:
+    """``answer, failed, attempts`` of a model for each prompt.
+
+    A task keeps at most ``calls.threads`` calls under way at a time and gives answers in order; a text whose calls fail has
+    no answer and doesn't fail others.  Null prompts are asked as they are.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(calls.threads) as pool:
+            for batch in batches:
+                size = calls.together or max(1, len(batch))
+                parts = pool.map(lambda low, batch=batch, size=size: _answered(model, batch.iloc[low : low + size].reset_index(drop=True), calls), range(0, len(batch), size))
+                yield pd.concat([pd.DataFrame({"answer": [], "failed": [], "attempts": []}), *parts], ignore_index=True).astype({"failed": bool, "attempts": int})
+
+    return F.pandas_udf(run, "answer string, failed boolean, attempts int")(prompt)
+
+
+def asked(df: DataFrame, prompt: Column, answer: str, model: Model, fallback: Column, calls: Calls = Calls()) -> DataFrame:
     """``df`` with the model's answers to a prompt; where it gives none, or fails, the fallback."""
+    said = df.withColumn("__prompt", prompt).withColumn("__said", responses(F.col("__prompt"), model, calls))
+    return said.withColumn(answer, F.coalesce("__said.answer", fallback)).drop("__prompt", "__said")
 
-    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            try:
-                yield model(batch)
-            except Exception:  # noqa: BLE001  one text at a time, so that only the one that fails goes without
-                yield batch.map(lambda text: _one(model, text))
 
-    said = F.pandas_udf(answers, "string")
-    return df.withColumn("__prompt", prompt).withColumn(answer, F.coalesce(said("__prompt"), fallback)).drop("__prompt")
+def call_counts(said: DataFrame, column: str = "said") -> DataFrame:
+    """One row for a frame of ``responses``: texts, those answered and those that failed, calls, and calls beyond the first."""
+    r = F.col(column)
+    return said.agg(F.count("*").alias("total"), F.count_if(~r["failed"]).alias("success"), F.count_if(r["failed"]).alias("failed"), F.coalesce(F.sum(r["attempts"]), F.lit(0)).alias("calls"), F.coalesce(F.sum(r["attempts"] - 1), F.lit(0)).alias("retries"))
 
 
-def _one(model: Model, text: str) -> str | None:
-    try:
-        return model(pd.Series([text])).iloc[0]
-    except Exception:  # noqa: BLE001
-        return None
+def structured(answer: Column, schema: str, *, strict: bool = False) -> Column:
+    """A model's JSON as columns; what is no such JSON is null, or an error if ``strict``."""
+    return F.from_json(answer, schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
 
 
 def glossary(symbols: DataFrame, model: Model) -> DataFrame:
@@ -69,7 +126,7 @@ def glossary(symbols: DataFrame, model: Model) -> DataFrame:
     """
     found = terms(symbols)
     said = asked(found, F.concat(F.lit("term: "), "code_term"), "__json", model, F.lit("{}"))
-    parsed = F.from_json("__json", "business_meaning string, synonyms array<string>")
+    parsed = structured(F.col("__json"), "business_meaning string, synonyms array<string>")
     none = F.array().cast("array<string>")
     return said.select("code_term", "source_fqn", parsed["business_meaning"].alias("business_meaning"), F.coalesce(parsed["synonyms"], none).alias("synonyms"))
 
@@ -111,21 +168,36 @@ def summarized(methods: DataFrame, model: Model) -> DataFrame:
     return said.select("fqn", scalars.clean_summary(F.col("summary")).alias("summary"))
 
 
-def rolled_up(parts: DataFrame, kind: str, model: Model | None = None) -> DataFrame:
+#: Parts that a model is given in one prompt.
+FAN_IN = 50
+
+
+def rolled_up(parts: DataFrame, kind: str, model: Model | None = None, *, fan_in: int = FAN_IN, calls: Calls = Calls()) -> DataFrame:
     """``fqn, summary`` of the wholes of ``parts`` (``fqn, name, part, summary``), by the model from their parts' summaries.
 
     Empty summaries and those that say nothing are left out; a whole without any, or one whose model fails, has its
-    name and ``kind``.  Without a model the listed parts are the summary.
+    name and ``kind``.  A model is given at most ``fan_in`` parts at a time; what it says of these are the parts of a
+    further round, until each whole is one prompt.  Without a model the listed parts are the summary.
     """
-    useful = F.when((F.col("summary") != "") & (F.col("summary") != NOTHING), F.struct("part", "summary"))
-    lists = parts.groupBy("fqn", "name").agg(F.transform(F.sort_array(F.collect_list(useful)), lambda x: x["summary"]).alias("parts"))
-    plain = F.concat("name", F.lit(f" {kind}"))
-    said = scalars.listed(F.col("parts"))
+    useful = (F.col("summary") != "") & (F.col("summary") != NOTHING)
+    wholes = parts.select("fqn", "name").distinct()
+    rows = parts.where(useful).select("fqn", "name", "part", "summary")
     if model is None:
-        out = lists.withColumn("summary", said)
+        lists = rows.groupBy("fqn", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "summary"))), lambda x: x["summary"]).alias("parts"))
+        said = lists.select("fqn", "name", scalars.listed(F.col("parts")).alias("said"))
     else:
-        out = asked(lists, F.concat_ws("\n", "fqn", said), "summary", model, plain)
-    return out.select("fqn", F.when(F.size("parts") > 0, F.trim("summary")).otherwise(plain).alias("summary"))
+        said = None
+        while said is None:
+            place = F.row_number().over(Window.partitionBy("fqn", "name").orderBy("part", "summary")) - 1
+            groups = rows.withColumn("group", F.floor(place / fan_in)).groupBy("fqn", "name", "group")
+            lists = cut(groups.agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "summary"))), lambda x: x["summary"]).alias("parts")))
+            text = scalars.level_prompt(kind, F.col("fqn"), F.col("parts"))
+            answered = cut(asked(lists, text, "summary", model, F.lit(None).cast("string"), calls))
+            if answered.where("group > 0").isEmpty():
+                said = answered.select("fqn", "name", F.col("summary").alias("said"))
+            rows = answered.where("summary is not null and summary <> ''").select("fqn", "name", F.lpad(F.col("group").cast("string"), 12, "0").alias("part"), "summary")
+    out = wholes.alias("w").join(said.alias("s"), F.col("w.fqn").eqNullSafe(F.col("s.fqn")) & F.col("w.name").eqNullSafe(F.col("s.name")), "left")
+    return out.select("w.fqn", F.coalesce(F.trim("s.said"), F.concat("w.name", F.lit(f" {kind}"))).alias("summary"))
 
 
 def bottom_up(symbols: DataFrame, method_summaries: DataFrame, model: Model | None = None) -> DataFrame:
@@ -187,14 +259,15 @@ def refresh_result(symbols: DataFrame, edges: DataFrame, summaries: DataFrame, s
     return counts.withColumns({"changed": F.lit(changed.select("fqn").distinct().count()).cast("long"), "affected": F.lit(hit.count()).cast("long")})
 
 
-def embedded(texts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """``id, embedding`` of ``id, text`` by a model from texts to lists of floats; an empty text is an error."""
+def embedded(texts: DataFrame, model: Callable[[pd.Series], pd.Series], together: int = 100) -> DataFrame:
+    """``id, embedding`` of ``id, text`` by a model from at most ``together`` texts to lists of floats; an empty text is an
+    error."""
     if not texts.where("text is null or trim(text) = ''").isEmpty():
         raise ValueError("an empty text can't be embedded")
 
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield model(batch)
+            yield pd.concat([pd.Series([], dtype=object), *(pd.Series(list(model(batch.iloc[k : k + together])), dtype=object) for k in range(0, len(batch), together))], ignore_index=True)
 
     return texts.select("id", F.pandas_udf(vectors, "array<float>")("text").alias("embedding"))
 

@@ -66,7 +66,13 @@ simple("g24_spaced_terms", "symbols", lambda s: s.where("kind = 'class'").select
 simple("d15_request_metrics", "requests", lambda r: measures.request_metrics(r, "path").select("path", "n", F.round("mean_ms", 6).alias("mean_ms"), F.round("error_rate", 6).alias("error_rate"), "p95_ms", "p99_ms"),
     "WITH recent AS (SELECT * FROM requests QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, request_id DESC) <= 1000), tails AS (SELECT path, list_sort(list(duration_ms)) AS d FROM recent GROUP BY path) SELECT path, n, mean_ms, error_rate, d[least(CAST(floor(len(d) * 0.95) AS INT), len(d) - 1) + 1] AS p95_ms, d[least(CAST(floor(len(d) * 0.99) AS INT), len(d) - 1) + 1] AS p99_ms FROM (SELECT path, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, round(avg(CASE WHEN status >= 400 THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM requests GROUP BY path) JOIN tails USING (path)")
 simple("s3_sliding_count", "requests", lambda r: measures.sliding_count(r, 3600), "SELECT request_id, client, count(*) OVER (PARTITION BY client ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS n_before FROM requests")
-query("s1_rate_limiter")(lambda spark, d: limited(frame(spark, d, "requests")))
+_LIMITED = """WITH numbered AS (SELECT request_id, client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS n FROM requests),
+walk AS (SELECT client, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, false AS allowed, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT client FROM requests)
+  UNION ALL SELECT client, n, request_id, ok, CASE WHEN ok THEN list_append(live, us) ELSE live END FROM (
+    SELECT *, len(list_filter(live, lambda t: t > us - 10000000)) < 10 AND len(list_filter(live, lambda t: t > us - 60000000)) < 60 AND len(live) < 1000 AS ok FROM (
+      SELECT r.client, r.n, r.request_id, r.us, list_filter(w.held, lambda t: t > r.us - 3600000000) AS live FROM walk w JOIN numbered r ON r.client = w.client AND r.n = w.n + 1)))
+SELECT request_id, client, allowed FROM walk WHERE n > 0"""
+query("s1_rate_limiter", _LIMITED, recursive=True)(lambda spark, d: limited(frame(spark, d, "requests")))
 
 
 @query("b23_keyword_search", "WITH hits AS (SELECT * FROM symbols WHERE name ILIKE '%p1%' OR fqn ILIKE '%p1%' ORDER BY fqn LIMIT 40) SELECT h.fqn, h.kind, coalesce(s.summary, h.kind || ': ' || h.name) AS text, (SELECT count(*) FROM entry_points e WHERE e.symbol_fqn = h.fqn) AS n_entries, CAST(0.5 AS DOUBLE) AS score FROM hits h LEFT JOIN summaries s ON s.target_fqn = h.fqn")

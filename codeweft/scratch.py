@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,63 @@ def sized(df: DataFrame, n: int) -> DataFrame:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast if a count shows it has at most ``rows`` rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system that Spark reads, in order; none if there is no such folder."""
+    files, place = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in files.listStatus(place)) if files.exists(place) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file if there is none of this name; of several writers at one time one is told that it has.
+
+    That is left to the file system, whose making of a new file must be exclusive, as it is on HDFS.
+    """
+    files, place = _file_system(spark, path)
+    local = files.getScheme() == "file"
+    if local:  # Hadoop's local files look first and make then
+        files.mkdirs(place.getParent())
+        if not spark._jvm.java.io.File(place.toUri().getPath()).createNewFile():
+            return False
+    try:
+        out = files.create(place, local)
+    except Py4JJavaError as error:
+        if files.exists(place):
+            return False
+        raise error
+    out.write(text.encode())
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    files, place = _file_system(spark, path)
+    stream = files.open(place)
+    try:
+        return bytes(stream.readNBytes(1 << 20)).decode()
+    finally:
+        stream.close()
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what was cut within it; results must have been written elsewhere by then."""
+    before = set(listed(spark, shared_folder(spark)))
+    try:
+        yield
+    finally:
+        for name in listed(spark, shared_folder(spark)):
+            if name.startswith("cut-") and name not in before:
+                delete(spark, f"{shared_folder(spark)}/{name}")

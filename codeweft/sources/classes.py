@@ -38,18 +38,19 @@ def outer_name(fqn: Column) -> Column:
     return F.substring_index(fqn, "$", 1)
 
 
-def flatten_symbols(classes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Classes, methods and fields as symbols; ``sources`` (``fqn, file_path``) gives their files.
+def flatten_symbols(classes: DataFrame, sources: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Classes, methods and fields as symbols; ``sources`` (``fqn, file_path``) gives their files.  Columns of the classes
+    that ``carry`` names come first.
 
     ``type`` and ``line`` may have their other spellings; a field without a name is no symbol.
     """
     kind = F.when(F.coalesce("type", "nodeType") == "interface", "interface").otherwise("class")
     none, strings = F.lit(None).cast("string"), F.array().cast("array<string>")
-    own = classes.select(F.col("fqn").alias("class_fqn"), "fqn", kind.alias("kind"), F.substring_index("fqn", ".", -1).alias("name"), none.alias("parent_fqn"), F.col("line").alias("line_number"), "modifiers", none.alias("signature"), "annotations")
-    inside = classes.select(F.col("fqn").alias("class_fqn"), F.explode("methods").alias("m"))
-    methods = inside.select("class_fqn", F.col("m.fqn").alias("fqn"), F.lit("method").alias("kind"), simple_name(F.col("m.fqn")).alias("name"), F.col("class_fqn").alias("parent_fqn"), F.coalesce("m.line", "m.lineNumber").alias("line_number"), "m.modifiers", "m.signature", "m.annotations")
-    inside = classes.select(F.col("fqn").alias("class_fqn"), F.explode("fields").alias("f")).where("f.name is not null and f.name <> ''")
-    fields = inside.select("class_fqn", F.concat("class_fqn", F.lit("."), "f.name").alias("fqn"), F.lit("field").alias("kind"), F.col("f.name").alias("name"), F.col("class_fqn").alias("parent_fqn"), F.lit(None).cast("int").alias("line_number"), "f.modifiers", F.col("f.type").alias("signature"), "f.annotations")
+    own = classes.select(*carry, F.col("fqn").alias("class_fqn"), "fqn", kind.alias("kind"), F.substring_index("fqn", ".", -1).alias("name"), none.alias("parent_fqn"), F.col("line").alias("line_number"), "modifiers", none.alias("signature"), "annotations")
+    inside = classes.select(*carry, F.col("fqn").alias("class_fqn"), F.explode("methods").alias("m"))
+    methods = inside.select(*carry, "class_fqn", F.col("m.fqn").alias("fqn"), F.lit("method").alias("kind"), simple_name(F.col("m.fqn")).alias("name"), F.col("class_fqn").alias("parent_fqn"), F.coalesce("m.line", "m.lineNumber").alias("line_number"), "m.modifiers", "m.signature", "m.annotations")
+    inside = classes.select(*carry, F.col("fqn").alias("class_fqn"), F.explode("fields").alias("f")).where("f.name is not null and f.name <> ''")
+    fields = inside.select(*carry, "class_fqn", F.concat("class_fqn", F.lit("."), "f.name").alias("fqn"), F.lit("field").alias("kind"), F.col("f.name").alias("name"), F.col("class_fqn").alias("parent_fqn"), F.lit(None).cast("int").alias("line_number"), "f.modifiers", F.col("f.type").alias("signature"), "f.annotations")
     out = own.unionByName(methods).unionByName(fields)
     if sources is None:
         out = out.withColumn("file_path", none)
@@ -57,25 +58,25 @@ def flatten_symbols(classes: DataFrame, sources: DataFrame | None = None) -> Dat
         files = sources.select(F.col("fqn").alias("__outer"), "file_path")
         out = out.join(files, outer_name(F.col("class_fqn")) == F.col("__outer"), "left")
     lists = {c: F.coalesce(c, strings).alias(c) for c in ("modifiers", "annotations")}
-    return out.select("fqn", "kind", "name", "file_path", "line_number", lists["modifiers"], "signature", "parent_fqn", lists["annotations"])
+    return out.select(*carry, "fqn", "kind", "name", "file_path", "line_number", lists["modifiers"], "signature", "parent_fqn", lists["annotations"])
 
 
-def flatten_edges(classes: DataFrame, external: tuple[str, ...] = EXTERNAL) -> DataFrame:
+def flatten_edges(classes: DataFrame, external: tuple[str, ...] = EXTERNAL, carry: tuple[str, ...] = ()) -> DataFrame:
     """``from_fqn, to_fqn, relation, metadata``: inheritance, to whatever type, and calls outside the external packages."""
-    parents = classes.select(F.col("fqn").alias("from_fqn"), F.explode("inheritance").alias("i"))
+    parents = classes.select(*carry, F.col("fqn").alias("from_fqn"), F.explode("inheritance").alias("i"))
     extends = F.coalesce("i.kind", F.lit("extends")) == "extends"
     nothing = F.lit(None).cast("map<string,string>")
-    up = parents.select("from_fqn", F.col("i.fqn").alias("to_fqn"), F.when(extends, "inherits").otherwise("implements").alias("relation"), nothing.alias("metadata"))
-    calls = classes.select(F.explode("methods").alias("m")).select(F.col("m.fqn").alias("from_fqn"), F.explode("m.calls").alias("c"))
+    up = parents.select(*carry, "from_fqn", F.col("i.fqn").alias("to_fqn"), F.when(extends, "inherits").otherwise("implements").alias("relation"), nothing.alias("metadata"))
+    calls = classes.select(*carry, F.explode("methods").alias("m")).select(*carry, F.col("m.fqn").alias("from_fqn"), F.explode("m.calls").alias("c"))
     to = F.col("c.toFqn")
     inside = (to != "") & ~reduce(Column.__or__, [to.startswith(prefix) for prefix in external])
     where = F.create_map(F.lit("line"), F.coalesce("c.line", "c.lineNumber").cast("string"), F.lit("kind"), F.col("c.kind"))
-    return up.unionByName(calls.where(inside).select("from_fqn", to.alias("to_fqn"), F.lit("calls").alias("relation"), where.alias("metadata")))
+    return up.unionByName(calls.where(inside).select(*carry, "from_fqn", to.alias("to_fqn"), F.lit("calls").alias("relation"), where.alias("metadata")))
 
 
-def entry_points(classes: DataFrame) -> DataFrame:
+def entry_points(classes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """HTTP, scheduled and message-queue entry points of the methods; one method may be several."""
-    methods = classes.select("classBasePath", F.explode("methods").alias("m"))
+    methods = classes.select(*carry, "classBasePath", F.explode("methods").alias("m"))
     none = F.lit(None).cast("string")
 
     def entry(test: Column, kind: str, method: Column = none, path: Column = none, cron: Column = none, queue: Column = none) -> Column:
@@ -90,8 +91,8 @@ def entry_points(classes: DataFrame) -> DataFrame:
             entry(heard, "mq_consumer", queue=F.col("m.attributes")["queue"]),
         )
     )
-    rows = methods.select(F.col("m.fqn").alias("symbol_fqn"), F.explode(found).alias("e"))
-    return rows.select("symbol_fqn", F.col("e.t").alias("entry_type"), F.col("e.h").alias("http_method"), F.col("e.p").alias("http_path"), F.col("e.c").alias("cron_expression"), F.col("e.q").alias("mq_queue"))
+    rows = methods.select(*carry, F.col("m.fqn").alias("symbol_fqn"), F.explode(found).alias("e"))
+    return rows.select(*carry, "symbol_fqn", F.col("e.t").alias("entry_type"), F.col("e.h").alias("http_method"), F.col("e.p").alias("http_path"), F.col("e.c").alias("cron_expression"), F.col("e.q").alias("mq_queue"))
 
 
 def nest(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,10 +110,28 @@ def nest(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("methods", F.coalesce("methods", F.array().cast(out.schema["methods"].dataType)))
 
 
+def outline(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fqn, type, n_methods, n_calls`` of classes, interfaces and enums, counted in the flat tables."""
+    calls = edges.where("relation = 'calls'").groupBy(F.col("from_fqn").alias("fqn")).agg(F.count("*").alias("n"))
+    methods = symbols.where("kind = 'method' and parent_fqn is not null").select("fqn", "parent_fqn").join(calls, "fqn", "left")
+    counts = methods.groupBy(F.col("parent_fqn").alias("fqn")).agg(F.count("*").alias("methods"), F.sum("n").alias("calls"))
+    classes = symbols.where("kind in ('class', 'interface', 'enum')").select("fqn", F.col("kind").alias("type"))
+    zero = F.lit(0).cast("long")
+    return classes.join(counts, "fqn", "left").select("fqn", "type", F.coalesce("methods", zero).alias("n_methods"), F.coalesce("calls", zero).alias("n_calls"))
+
+
+def _n_methods(classes: DataFrame) -> Column:
+    return F.col("n_methods") if "n_methods" in classes.columns else F.size("methods").cast("long")
+
+
+def _n_calls(classes: DataFrame) -> Column:
+    nested = F.aggregate("methods", F.lit(0).cast("long"), lambda n, m: n + F.size(m["calls"])) if "n_calls" not in classes.columns else None
+    return F.col("n_calls") if nested is None else nested
+
+
 def light_index(classes: DataFrame) -> DataFrame:
-    """``fqn, type, n_methods, n_calls``: an outline of nested classes without enums."""
-    n_calls = F.aggregate("methods", F.lit(0).cast("long"), lambda n, m: n + F.size(m["calls"]))
-    return classes.where("type <> 'enum'").select("fqn", "type", F.size("methods").cast("long").alias("n_methods"), n_calls.alias("n_calls"))
+    """``fqn, type, n_methods, n_calls`` of nested classes, or of an ``outline``, without enums."""
+    return classes.where("type <> 'enum'").select("fqn", "type", _n_methods(classes).alias("n_methods"), _n_calls(classes).alias("n_calls"))
 
 
 def light_index_batch(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -124,9 +143,8 @@ def light_index_batch(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def totals(classes: DataFrame, *keys: str) -> DataFrame:
-    """Classes, methods and calls, by ``keys`` or in all."""
-    n_calls = F.aggregate("methods", F.lit(0).cast("long"), lambda n, m: n + F.size(m["calls"]))
-    return classes.groupBy(*keys).agg(F.count("*").alias("n_classes"), F.sum(F.size("methods")).alias("n_methods"), F.sum(n_calls).alias("n_calls"))
+    """Classes, methods and calls, by ``keys`` or in all, of nested classes or of an ``outline``."""
+    return classes.groupBy(*keys).agg(F.count("*").alias("n_classes"), F.sum(_n_methods(classes)).alias("n_methods"), F.sum(_n_calls(classes)).alias("n_calls"))
 
 
 def progress(classes: DataFrame, batch: str) -> DataFrame:

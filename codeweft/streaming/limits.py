@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,22 +42,22 @@ def limited(requests: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS)
     """``request_id, client, allowed`` for requests by ``ts`` then id.
 
     Clients are sorted streams within a partition, held as the few timestamps of the longest window, so a
-    client of any length passes in bounded memory.
+    client of any length passes in bounded memory.  Requests without a client are one client's.
     """
     rows = requests.select("request_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).repartition("client").sortWithinPartitions("client", "us", "request_id")
     kinds = dict(rows.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, limiter = object(), Limiter(windows)
-        for frame in frames:
+        for batch in batches:
             verdicts = []
-            for client, us in zip(frame["client"], frame["us"], strict=True):
+            for client, us in zip(batch.column("client").to_pylist(), batch.column("us").to_pylist(), strict=True):
                 if client != now:
                     now, limiter = client, Limiter(windows)
                 verdicts.append(limiter.accept(us))
-            yield frame[["request_id", "client"]].assign(allowed=verdicts)
+            yield pa.record_batch([batch.column("request_id"), batch.column("client"), pa.array(verdicts, pa.bool_())], names=["request_id", "client", "allowed"])
 
-    return rows.mapInPandas(run, f"request_id {kinds['request_id']}, client {kinds['client']}, allowed boolean")
+    return rows.mapInArrow(run, f"request_id {kinds['request_id']}, client {kinds['client']}, allowed boolean")
 
 
 def limited_stream(requests: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS, idle: int = IDLE) -> DataFrame:
