@@ -37,6 +37,8 @@ BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 4096
 #: Documents, on average, in the parts into which a source is hashed, so that no window holds a whole source.
 PART_ROWS = 4096
+#: Documents that are cut into runs in one go, which bounds memory.
+ROWS_AT_ONCE = 256
 SEED = 20240501
 #: Items from which numpy's hypergeometric draw is replaced by a rounded normal one; the two have the same mean,
 #: variance and range, and at this size a skewness below 1e-4.
@@ -235,7 +237,7 @@ def mixed_documents(docs: DataFrame, *, block_words: int, weights: tuple[float,
 
     @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, ROWS_AT_ONCE) for whole in batches for low in range(0, len(whole), ROWS_AT_ONCE)):
             texts: list[str] = []
             origin: list[int] = []
             for i, (text, pieces) in enumerate(zip(batch.column("text"), batch.column(pieces_name), strict=True)):

@@ -85,10 +85,10 @@ def with_counts(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFram
     @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(part) for part in kernels.slices(batch.column("text"))]
-            if parts:
-                counts = [pa.array(np.concatenate([p[name] for p in parts]), pa.int64()) for name in RULES]
-                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *counts], names=[*names, *RULES])
+            own = batch.select(names)
+            for part in kernels.slices(batch.column("text")):
+                counts = measure(part)
+                yield pa.RecordBatch.from_arrays([*own.slice(part.first, len(part)).columns, *(pa.array(counts[name], pa.int64()) for name in RULES)], names=[*names, *RULES])
 
     out = T.StructType([*(plain.schema[c] for c in names), *T.StructType.fromDDL(schema).fields])
     words = F.col("n_words")

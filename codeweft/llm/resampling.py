@@ -124,15 +124,14 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, carry: Sequence
     @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights, keys = [], []
+            own = batch.select(carried)
             for part in kernels.slices(batch.column("text")):
                 buckets, owner = ngram_buckets(part)
                 weight = kernels.per_text(owner, len(part), ratios[buckets])
                 code = kernels.RangeHash(part.data)(part.offsets[:-1], part.offsets[1:])
-                weights.append(weight)
-                keys.append(weight - np.log(-np.log(kernels.uniform(kernels.mix64(code + np.uint64(seed))))))
-            if weights:
-                yield pa.RecordBatch.from_arrays([*batch.select(carried).columns, pa.array(np.concatenate(weights)), pa.array(np.concatenate(keys))], names=names)
+                key = weight - np.log(-np.log(kernels.uniform(kernels.mix64(code + np.uint64(seed)))))
+                # A slice at a time, so that neither side holds a whole batch of texts for what is given back.
+                yield pa.RecordBatch.from_arrays([*own.slice(part.first, len(part)).columns, pa.array(weight), pa.array(key)], names=names)
 
     return plain.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)
 
