@@ -217,14 +217,18 @@ def restored(part: kernels.Slice, channel: Channel) -> list[str]:
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the texts' words and word beginnings, with their texts and word numbers."""
     offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
     starts, ends, owner = kernels.runs(kernels.letters()[points], offsets)
-    code = kernels.RangeHash(points)
+    # Hashed as UTF-8, which is shorter: the byte at which each code point begins.
+    at = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80).view(np.int8) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+    code = kernels.RangeHash(np.frombuffer(whole.encode("utf-8", "replace"), np.uint8))
     number = np.arange(len(starts))
-    keys, owners, numbers = [code(starts, ends)], [owner], [number]
+    keys, owners, numbers = [code(at[starts], at[ends])], [owner], [number]
     for length in PREFIXES:
         long = np.flatnonzero(ends - starts > length)
-        keys.append(kernels.mix64(code(starts[long], starts[long] + length) + np.uint64(length)))
+        keys.append(kernels.mix64(code(at[starts[long]], at[starts[long] + length]) + np.uint64(length)))
         owners.append(owner[long])
         numbers.append(number[long])
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(numbers)
