@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from codeweft.fixtures import frame, wired_classes
 from codeweft.functions import descriptors, scalars
 from codeweft.operators import jobs, mutations
-from codeweft.plans import business, rebuild
+from codeweft.plans import business, handlers, rebuild
 from codeweft.queries import query, simple
 from codeweft.scratch import cut, shared_folder
-from codeweft.sources.modules import Modules, module_hashes, project_result
+from codeweft.sources.modules import Modules, broken_rows, class_files, first_files, module_hashes, project_result
 from codeweft.sources.versions import Versions
 
 _K = "keys AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer)"
@@ -125,9 +125,6 @@ def project(spark: SparkSession, d: str) -> DataFrame:
     return out.select("success", "modules", "total_symbols", F.array_join("errors", ";").alias("errors"))
 
 
-_lines = "chr(10)"
-
-
 @query("g34_module_hashes", f"WITH {_K}, own AS (SELECT 'm' || k % 20 AS module, 'app.C' || k || '.class' || chr(9) || k || chr(9) || 100 AS line, 'app.C' || k || '.class' AS path FROM keys) SELECT module, count(*) AS n_files, min(line) AS first_line FROM own GROUP BY module")
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     """Modules with their listing's size and first line, where their hash is one of a listing in another order too."""
@@ -138,6 +135,86 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(once.join(again, ["module", "hash"]).select("module"), "module", "left_semi")
 
 
+def built_files(spark: SparkSession, d: str) -> DataFrame:
+    """A listing of build folders: two of three files are compiled classes of a module."""
+    key = F.col("c_custkey").cast("string")
+    folder = F.when(F.col("c_custkey") % 3 == 0, "target/classes/").when(F.col("c_custkey") % 3 == 1, "build/classes/java/main/").otherwise("src/main/java/")
+    path = F.concat(F.lit("/work/m"), (F.col("c_custkey") % 4).cast("string"), F.lit("/"), folder, F.lit("app/C"), key, F.when(F.col("c_custkey") % 3 == 2, ".java").otherwise(".class"))
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return rows.select(path.alias("path"), F.col("c_custkey").cast("long").alias("modificationTime"), F.lit(10).cast("long").alias("length"))
+
+
+_BUILT = f"WITH {_K}, files AS (SELECT 'm' || k % 4 AS module, '/work/m' || k % 4 || CASE k % 3 WHEN 0 THEN '/target/classes/' ELSE '/build/classes/java/main/' END || 'app/C' || k || '.class' AS path FROM keys WHERE k % 3 < 2)"
+
+
+@query("a2_class_files", f"{_BUILT} SELECT module, path FROM files")
+def class_files_found(spark: SparkSession, d: str) -> DataFrame:
+    return class_files(built_files(spark, d)).select("module", "path")
+
+
+@query("a3_first_files", f"{_BUILT} SELECT module, path FROM files QUALIFY row_number() OVER (PARTITION BY module ORDER BY path) <= 5")
+def first_class_files(spark: SparkSession, d: str) -> DataFrame:
+    return first_files(class_files(built_files(spark, d)), 5).select("module", "path")
+
+
+@query("a9_broken_rows", f"WITH {_K} SELECT 'm' || k % 20 AS module, CASE k % 3 WHEN 0 THEN 'no JSON: <' || k || '>' ELSE 'a class without a name' END AS error FROM keys WHERE k % 3 < 2")
+def file_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line is no JSON, and every third has no name."""
+    rows = key_of(in_modules(wired_classes(spark, d)))
+    text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("<"), F.col("k").cast("string"), F.lit(">")))
+    return broken_rows(rows.withColumn("_broken", text).withColumn("fqn", F.when(F.col("k") % 3 == 2, F.col("fqn"))))
+
+
+@query("i12_full_rebuild", f"WITH {_K} SELECT 'symbols' AS table_name, 6 * count(*) AS n FROM keys UNION ALL SELECT 'edges', count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 4 = 0) + count(*) FILTER (k % 11 = 0) FROM keys UNION ALL SELECT 'files', count(*) FROM keys")
+def full_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of an index that was built, checked and published."""
+    classes = wired_classes(spark, d)
+    versions = Versions(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    rebuild.rebuild_full(versions, classes, sources_of(classes), _listing(classes, False))
+    names = ("symbols", "edges", "files")
+    return mutations.counts_of(dict(zip(names, versions.read(*names), strict=True)))
+
+
+@query("a19_kept_versions", f"WITH {_K} SELECT k % 10 AS digit, count(*) AS n FROM keys WHERE k % 10 BETWEEN 3 AND 5 GROUP BY 1")
+def kept_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Six versions of which two are kept before the newest; each holds the keys with its last digit."""
+    keys = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 10).cast("long").alias("digit"))
+    versions = Versions(spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}")
+    for digit in range(6):
+        versions.publish({"keys": keys.where(F.col("digit") == digit)})
+    versions.retain(2)
+    out = None
+    for number in versions.marks():
+        (rows,) = versions.read("keys", number=number)
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("digit").agg(F.count("*").alias("n"))
+
+
+@query("h20_taken_jobs", "WITH free AS (SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) AS place FROM jobs WHERE status = 'pending') SELECT CASE WHEN place <= 2 THEN 'complete' WHEN place = 3 THEN 'failed' WHEN place = 4 THEN 'running' ELSE status END AS status, count(*) AS n FROM jobs LEFT JOIN free USING (job_id) GROUP BY 1")
+def taken_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest pending jobs taken one after the other: two end well, one fails and one is still running."""
+    own = jobs.Board(cut(frame(spark, d, "jobs")), f"{shared_folder(spark)}/board-{uuid.uuid4().hex}")
+    oldest = [r["job_id"] for r in own.table.where("status = 'pending'").orderBy("created_at", "job_id").limit(3).collect()]
+    for place, job_id in enumerate(oldest):
+        try:
+            with own.acquire(job_id):
+                if place == 2:
+                    raise ArithmeticError("no result")
+        except ArithmeticError:
+            pass
+    own.take_next()
+    return own.jobs().groupBy("status").agg(F.count("*").alias("n"))
+
+
+_annotation = "CASE p_size % 7 WHEN 0 THEN '@Select' WHEN 1 THEN '@InsertProvider' WHEN 2 THEN '@Lcom/baomidou/mybatisplus/annotation/TableName;' WHEN 3 THEN '@GetMapping(\"/' || p_partkey || '\")' WHEN 4 THEN '@org.x.DeleteMapping' WHEN 5 THEN '@RequestMapping' ELSE '@Options' END"
+
+
+@query("g46_mapper_operations", f"SELECT p_partkey, {_annotation} AS annotation, CASE p_size % 7 WHEN 0 THEN 'select' WHEN 1 THEN 'insert' WHEN 2 THEN 'mybatis_plus' WHEN 4 THEN 'delete' ELSE 'other' END AS operation, CASE p_size % 7 WHEN 3 THEN 'GET' WHEN 4 THEN 'DELETE' WHEN 5 THEN 'ALL' ELSE '' END AS http_method FROM part")
+def mapper_operations(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_annotation).alias("annotation"))
+    return rows.select("p_partkey", "annotation", handlers.mapper_operation(F.col("annotation")).alias("operation"), handlers.http_method(F.col("annotation")).alias("http_method"))
+
+
 # Cleaning, clearing and storing.
 RULES = mutations.CASCADE | {"symbols": {"parent_fqn": "delete"}}
 
