@@ -1,8 +1,9 @@
 """Bounded traversal by frontier joins, one or many sources at a time.
 
 Rows are ``source, depth, from_fqn, to_fqn``; depths run from 0 to ``max_depth`` and an edge reached at two
-depths is two rows.  What comes at the next depth depends only on the set of nodes at this one, so each level
-is made distinct: the rows are those of a recursive union without its paths.
+depths is two rows.  What comes at the next depth depends only on the set of nodes at this one, so nodes alone are
+walked, each once a level, and their edges are fetched for all levels at the end: the rows are those of a recursive
+union without its paths.
 """
 
 from __future__ import annotations
@@ -42,16 +43,16 @@ def traverse(edges: DataFrame, sources: DataFrame, *, max_depth: int = 10, rever
         links = edges if relation is None else edges.where(F.col("relation") == relation)
     else:
         links, _ = cut_counted(links_of(edges, reverse=reverse, relation=relation, symbols=symbols))
-    frontier = starts.select(F.col("fqn").alias("source"), F.col("fqn").alias(near))
-    levels: list[DataFrame] = []
+    links = links.select("from_fqn", "to_fqn")
+    level, levels, total = starts.select(F.col("fqn").alias("source"), F.col("fqn").alias(near)), [], 0
     for depth in range(max_depth + 1):
-        met = sized(frontier, n).join(links.select("from_fqn", "to_fqn"), near).select("source", F.lit(depth).alias("depth"), "from_fqn", "to_fqn").distinct()
-        level, n = cut_counted(met)
-        levels.append(level)
-        if not n:
+        levels.append(level.select("source", F.lit(depth).alias("depth"), near))
+        total += n
+        if depth == max_depth or not n:
             break
-        frontier = level.select("source", F.col(far).alias(near)).distinct()
-    return reduce(DataFrame.unionByName, levels)
+        level, n = cut_counted(sized(level, n).join(links, near).select("source", F.col(far).alias(near)).distinct())
+    nodes = reduce(DataFrame.unionByName, levels)
+    return sized(nodes, total).join(links, near).select("source", "depth", "from_fqn", "to_fqn").distinct()
 
 
 def neighbourhood(edges: DataFrame, symbols: DataFrame, start: str, *, direction: str = "both", relation: str = "calls", depth: int = 3, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -74,15 +74,17 @@ def _tried(model: Model, texts: pd.Series, calls: Calls) -> tuple[list | None, i
     return None, calls.attempts
 
 
-def _answered(model: Model, texts: pd.Series, calls: Calls) -> pd.DataFrame:
-    """``answer, failed, attempts`` of some texts in order; if the model fails for them together each is asked alone."""
-    answers, attempts = _tried(model, texts, calls)
-    if answers is not None:
-        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "failed": False, "attempts": attempts})
-    if len(texts) == 1:
-        return pd.DataFrame({"answer": pd.Series([None], dtype=object), "failed": True, "attempts": attempts})
-    alone = [_tried(model, texts.iloc[k : k + 1], calls) for k in range(len(texts))]
-    return pd.DataFrame({"answer": pd.Series([None if a is None else a[0] for a, _ in alone], dtype=object), "failed": [a is None for a, _ in alone], "attempts": [attempts + n for _, n in alone]})
+def _answered(model: Model, texts: pd.Series, calls: Calls, pool: ThreadPoolExecutor) -> pd.DataFrame:
+    """``answer, failed, attempts`` of some texts in order; those of a call that fails for good are asked alone."""
+    size = calls.together or max(1, len(texts))
+    parts = [texts.iloc[low : low + size] for low in range(0, len(texts), size)]
+    rows: list[tuple[object, bool, int] | None] = []
+    for part, (answers, attempts) in zip(parts, pool.map(lambda part: _tried(model, part, calls), parts), strict=True):
+        rows += [(answer, False, attempts) for answer in answers] if answers is not None else [(None, True, attempts)] * len(part)
+    again = [k for k, row in enumerate(rows) if row[1] and (len(parts[k // size]) > 1)]
+    for k, (answers, attempts) in zip(again, pool.map(lambda k: _tried(model, texts.iloc[k : k + 1], calls), again), strict=True):
+        rows[k] = (None if answers is None else answers[0], answers is None, rows[k][2] + attempts)
+    return pd.DataFrame(rows, columns=["answer", "failed", "attempts"]).astype({"answer": object, "failed": bool, "attempts": int})
 
 
 def responses(prompt: Column, model: Model, calls: Calls = Calls()) -> Column:
@@ -95,9 +97,7 @@ def responses(prompt: Column, model: Model, calls: Calls = Calls()) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(calls.threads) as pool:
             for batch in batches:
-                size = calls.together or max(1, len(batch))
-                parts = pool.map(lambda low, batch=batch, size=size: _answered(model, batch.iloc[low : low + size].reset_index(drop=True), calls), range(0, len(batch), size))
-                yield pd.concat([pd.DataFrame({"answer": [], "failed": [], "attempts": []}), *parts], ignore_index=True).astype({"failed": bool, "attempts": int})
+                yield _answered(model, batch.reset_index(drop=True), calls, pool)
 
     return F.pandas_udf(run, "answer string, failed boolean, attempts int")(prompt)
 

@@ -12,17 +12,28 @@ from codeweft.operators.graph import links_of
 from codeweft.scratch import cut, cut_counted, sized, small
 
 
+def _numbered(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbers for the FQNs that a walk can meet, ``fqn, id``, and the call links and targets by them; pairs of numbers
+    are a quarter of pairs of FQNs, and all that is walked, made distinct and counted are pairs."""
+    links = cut(links_of(edges, reverse=True, relation="calls", symbols=symbols))
+    ends = links.select(F.explode(F.array("from_fqn", "to_fqn")).alias("fqn")).unionByName(targets.select("fqn")).distinct()
+    names = cut(ends.where("fqn is not null").withColumn("id", F.monotonically_increasing_id()))
+    by_from = names.select(F.col("fqn").alias("from_fqn"), F.col("id").alias("from_id"))
+    by_to = names.select(F.col("fqn").alias("to_fqn"), F.col("id").alias("to_id"))
+    return names, cut(links.join(by_from, "from_fqn").join(by_to, "to_fqn").select("from_id", "to_id")), cut(targets.select("fqn").distinct().join(names, "fqn").select("id"))
+
+
 def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """``source, depth, fqn`` of the nodes whose callers count at each depth, and ``source, fqn`` of all callers.
+    """``source, depth, id`` of the nodes whose callers count at each depth, and ``source, id`` of all callers.
 
     Only nodes are carried from level to level, not the edges between them: what is counted of edges depends on the
     node that they lead to.
     """
-    level, n = cut_counted(targets.select(F.col("fqn").alias("source"), "fqn").distinct())
+    level, n = cut_counted(targets.select(F.col("id").alias("source"), "id"))
     levels, callers = [], []
     for k in range(depth + 1):
-        levels.append(level.select("source", F.lit(k).alias("depth"), "fqn"))
-        above = sized(level, n).join(links.select(F.col("to_fqn").alias("fqn"), "from_fqn"), "fqn").select("source", F.col("from_fqn").alias("fqn")).distinct()
+        levels.append(level.select("source", F.lit(k).alias("depth"), "id"))
+        above = sized(level, n).join(links.select(F.col("to_id").alias("id"), "from_id"), "id").select("source", F.col("from_id").alias("id")).distinct()
         level, n = cut_counted(above)
         callers.append(level)
         if not n:
@@ -42,36 +53,38 @@ def impact(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: Da
     test among the symbols' files, caller rows without such a test, risk and confidence.  Targets without callers
     are given too.
     """
-    links, _ = cut_counted(links_of(edges, reverse=True, relation="calls", symbols=symbols))
-    levels, callers = _walk(links, targets, depth)
+    names, links, starts = _numbered(symbols, edges, targets)
+    levels, callers = _walk(links, starts, depth)
     files = tested_files(symbols).select("file_path").distinct()
-    covered = cut(symbols.join(files, "file_path", "left_semi").select("fqn", "file_path").distinct())
-    ends = links.join(covered.select(F.col("fqn").alias("from_fqn"), F.lit(1).alias("covered")).distinct(), "from_fqn", "left")
-    degrees = ends.groupBy(F.col("to_fqn").alias("fqn")).agg(F.count("*").alias("callers"), F.count_if(F.col("covered").isNull()).alias("untested"))
-    counts = levels.join(degrees, "fqn").groupBy("source").agg(F.sum("callers").alias("n_callers"), F.sum("untested").alias("n_untested"))
-    tests = callers.join(covered, "fqn").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
-    return _judged(entries, targets, callers, (counts, tests))
+    covered = symbols.join(files, "file_path", "left_semi").select("fqn", "file_path").distinct()
+    covered = cut(covered.join(names, "fqn").select("id", "file_path"))
+    ends = links.join(covered.select(F.col("id").alias("from_id"), F.lit(1).alias("covered")).distinct(), "from_id", "left")
+    degrees = ends.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("covered").isNull()).alias("untested"))
+    counts = levels.join(degrees, "id").groupBy("source").agg(F.sum("callers").alias("n_callers"), F.sum("untested").alias("n_untested"))
+    tests = callers.join(covered, "id").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
+    return _judged(names, entries, targets, callers, (counts, tests))
 
 
 def impact_by_own_files(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
     """As ``impact``, but tests are the distinct callers in test files, and untested the distinct callers outside of them."""
-    links, _ = cut_counted(links_of(edges, reverse=True, relation="calls", symbols=symbols))
-    levels, callers = _walk(links, targets, depth)
-    degrees = links.groupBy(F.col("to_fqn").alias("fqn")).agg(F.count("*").alias("callers"))
-    counts = levels.join(degrees, "fqn").groupBy("source").agg(F.sum("callers").alias("n_callers"))
+    names, links, starts = _numbered(symbols, edges, targets)
+    levels, callers = _walk(links, starts, depth)
+    degrees = links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("callers"))
+    counts = levels.join(degrees, "id").groupBy("source").agg(F.sum("callers").alias("n_callers"))
     test = is_test_file(F.col("file_path"))
-    known = symbols.select("fqn", test.alias("test"))
-    tests = callers.join(known, "fqn").groupBy("source").agg(F.count_if("test").alias("n_tests"), F.count_if(~F.col("test")).alias("n_untested"))
-    return _judged(entries, targets, callers, (counts, tests))
+    known = cut(symbols.select("fqn", test.alias("test")).join(names, "fqn").select("id", "test"))
+    tests = callers.join(known, "id").groupBy("source").agg(F.count_if("test").alias("n_tests"), F.count_if(~F.col("test")).alias("n_untested"))
+    return _judged(names, entries, targets, callers, (counts, tests))
 
 
-def _judged(entries: DataFrame, targets: DataFrame, callers: DataFrame, parts: tuple[DataFrame, ...]) -> DataFrame:
-    hits = callers.join(entries.select(F.col("symbol_fqn").alias("fqn")), "fqn").groupBy("source").agg(F.count("*").alias("n_entries"))
-    joined = targets.select(F.col("fqn").alias("source")).distinct()
+def _judged(names: DataFrame, entries: DataFrame, targets: DataFrame, callers: DataFrame, parts: tuple[DataFrame, ...]) -> DataFrame:
+    points = entries.select(F.col("symbol_fqn").alias("fqn")).join(names, "fqn").select("id")
+    hits = callers.join(points, "id").groupBy("source").agg(F.count("*").alias("n_entries"))
+    joined = targets.select("fqn").distinct().join(names, "fqn", "left").select(F.col("fqn").alias("name"), F.col("id").alias("source"))
     for part in (*parts, hits):
         joined = joined.join(part, "source", "left")
     zero = F.lit(0).cast("long")
-    joined = joined.select("source", *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_entries", "n_tests", "n_untested")])
+    joined = joined.select(F.col("name").alias("source"), *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_entries", "n_tests", "n_untested")])
     score = risk_score(F.col("n_callers"), F.col("n_entries"), F.col("n_untested"))
     return joined.withColumn("risk_score", score).withColumn("risk_level", risk_level(score)).withColumn("confidence", confidence(F.col("n_callers"), F.col("n_tests")))
 

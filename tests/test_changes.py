@@ -405,3 +405,24 @@ def test_small_files_and_tidying(spark, tmp_path):
         cut(numbers(spark, 2))
         inside = set(listed(spark, shared_folder(spark)))
     assert outside.count() == 1 and len(inside - set(listed(spark, shared_folder(spark)))) == 1
+
+
+class Counting:
+    """Says how many calls were under way, itself with them."""
+
+    def __init__(self):
+        self.active = 0
+
+    def __call__(self, texts):
+        self.active += 1
+        now = self.active
+        time.sleep(0.03)
+        self.active -= 1
+        return pd.Series([f"{t} {now}" for t in texts])
+
+
+def test_calls_under_way_are_bounded(spark):
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "id int, text string").coalesce(1)
+    said = rows.withColumn("said", business.responses(F.col("text"), Counting(), business.Calls(together=2, threads=3))).collect()
+    assert all(r["said"]["answer"].split()[0] == r["text"] for r in said)
+    assert 1 < max(int(r["said"]["answer"].split()[1]) for r in said) <= 3
