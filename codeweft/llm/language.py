@@ -103,7 +103,7 @@ class Filters:
 
 
 def learn(examples: DataFrame) -> Filters:
-    """Filters from ``text, lang`` rows; rows with a null in either are left out.
+    """Filters from ``text, lang`` rows; rows with a null in either are left out, and repeated rows count each.
 
     Every n-gram that belongs to a language enters its filter, whose rows are sized by a count.  The bits are put
     together by Spark; the driver gets the finished table, 8 bytes for a row and 64 languages, besides a name and a

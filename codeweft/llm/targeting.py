@@ -28,8 +28,8 @@ MODULUS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, "42"
 #: Bins in which the lowest score that is drawn is sought.
 BINS = 4096
-#: Bytes of text in a row of streams, at most, unless one text has more.
-STREAM_TEXT = 1 << 18
+#: Buckets in a row of streams, about, unless one text has more; Spark reads thousands of rows at a time.
+STREAM_BUCKETS = 1 << 13
 #: Words longer than this are rare; they are hashed one by one.
 SHORT = 64
 
@@ -141,17 +141,20 @@ def streams(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     source = docs.select("doc_id", "text")
     key = source.schema["doc_id"].dataType.simpleString()
 
-    def one(values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
     @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch.column("text"), size=STREAM_TEXT):
+            for part in kernels.slices(batch.column("text")):
                 buckets, offsets, n_words = features(part, modulus)
-                ids = batch.column("doc_id").slice(part.first, len(part))
-                packed = pa.array([buckets.astype("<u2").tobytes()], pa.binary())
-                yield pa.record_batch([one(ids), one(pa.array(n_words)), one(pa.array(offsets)), packed], names=["doc_ids", "n_words", "offsets", "buckets"])
+                begin = np.flatnonzero(np.diff(offsets[:-1] // STREAM_BUCKETS, prepend=-1)).tolist()
+                rows: list[list] = [[], [], [], []]
+                for a, b in zip(begin, [*begin[1:], len(part)], strict=True):
+                    values = (batch.column("doc_id").slice(part.first + a, b - a), n_words[a:b], offsets[a : b + 1] - offsets[a])
+                    for column, value in zip(rows, values, strict=False):
+                        column.append(value)
+                    rows[3].append(buckets[offsets[a] : offsets[b]].astype("<u2").tobytes())
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rows[0]])), pa.int32()), pa.concat_arrays(rows[0]))
+                yield pa.record_batch([ids, pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3], pa.binary())], names=["doc_ids", "n_words", "offsets", "buckets"])
 
     return source.mapInArrow(run, f"doc_ids array<{key}>, n_words array<long>, offsets array<long>, buckets binary")
 
@@ -191,13 +194,17 @@ def weights(written: DataFrame, gains: np.ndarray) -> DataFrame:
     @kernels.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row in range(len(batch)):
                 offsets = batch.column("offsets")[row].values.to_numpy()
                 gathered = gains[np.frombuffer(batch.column("buckets")[row].as_buffer(), "<u2")]
                 weight, some = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(np.diff(offsets))
                 if len(some):
                     weight[some] = np.add.reduceat(gathered, offsets[some])
-                yield pa.record_batch([batch.column("doc_ids")[row].values, batch.column("n_words")[row].values, pa.array(np.diff(offsets)), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+                found.append(weight)
+                sizes.append(np.diff(offsets))
+            columns = [batch.column("doc_ids").flatten(), batch.column("n_words").flatten(), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found))]
+            yield pa.record_batch(columns, names=["doc_id", "n_words", "n_features", "weight"])
 
     return written.mapInArrow(run, f"doc_id {key}, n_words long, n_features long, weight long")
 
