@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.scratch import small
+from codeweft.scratch import cut_small
 
 
 def last_of_each(new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -75,7 +75,7 @@ def upsert_constraints(old: DataFrame, new: DataFrame) -> DataFrame:
 def set_where(df: DataFrame, key: str, wanted: DataFrame, **values: Column) -> DataFrame:
     """``df`` with columns set in the rows whose ``key`` is in the one column of ``wanted``."""
     hits = wanted.select(F.col(wanted.columns[0]).alias("__key"), F.lit(True).alias("__hit")).distinct()
-    marked = df.join(small(hits), F.col(key) == F.col("__key"), "left")
+    marked = df.join(cut_small(hits), F.col(key) == F.col("__key"), "left")
     return marked.select(*[F.when(F.col("__hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
@@ -115,7 +115,7 @@ CASCADE = {
 
 def cascade_delete(frames: dict[str, DataFrame], fqns: DataFrame) -> dict[str, DataFrame]:
     """The tables without the symbols in ``fqns.fqn`` and without, or with nulls for, what points at them."""
-    gone = small(fqns.select("fqn").distinct())
+    gone = cut_small(fqns.select("fqn").distinct())
     out = dict(frames)
     if "symbols" in frames:
         out["symbols"] = frames["symbols"].join(gone, "fqn", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import is_test_file, sibling_test_paths, test_methods, test_paths
-from codeweft.scratch import small
+from codeweft.scratch import cut_small
 
 
 def mapping(symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def mapping(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def mapping_summary(targets: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """One row for a list of ``targets.fqn``: how many there are, have a file, and have a test that exists."""
     known = targets.select("fqn").distinct().join(symbols.select("fqn", "file_path"), "fqn", "left")
-    tested = mapping(symbols.join(small(targets.select("fqn").distinct()), "fqn", "left_semi"), files).where("test_exists").select("fqn", F.lit(True).alias("tested")).distinct()
+    tested = mapping(symbols.join(cut_small(targets.select("fqn").distinct()), "fqn", "left_semi"), files).where("test_exists").select("fqn", F.lit(True).alias("tested")).distinct()
     return known.join(tested, "fqn", "left").agg(F.count("*").alias("total"), F.count_if(F.col("file_path").isNotNull()).alias("found"), F.count_if(F.col("tested")).alias("with_tests"))
 
 
@@ -96,7 +96,7 @@ def coverage_of(targets: DataFrame, symbols: DataFrame, edges: DataFrame) -> Dat
     Callers by any relation count; each that isn't in a test file is a warning.
     """
     asked = targets.select("fqn").distinct()
-    into = edges.join(small(asked).withColumnRenamed("fqn", "to_fqn"), "to_fqn", "left_semi").select(F.col("to_fqn").alias("target"), F.col("from_fqn").alias("fqn")).distinct()
+    into = edges.join(cut_small(asked).withColumnRenamed("fqn", "to_fqn"), "to_fqn", "left_semi").select(F.col("to_fqn").alias("target"), F.col("from_fqn").alias("fqn")).distinct()
     test = is_test_file(F.col("file_path"))
     counts = into.join(symbols.select("fqn", "file_path"), "fqn").groupBy(F.col("target").alias("fqn")).agg(F.count("*").alias("total"), F.count_if(test).alias("tested"))
     zero = F.lit(0).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_rank, risk_score, test_paths
 from codeweft.operators.graph import links_of
-from codeweft.scratch import cut, cut_counted, sized, small
+from codeweft.scratch import cut, cut_counted, cut_small, sized
 
 
 def _numbered(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,6 +103,6 @@ def impact_of_known(symbols: DataFrame, edges: DataFrame, entries: DataFrame, ta
     """``gated`` impact of the targets that are symbols, with their kind and name; a depth outside 1 to 20 is an error."""
     if not 1 <= depth <= 20:
         raise ValueError("depth must be from 1 to 20")
-    known = symbols.select("fqn", "kind", "name").join(small(targets.select("fqn").distinct()), "fqn", "left_semi")
+    known = symbols.select("fqn", "kind", "name").join(cut_small(targets.select("fqn").distinct()), "fqn", "left_semi")
     found = gated(impact(symbols, edges, entries, known, depth=depth), threshold)
     return found.join(known.withColumnRenamed("fqn", "source"), "source")

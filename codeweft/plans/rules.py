@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import STORE_SUFFIXES, owner
-from codeweft.scratch import small
+from codeweft.scratch import cut_small
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
 RULES: dict[str, Rule] = {}
@@ -29,7 +29,7 @@ def controller_dao(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     classes = symbols.where("kind = 'class'")
     marked = F.exists(anns, lambda a: a.contains("Controller")) | F.col("name").contains("Controller")
     methods = symbols.where("kind = 'method'").select(F.col("fqn").alias("from_fqn"), F.col("parent_fqn").alias("class_fqn"))
-    callers = methods.join(small(classes.where(marked).select(F.col("fqn").alias("class_fqn")).distinct()), "class_fqn", "left_semi").select("from_fqn").distinct()
+    callers = methods.join(cut_small(classes.where(marked).select(F.col("fqn").alias("class_fqn")).distinct()), "class_fqn", "left_semi").select("from_fqn").distinct()
     name = F.substring_index("owner", ".", -1)
     named = F.lit(False)
     for part in STORE_SUFFIXES:
@@ -37,7 +37,7 @@ def controller_dao(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     # Only classes that are stores by annotation are joined, and only with calls that the name doesn't decide.
     annotated = classes.where(F.exists(anns, lambda a: a.contains("Repository") | a.contains("Mapper"))).select(F.col("fqn").alias("owner"), F.lit(True).alias("is_store")).distinct()
     calls = edges.where("relation = 'calls'").withColumn("owner", owner(F.col("to_fqn"))).where(~name.startswith("Base"))
-    found = calls.join(small(annotated), "owner", "left").where(named | F.col("is_store")).join(callers, "from_fqn", "left_semi")
+    found = calls.join(cut_small(annotated), "owner", "left").where(named | F.col("is_store")).join(callers, "from_fqn", "left_semi")
     message = F.concat(F.lit("controller calls data access without a service: "), "from_fqn", F.lit(" -> "), "to_fqn")
     return found.select(F.lit("controller-dao").alias("rule_id"), "from_fqn", "to_fqn", F.lit("error").alias("severity"), message.alias("message"))
 
@@ -54,7 +54,7 @@ def detect(symbols: DataFrame, edges: DataFrame, rule_id: str | None = None) ->
 
 def check(findings: DataFrame, added: DataFrame) -> DataFrame:
     """Findings that touch a symbol in ``added.fqn`` at either end; ``blocking`` says whether they are errors."""
-    fqns = small(added.select("fqn").distinct().withColumn("hit", F.lit(True)))
+    fqns = cut_small(added.select("fqn").distinct().withColumn("hit", F.lit(True)))
     ends = findings.alias("f")
     for side in ("from", "to"):
         ends = ends.join(fqns.select(F.col("fqn").alias(f"__{side}"), F.col("hit").alias(f"__{side}_hit")), F.col(f"f.{side}_fqn") == F.col(f"__{side}"), "left")

@@ -60,6 +60,11 @@ def sized(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL_ROWS else df
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` of a narrow table, marked for broadcast if few rows were written; nothing is computed twice."""
+    return sized(*cut_counted(df))
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast if a count shows it has at most ``rows`` rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
