@@ -8,19 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import confidence, is_test_file, risk_level, risk_rank, risk_score, test_paths
-from codeweft.operators.graph import links_of
 from codeweft.scratch import cut, cut_counted, cut_small, sized
 
 
 def _numbered(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Numbers for the FQNs that a walk can meet, ``fqn, id``, and the call links and targets by them; pairs of numbers
-    are a quarter of pairs of FQNs, and all that is walked, made distinct and counted are pairs."""
-    links = cut(links_of(edges, reverse=True, relation="calls", symbols=symbols))
-    ends = links.select(F.explode(F.array("from_fqn", "to_fqn")).alias("fqn")).unionByName(targets.select("fqn")).distinct()
-    names = cut(ends.where("fqn is not null").withColumn("id", F.monotonically_increasing_id()))
-    by_from = names.select(F.col("fqn").alias("from_fqn"), F.col("id").alias("from_id"))
-    by_to = names.select(F.col("fqn").alias("to_fqn"), F.col("id").alias("to_id"))
-    return names, cut(links.join(by_from, "from_fqn").join(by_to, "to_fqn").select("from_id", "to_id")), cut(targets.select("fqn").distinct().join(names, "fqn").select("id"))
+    """Numbers for symbols and targets, ``fqn, id, is_symbol``, and the distinct call links and the targets by them.
+
+    A walk from targets to callers that are symbols meets nothing else.  Pairs of numbers are a quarter of pairs of FQNs,
+    and all that is walked, made distinct and counted are pairs.
+    """
+    known = symbols.select("fqn", F.lit(True).alias("is_symbol")).unionByName(targets.select("fqn", F.lit(False).alias("is_symbol")))
+    known = known.where("fqn is not null").groupBy("fqn").agg(F.max("is_symbol").alias("is_symbol"))
+    names, n = cut_counted(known.withColumn("id", F.monotonically_increasing_id()))
+    callers = sized(names.where("is_symbol").select(F.col("fqn").alias("from_fqn"), F.col("id").alias("from_id")), n)
+    called = sized(names.select(F.col("fqn").alias("to_fqn"), F.col("id").alias("to_id")), n)
+    calls = edges.where("relation = 'calls'").select("from_fqn", "to_fqn")
+    links = cut(calls.join(callers, "from_fqn").join(called, "to_fqn").select("from_id", "to_id").distinct())
+    return names, links, cut(targets.select("fqn").distinct().join(names, "fqn").select("id"))
 
 
 def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
