@@ -59,6 +59,49 @@ VIEWS = {
     "requests": "SELECT event_id AS request_id, ts, user_id AS client, event_type AS path, value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events",
 }
 
+#: How Spark derives views whose rows are those of ``VIEWS``: keys and short codes are joined, and FQNs made of them last, so
+#: that no shuffle moves texts and none is left to a guess at sizes.  Parts are made distinct before they are joined to
+#: distinct pairs, which are in one place by part already; suppliers of parts without a brand, whose FQN is null, come apart.
+DERIVED = {
+    "edges": """
+        SELECT n.fqn || '.c' || CAST(c_custkey AS STRING) || '()' AS from_fqn, 'svc.P' || p || 'Service.o' || CAST(o_orderkey AS STRING) || '()' AS to_fqn, 'calls' AS relation FROM (SELECT /*+ SHUFFLE_HASH(c) */ o_orderkey, p, c_custkey, c_nationkey FROM order_code o JOIN customer_code c ON o_custkey = c_custkey) JOIN nation_class n ON c_nationkey = n_nationkey
+        UNION ALL SELECT 'svc.P' || p || 'Service.o' || CAST(o_orderkey AS STRING) || '()', 'dao.' || b || 'Mapper.p' || CAST(p_partkey AS STRING) || '()', 'calls' FROM (SELECT /*+ SHUFFLE_HASH(q) */ o_orderkey, p, p_partkey, b FROM (SELECT /*+ SHUFFLE_HASH(o) */ o_orderkey, p, l_partkey FROM line_code l JOIN order_code o ON l_orderkey = o_orderkey) l JOIN part_code q ON l_partkey = p_partkey)
+        UNION ALL SELECT 'dao.' || b || 'Mapper.p' || CAST(p_partkey AS STRING) || '()', 'ext.Supplier.s' || CAST(l_suppkey AS STRING) || '()', 'calls' FROM (SELECT /*+ SHUFFLE_HASH(q) */ b, p_partkey, l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM (SELECT /*+ REPARTITION(l_partkey) */ l_partkey, l_suppkey FROM line_code)) l JOIN (SELECT DISTINCT p_partkey, b FROM part_code WHERE b IS NOT NULL) q ON l_partkey = p_partkey)
+        UNION ALL SELECT DISTINCT CAST(NULL AS STRING), 'ext.Supplier.s' || CAST(l_suppkey AS STRING) || '()', 'calls' FROM line_code JOIN nameless ON l_partkey = p_partkey
+        UNION ALL SELECT n.fqn || '.c' || CAST(c_custkey AS STRING) || '()', 'dao.' || b || 'Mapper.p' || CAST(p_partkey AS STRING) || '()', 'calls' FROM (SELECT /*+ SHUFFLE_HASH(q) */ c_custkey, c_nationkey, p_partkey, b FROM (SELECT /*+ SHUFFLE_HASH(c) */ c_custkey, c_nationkey, l_partkey FROM (SELECT /*+ SHUFFLE_HASH(l) */ o_custkey, l_partkey FROM order_code o JOIN (SELECT l_orderkey, l_partkey FROM line_code WHERE l_linenumber = 1 AND l_returnflag = 'R') l ON l_orderkey = o_orderkey) o JOIN customer_code c ON o_custkey = c_custkey) l JOIN part_code q ON l_partkey = p_partkey) JOIN nation_class n ON c_nationkey = n_nationkey
+        UNION ALL SELECT n.fqn, r.fqn, 'inherits' FROM nation_class n JOIN region_class r ON n.n_regionkey = r.r_regionkey
+        UNION ALL SELECT fqn, 'java.io.Serializable', 'implements' FROM nation_class WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT a.fqn, b.fqn, 'calls' FROM region_class a JOIN region_class b ON b.r_regionkey = (a.r_regionkey + 1) % 5""",
+}
+
+
+#: Line items of a partition when edges are derived, and the size of what a task reads of a shuffle.
+WIDE_ROWS, WIDE_BYTES = 500_000, "8m"
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """A session of the same application that makes as many partitions as there are line items for, so that a task's memory
+    doesn't grow with the table."""
+    wide = spark.newSession()
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // WIDE_ROWS + 1
+    wide.conf.set("spark.sql.shuffle.partitions", max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    wide.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", WIDE_BYTES)
+    return wide
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The keys and codes of which edges are made."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "part", "orders", "lineitem")}
+    parts = tables["part"].select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("b"))
+    nameless = parts.where("b is null").select("p_partkey")
+    return {
+        "customer_code": tables["customer"].select("c_custkey", "c_nationkey"),
+        "order_code": tables["orders"].select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("p")),
+        "line_code": tables["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"),
+        "part_code": parts,
+        "nameless": nameless.where(F.lit(False)) if nameless.isEmpty() else nameless,  # as a rule there are none
+    }
+
 
 def _needed(text: str) -> list[str]:
     """Views that ``text`` reads, with those that they read, in order of definition."""
@@ -80,8 +123,9 @@ def with_views(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{views}{rest}" if views else body
 
 
-#: Views that many queries read; they are written once for each session and folder of tables.
-WRITTEN = ("customer_method", "order_method", "part_method", "symbols", "edges", "dependencies", "entry_points", "summaries")
+#: Views that many queries read; they are written once for each session and folder of tables.  ``dependencies`` are not:
+#: they are edges under other names, of which a second copy would be written.
+WRITTEN = ("customer_method", "order_method", "part_method", "symbols", "edges", "entry_points", "summaries")
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +135,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/graph-{_state(spark, sf_dir)}/{name}"
     key = (spark.sparkContext.applicationId, path)
     if key not in _schemas:
-        df = _derived(spark, sf_dir, name)
+        df = _derived(_wide(spark, sf_dir) if name in DERIVED else spark, sf_dir, name)
         df.write.mode("overwrite").parquet(path)
         _schemas[key] = df.schema
     return spark.read.schema(_schemas[key]).parquet(path)
@@ -119,7 +163,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Writes the views that many queries read, those at one time that don't read each other."""
     left = set(WRITTEN)
     while left:
-        ready = [name for name in WRITTEN if name in left and not left & set(_needed(VIEWS[name]))]
+        ready = [name for name in WRITTEN if name in left and not left & set(_needed(DERIVED.get(name, VIEWS[name])))]
         with ThreadPoolExecutor(len(ready)) as pool:
             list(pool.map(lambda name: frame(spark, sf_dir, name), ready))
         left -= set(ready)
@@ -127,17 +171,18 @@ def prepare(spark: SparkSession, sf_dir: str) -> None:
 
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view from the tables and from the written views that it reads."""
+    texts = VIEWS | DERIVED
     inner, known, todo = {name}, set(), [name]
     while todo:
-        for other in VIEWS.keys() & set(re.findall(r"\w+", VIEWS[todo.pop()])) - inner - known:
+        for other in VIEWS.keys() & set(re.findall(r"\w+", texts[todo.pop()])) - inner - known:
             if other in WRITTEN:
                 known.add(other)
             else:
                 inner.add(other)
                 todo.append(other)
-    sql = "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in inner) + f" SELECT * FROM {name}"
+    sql = "WITH " + ", ".join(f"{v} AS ({texts[v]})" for v in VIEWS if v in inner) + f" SELECT * FROM {name}"
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
-    tables |= {v: frame(spark, sf_dir, v) for v in known}
+    tables |= {v: frame(spark, sf_dir, v) for v in known} | (_codes(spark, sf_dir) if name in DERIVED else {})
     for t in tables:
         sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     out = spark.sql(sql, **tables)
