@@ -19,6 +19,8 @@ from codeweft.scratch import cut_counted, sized
 
 #: Sources up to which edges are joined as they are; with more of them duplicate edges are taken out first.
 FEW = 1000
+#: FQNs up to which edges or symbols are matched with them where they stand.
+FEW_FQNS = 500_000
 
 
 def links_of(edges: DataFrame, *, reverse: bool, relation: str | None, symbols: DataFrame | None = None) -> DataFrame:
@@ -86,9 +88,10 @@ def node_rows(symbols: DataFrame) -> DataFrame:
 
 def affected(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """The changed symbols, their callers and their parents."""
-    fqns = changed.select("fqn").distinct()
+    fqns = sized(*cut_counted(changed.select("fqn").distinct()), FEW_FQNS)
     callers = edges.where("relation = 'calls'").join(fqns.withColumnRenamed("fqn", "to_fqn"), "to_fqn", "left_semi").select(F.col("from_fqn").alias("fqn"))
-    return fqns.unionByName(callers).unionByName(parents(symbols, fqns).select(F.col("parent_fqn").alias("fqn"))).distinct()
+    above = symbols.join(fqns, "fqn", "left_semi").where("parent_fqn is not null").select(F.col("parent_fqn").alias("fqn"))
+    return fqns.unionByName(callers).unionByName(above).distinct()
 
 
 def parents(symbols: DataFrame, fqns: DataFrame) -> DataFrame:
@@ -98,13 +101,15 @@ def parents(symbols: DataFrame, fqns: DataFrame) -> DataFrame:
 
 def with_layers(chain: DataFrame, symbols: DataFrame) -> DataFrame:
     """A chain with the layer of each called symbol; what is no symbol has a layer by its FQN."""
-    known = symbols.select(F.col("fqn").alias("to_fqn"), "name", "annotations")
+    ends, n = cut_counted(chain.select("to_fqn").distinct())
+    known = symbols.select(F.col("fqn").alias("to_fqn"), "name", "annotations").join(sized(ends, n, FEW_FQNS), "to_fqn", "left_semi")
+    known = sized(*cut_counted(known))
     return chain.join(known, "to_fqn", "left").withColumn("layer", chain_layer(F.col("annotations"), F.col("name"), F.col("to_fqn"))).drop("name", "annotations")
 
 
 def chain_dependencies(chain: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Dependencies of all symbols in a chain, one for each ``target``: the first by caller and type."""
-    members = chain.select(F.explode(F.array("from_fqn", "to_fqn")).alias("caller_fqn")).distinct()
+    members = sized(*cut_counted(chain.select(F.explode(F.array("from_fqn", "to_fqn")).alias("caller_fqn")).distinct()), FEW_FQNS)
     first = F.min(F.struct("caller_fqn", "dependency_type", "strength")).alias("d")
     return dependencies.join(members, "caller_fqn", "left_semi").groupBy("target").agg(first).select("d.*", "target")
 
@@ -116,7 +121,7 @@ def max_depth(chain: DataFrame) -> DataFrame:
 
 def trace(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame, fqn: str, *, depth: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The call chain of a symbol with layers, its dependencies and its depth."""
-    chain = traverse(edges, named(edges.sparkSession, fqn), max_depth=depth)
+    chain, _ = cut_counted(traverse(edges, named(edges.sparkSession, fqn), max_depth=depth))
     return with_layers(chain, symbols), chain_dependencies(chain, dependencies), max_depth(chain)
 
 

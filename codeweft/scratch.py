@@ -55,9 +55,9 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 SMALL_ROWS = 200_000
 
 
-def sized(df: DataFrame, n: int) -> DataFrame:
+def sized(df: DataFrame, n: int, rows: int = SMALL_ROWS) -> DataFrame:
     """Marks a narrow table of at most ``n`` rows for broadcast if that is few."""
-    return F.broadcast(df) if n <= SMALL_ROWS else df
+    return F.broadcast(df) if n <= rows else df
 
 
 def cut_small(df: DataFrame) -> DataFrame:
