@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars
 from codeweft.operators.graph import affected
 from codeweft.operators.mutations import upsert_summaries
-from codeweft.scratch import cut
+from codeweft.scratch import SMALL_ROWS, cut, cut_counted, sized
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -220,15 +220,18 @@ def bottom_up(symbols: DataFrame, method_summaries: DataFrame, model: Model | No
 def by_prefix(classes: DataFrame, summaries: DataFrame) -> DataFrame:
     """``fqn, target_fqn``: summaries whose target begins with the class's FQN, also in the midst of a name.
 
-    Every prefix of a target is looked up, so that this is a join by equality.
+    Every prefix of a target is looked up, so that this is a join by equality.  The planner takes the prefixes for as few rows
+    as the summaries are and would send them to every executor: few classes are sent instead, with many both are sorted.
     """
+    names, n = cut_counted(classes.select("fqn").distinct())
+    names = sized(names, n)
     prefixes = F.transform(F.sequence(F.lit(1), F.length("target_fqn")), lambda n: F.left(F.col("target_fqn"), n))
-    sizes = classes.select(F.length("fqn").alias("n")).distinct()
-    lengths = [r["n"] for r in sizes.limit(1001).collect()]
+    lengths = [r["n"] for r in names.select(F.length("fqn").alias("n")).distinct().limit(1001).collect()]
     if len(lengths) <= 1000:  # only the lengths that class names have
         prefixes = F.transform(F.array(*[F.lit(n) for n in sorted(lengths)] or [F.lit(0)]), lambda n: F.left(F.col("target_fqn"), n))
     sought = summaries.where("target_fqn <> ''").select("target_fqn", F.explode(F.array_distinct(prefixes)).alias("fqn"))
-    return sought.join(classes.select("fqn").distinct(), "fqn").where(F.col("target_fqn") != F.col("fqn")).distinct()
+    found = sought.hint("merge").join(names, "fqn") if n > SMALL_ROWS else sought.join(names, "fqn")
+    return found.where(F.col("target_fqn") != F.col("fqn")).distinct()
 
 
 def to_refresh(symbols: DataFrame, edges: DataFrame, summaries: DataFrame, sources: DataFrame, changed: DataFrame) -> DataFrame:
