@@ -255,11 +255,13 @@ def refreshed(symbols: DataFrame, edges: DataFrame, summaries: DataFrame, source
 
 def refresh_result(symbols: DataFrame, edges: DataFrame, summaries: DataFrame, sources: DataFrame, changed: DataFrame) -> DataFrame:
     """One row: how many symbols are changed, affected, to be asked for, and skipped because they are fresh."""
-    hit = affected(symbols, edges, changed)
-    named = symbols.join(hit, "fqn", "left_semi").join(sources.where("content <> ''").select("fqn"), "fqn", "left_semi")
-    fresh = named.join(summaries.where("not is_stale").select(F.col("target_fqn").alias("fqn"), F.lit(True).alias("fresh")), "fqn", "left")
+    own, n_changed = cut_counted(changed.select("fqn").distinct())
+    hit, n_hit = cut_counted(affected(symbols, edges, own))
+    named = sources.where("content <> ''").select("fqn").join(sized(hit, n_hit), "fqn", "left_semi")
+    asked_for = symbols.select("fqn").join(named, "fqn", "left_semi")
+    fresh = asked_for.join(summaries.where("not is_stale").select(F.col("target_fqn").alias("fqn"), F.lit(True).alias("fresh")), "fqn", "left")
     counts = fresh.agg(F.count_if(F.col("fresh").isNull()).alias("regenerated"), F.count_if("fresh").alias("skipped"))
-    return counts.withColumns({"changed": F.lit(changed.select("fqn").distinct().count()).cast("long"), "affected": F.lit(hit.count()).cast("long")})
+    return counts.withColumns({"changed": F.lit(n_changed).cast("long"), "affected": F.lit(n_hit).cast("long")})
 
 
 def embedded(texts: DataFrame, model: Callable[[pd.Series], pd.Series], together: int = 100) -> DataFrame:
