@@ -310,14 +310,14 @@ def unsure(texts: pd.Series) -> pd.Series:
 
 @query("j10_responses", "SELECT fqn, CASE WHEN contains(fqn, '11') THEN NULL ELSE 'said ' || fqn END AS answer, contains(fqn, '11') AS failed FROM part_method")
 def model_responses(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, d, "part_method").select("fqn")
+    rows = business.spread(frame(spark, d, "part_method").select("fqn"))
     said = rows.withColumn("said", business.responses(F.col("fqn"), unsure, business.Calls(together=20, threads=4)))
     return said.select("fqn", "said.answer", "said.failed")
 
 
 @query("d23_call_counts", "SELECT count(*) AS total, count(*) FILTER (NOT contains(fqn, '11')) AS success, count(*) FILTER (contains(fqn, '11')) AS failed FROM part_method")
 def call_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, d, "part_method").select(business.responses(F.col("fqn"), unsure, business.Calls(together=20, threads=4)).alias("said"))
+    rows = business.spread(frame(spark, d, "part_method").select("fqn")).select(business.responses(F.col("fqn"), unsure, business.Calls(together=20, threads=4)).alias("said"))
     return business.call_counts(cut(rows)).select("total", "success", "failed")
 
 

@@ -59,6 +59,10 @@ class Calls:
     retriable: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
 
 
+#: Texts of one task that asks a model.
+SPREAD_ROWS = 20_000
+
+
 def _tried(model: Model, texts: pd.Series, calls: Calls) -> tuple[list | None, int]:
     """The model's answers, or nothing where it fails for good, and how often it was called."""
     for attempt in range(1, calls.attempts + 1):
@@ -102,9 +106,16 @@ def responses(prompt: Column, model: Model, calls: Calls = Calls()) -> Column:
     return F.pandas_udf(run, "answer string, failed boolean, attempts int")(prompt)
 
 
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` dealt to tasks of about ``rows`` rows, as many as the cluster has cores at least; a model's time goes by rows, not
+    by the bytes that files are split by."""
+    out, n = cut_counted(df)
+    return out.repartition(max(df.sparkSession.sparkContext.defaultParallelism, n // rows + 1))
+
+
 def asked(df: DataFrame, prompt: Column, answer: str, model: Model, fallback: Column, calls: Calls = Calls()) -> DataFrame:
     """``df`` with the model's answers to a prompt; where it gives none, or fails, the fallback."""
-    said = df.withColumn("__prompt", prompt).withColumn("__said", responses(F.col("__prompt"), model, calls))
+    said = spread(df).withColumn("__prompt", prompt).withColumn("__said", responses(F.col("__prompt"), model, calls))
     return said.withColumn(answer, F.coalesce("__said.answer", fallback)).drop("__prompt", "__said")
 
 
@@ -274,7 +285,7 @@ def embedded(texts: DataFrame, model: Callable[[pd.Series], pd.Series], together
         for batch in batches:
             yield pd.concat([pd.Series([], dtype=object), *(pd.Series(list(model(batch.iloc[k : k + together])), dtype=object) for k in range(0, len(batch), together))], ignore_index=True)
 
-    return texts.select("id", F.pandas_udf(vectors, "array<float>")("text").alias("embedding"))
+    return spread(texts).select("id", F.pandas_udf(vectors, "array<float>")("text").alias("embedding"))
 
 
 def first_terms(entries: DataFrame, order: str) -> DataFrame:
