@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators.relations import orphans
+from codeweft.operators.graph import FEW_FQNS
 from codeweft.plans.dependencies import detect_dependencies
 from codeweft.plans.verify import verify
-from codeweft.scratch import cut
+from codeweft.scratch import cut, cut_counted, cut_small, sized
 from codeweft.sources.classes import entry_points, flatten_edges, flatten_symbols, outer_name
 from codeweft.sources.versions import Versions, publish_checked
 
@@ -107,33 +109,56 @@ def clean_plan(frames: dict[str, DataFrame], rules: dict[str, dict[str, str]]) -
 
     ``rules`` say for each table and column that points at symbols whether an orphan is deleted or its column set to
     null (see ``mutations.CASCADE``).  Deleting symbols makes new orphans, so steps are repeated until one finds none;
-    the plan alone is a dry run, as no frame is written.
+    the plan alone is a dry run, as no frame is written.  Only the first step looks for all symbols: after it a row is an
+    orphan only if it points at a symbol that the step before deleted.
     """
-    from codeweft.operators.mutations import set_where
-
     out, plan, step = dict(frames), None, 0
+    gone = None
+    known = out["symbols"].select("fqn").where("fqn is not null").distinct()
     while True:
         step += 1
-        known = cut(out["symbols"].select("fqn").distinct())
-        checks = {f"{name}.{column}": (out[name], column) for name, columns in rules.items() if name in out for column in columns}
-        found = cut(orphans(known, checks))
-        counts = {r["table_name"]: r["orphans"] for r in found.where("orphans > 0").collect()}
-        split = F.split("table_name", r"\.")
-        action = F.lit(None).cast("string")
-        for name, columns in rules.items():
-            for column, rule in columns.items():
-                action = F.when(F.col("table_name") == f"{name}.{column}", rule).otherwise(action)
-        own = found.where("orphans > 0").select(F.lit(step).alias("step"), split[0].alias("table_name"), split[1].alias("column_name"), action.alias("rule"), F.col("orphans").alias("n_rows"))
+        found = _lost(out, rules, known, gone)
+        sums = found.groupBy("table_name", "column_name", "rule").agg(F.sum("n").alias("n_rows")).where("n_rows > 0")
+        own = cut(sums.select(F.lit(step).alias("step"), "table_name", "column_name", "rule", "n_rows"))
         plan = own if plan is None else plan.unionByName(own)
+        counts = own.collect()  # a row for each table and column
         if not counts:
             return out, plan
-        for key in counts:
-            name, column = key.split(".")
-            lost = out[name].select(column).where(F.col(column).isNotNull()).distinct().join(known.withColumnRenamed("fqn", column), column, "left_anti")
-            if rules[name][column] == "delete":
-                out[name] = cut(out[name].join(lost, column, "left_anti").select(out[name].columns))
+        before, values = out["symbols"], {}
+        for name in {row["table_name"] for row in counts}:
+            rows = out[name]
+            for row in (r for r in counts if r["table_name"] == name):
+                column = row["column_name"]
+                lost = found.where((F.col("table_name") == name) & (F.col("column_name") == column)).select(F.col("fqn").alias("__lost"))
+                lost, n = cut_counted(lost)
+                lost = values[name, column] = sized(lost, n, FEW_FQNS)
+                if row["rule"] == "delete":
+                    rows = rows.join(lost, F.col(column) == F.col("__lost"), "left_anti")
+                else:
+                    marked = rows.join(lost, F.col(column) == F.col("__lost"), "left")
+                    rows = marked.withColumn(column, F.when(F.col("__lost").isNull(), F.col(column))).drop("__lost")
+            out[name] = cut(rows.select(out[name].columns))
+        removed = [before.join(lost, F.col(column) == F.col("__lost"), "left_semi").select("fqn") for (name, column), lost in values.items() if name == "symbols" and rules[name][column] == "delete"]
+        if not removed:
+            return out, plan
+        deleted = sized(*cut_counted(reduce(DataFrame.unionByName, removed).where("fqn is not null").distinct()), FEW_FQNS)
+        left = cut_small(out["symbols"].select("fqn").join(deleted, "fqn", "left_semi").distinct())
+        gone = sized(*cut_counted(deleted.join(left, "fqn", "left_anti")), FEW_FQNS)
+
+
+def _lost(frames: dict[str, DataFrame], rules: dict[str, dict[str, str]], known: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``table_name, column_name, rule, fqn, n``: what the tables' rows point at that is not among the ``known`` symbols or,
+    if these are given, is among those that are ``gone``, with the rows that do."""
+    parts = []
+    for name, columns in rules.items():
+        for column, rule in columns.items() if name in frames else ():
+            ends = frames[name].select(F.col(column).alias("fqn")).where("fqn is not null")
+            if gone is not None:
+                lost = ends.join(gone, "fqn", "left_semi").groupBy("fqn").agg(F.count("*").alias("n"))
             else:
-                out[name] = cut(set_where(out[name], column, lost, **{column: F.lit(None).cast(out[name].schema[column].dataType)}))
+                lost = ends.groupBy("fqn").agg(F.count("*").alias("n")).join(known, "fqn", "left_anti")
+            parts.append(lost.select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), F.lit(rule).alias("rule"), "fqn", "n"))
+    return cut(reduce(DataFrame.unionByName, parts))
 
 
 def cleared(frames: dict[str, DataFrame], names: tuple[str, ...] = ("edges", "symbols", "metadata")) -> dict[str, DataFrame]:
