@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from codeweft.functions.scalars import is_test_file
 from codeweft.scratch import small
 
+#: Edges of a partition in which callers are made distinct.
+ROWS = 1_000_000
+
 
 def coverage(symbols: DataFrame, edges: DataFrame, relation: str | None = None) -> DataFrame:
     """For every called symbol its distinct callers, those in test files, and their share in percent."""
     edges = edges if relation is None else edges.where(F.col("relation") == relation)
-    callers = edges.select(F.col("to_fqn").alias("target"), F.col("from_fqn").alias("fqn")).distinct().join(symbols.select("fqn", "file_path"), "fqn")
-    tested = F.sum(F.when(is_test_file(F.col("file_path")), 1).otherwise(0))
+    pairs = edges.select(F.col("to_fqn").alias("target"), F.col("from_fqn").alias("fqn")).where("fqn is not null")
+    known = symbols.select("fqn", is_test_file(F.col("file_path")).alias("test"))
+    parts = max(edges.count() // ROWS + 1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    callers = pairs.repartition(parts, "fqn").distinct().join(known.hint("shuffle_hash"), "fqn")  # one shuffle for both
+    tested = F.sum(F.when(F.col("test"), 1).otherwise(0))
     out = callers.groupBy("target").agg(F.count("*").alias("total_callers"), tested.alias("tested_callers"))
     return out.withColumn("coverage_percentage", F.round(100.0 * F.col("tested_callers") / F.col("total_callers"), 2))
 
