@@ -23,12 +23,13 @@ def _numbered(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple
     callers = sized(names.where("is_symbol").select(F.col("fqn").alias("from_fqn"), F.col("id").alias("from_id")), n)
     called = sized(names.select(F.col("fqn").alias("to_fqn"), F.col("id").alias("to_id")), n)
     calls = edges.where("relation = 'calls'").select("from_fqn", "to_fqn")
-    links = cut(calls.join(callers, "from_fqn").join(called, "to_fqn").select("from_id", "to_id").distinct())
+    pairs = calls.join(callers, "from_fqn").join(called, "to_fqn").select("to_fqn", "from_id", "to_id").distinct()  # where the join left them
+    links = cut(pairs.select("from_id", "to_id"))
     return names, links, cut(targets.select("fqn").distinct().join(names, "fqn").select("id"))
 
 
 def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """``source, depth, id`` of the nodes whose callers count at each depth, and ``source, id`` of all callers.
+    """``source, depth, id`` of the nodes whose callers count at each depth, and ``source, id`` of all callers, dealt by ``id``.
 
     Only nodes are carried from level to level, not the edges between them: what is counted of edges depends on the
     node that they lead to.
@@ -42,7 +43,7 @@ def _walk(links: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame,
         callers.append(level)
         if not n:
             break
-    return reduce(DataFrame.unionByName, levels), cut(reduce(DataFrame.unionByName, callers).distinct())
+    return reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, callers).repartition("id").distinct()
 
 
 def tested_files(symbols: DataFrame) -> DataFrame:
@@ -65,8 +66,10 @@ def impact(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: Da
     ends = links.join(covered.select(F.col("id").alias("from_id"), F.lit(1).alias("covered")).distinct(), "from_id", "left")
     degrees = ends.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("covered").isNull()).alias("untested"))
     counts = levels.join(degrees, "id").groupBy("source").agg(F.sum("callers").alias("n_callers"), F.sum("untested").alias("n_untested"))
-    tests = callers.join(covered, "id").groupBy("source").agg(F.countDistinct("file_path").alias("n_tests"))
-    return _judged(names, entries, targets, callers, (counts, tests))
+    marks = _points(names, entries).join(covered.groupBy("id").agg(F.collect_set("file_path").alias("files")), "id", "full")
+    files = F.array_distinct(F.flatten(F.collect_set("files")))
+    hits = callers.join(marks, "id").groupBy("source").agg(F.size(files).cast("long").alias("n_tests"), F.sum("n_points").alias("n_entries"))
+    return _judged(names, targets, (counts, hits))
 
 
 def impact_by_own_files(symbols: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, *, depth: int = 5) -> DataFrame:
@@ -76,16 +79,20 @@ def impact_by_own_files(symbols: DataFrame, edges: DataFrame, entries: DataFrame
     degrees = links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("callers"))
     counts = levels.join(degrees, "id").groupBy("source").agg(F.sum("callers").alias("n_callers"))
     test = is_test_file(F.col("file_path"))
-    known = cut(symbols.select("fqn", test.alias("test")).join(names, "fqn").select("id", "test"))
-    tests = callers.join(known, "id").groupBy("source").agg(F.count_if("test").alias("n_tests"), F.count_if(~F.col("test")).alias("n_untested"))
-    return _judged(names, entries, targets, callers, (counts, tests))
+    known = symbols.select("fqn", test.alias("test")).join(names, "fqn").groupBy("id").agg(F.count_if("test").alias("n_in"), F.count_if(~F.col("test")).alias("n_out"))
+    marks = known.join(_points(names, entries), "id", "full")
+    sums = [F.sum(c).alias(name) for c, name in (("n_in", "n_tests"), ("n_out", "n_untested"), ("n_points", "n_entries"))]
+    return _judged(names, targets, (counts, callers.join(cut(marks), "id").groupBy("source").agg(*sums)))
 
 
-def _judged(names: DataFrame, entries: DataFrame, targets: DataFrame, callers: DataFrame, parts: tuple[DataFrame, ...]) -> DataFrame:
-    points = entries.select(F.col("symbol_fqn").alias("fqn")).join(names, "fqn").select("id")
-    hits = callers.join(points, "id").groupBy("source").agg(F.count("*").alias("n_entries"))
+def _points(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, n_points``: symbols with their number of entry points."""
+    return entries.select(F.col("symbol_fqn").alias("fqn")).join(names, "fqn").groupBy("id").agg(F.count("*").alias("n_points"))
+
+
+def _judged(names: DataFrame, targets: DataFrame, parts: tuple[DataFrame, ...]) -> DataFrame:
     joined = targets.select("fqn").distinct().join(names, "fqn", "left").select(F.col("fqn").alias("name"), F.col("id").alias("source"))
-    for part in (*parts, hits):
+    for part in parts:
         joined = joined.join(part, "source", "left")
     zero = F.lit(0).cast("long")
     joined = joined.select(F.col("name").alias("source"), *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_entries", "n_tests", "n_untested")])
