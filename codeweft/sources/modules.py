@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codeweft.plans.rebuild import extracted
-from codeweft.scratch import cut, delete, listed, small
+from codeweft.scratch import cut, cut_counted, delete, listed, small
 from codeweft.sources.classes import SCHEMA, stale_modules
 
 # Where build tools put compiled classes of a module.
@@ -20,6 +20,8 @@ CLASS_FOLDERS = ("target/classes/", "build/classes/java/main/")
 TABLES = ("symbols", "edges", "entry_points", "dependencies")
 #: Parts into which a module's listing is hashed before the parts are.
 PARTS = 256
+#: Classes that a task extracts.
+CLASSES = 25_000
 
 
 def class_files(files: DataFrame) -> DataFrame:
@@ -112,7 +114,8 @@ class Modules:
         stale = cut(stale_modules(now, stored))
         errors = cut(broken_rows(classes.join(small(stale.select("module")), "module", "left_semi")).groupBy("module").agg(F.max("error").alias("error"), F.count("*").alias("n_broken")))
         good = cut(stale.join(errors, "module", "left_anti"))
-        todo = classes.join(small(good), "module").where("fqn is not null")
+        todo, n = cut_counted(classes.join(small(good), "module").where("fqn is not null"))
+        todo = todo.repartition(n // CLASSES + 1)  # what a task sorts by module doesn't grow with the project
         for name, rows in extracted(todo, sources, ("module", "hash")).items():
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module", "hash").parquet(f"{self.root}/{name}")
         good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module").parquet(f"{self.root}/hashes")
