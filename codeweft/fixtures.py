@@ -75,15 +75,15 @@ DERIVED = {
 }
 
 
-#: Line items of a partition when edges are derived, and the size of what a task reads of a shuffle.
-WIDE_ROWS, WIDE_BYTES = 500_000, "8m"
+#: Tables that are joined when edges are derived, their rows of a partition, and the size of what a task reads of a shuffle.
+WIDE_TABLES, WIDE_ROWS, WIDE_BYTES = ("customer", "part", "orders", "lineitem"), 500_000, "8m"
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """A session of the same application that makes as many partitions as there are line items for, so that a task's memory
-    doesn't grow with the table."""
+    """A session of the same application that makes as many partitions as the largest of the joined tables has rows for, so
+    that a task's memory doesn't grow with any of them: hashed are customers, parts and orders, and streamed line items."""
     wide = spark.newSession()
-    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // WIDE_ROWS + 1
+    n = max(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in WIDE_TABLES) // WIDE_ROWS + 1
     wide.conf.set("spark.sql.shuffle.partitions", max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     wide.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", WIDE_BYTES)
     return wide
@@ -91,7 +91,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> SparkSession:
 
 def _codes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The keys and codes of which edges are made."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "part", "orders", "lineitem")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in WIDE_TABLES}
     parts = tables["part"].select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("b"))
     nameless = parts.where("b is null").select("p_partkey")
     return {
