@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.scalars import http_path, simple_name
+from codeweft.scratch import cut_small
 
 SCHEMA = (
     "fqn string, type string, nodeType string, line int, modifiers array<string>, annotations array<string>, classBasePath string, "
@@ -27,6 +28,8 @@ EXTERNAL = (
 )
 # Listener annotations of message queues.
 LISTENERS = ("RabbitListener", "KafkaListener", "JmsListener")
+#: Methods of a class that one nested row holds, about.
+METHODS = 1000
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
@@ -95,19 +98,25 @@ def entry_points(classes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*carry, "symbol_fqn", F.col("e.t").alias("entry_type"), F.col("e.h").alias("http_method"), F.col("e.p").alias("http_path"), F.col("e.c").alias("cron_expression"), F.col("e.q").alias("mq_queue"))
 
 
-def nest(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """``fqn, type, annotations, methods``: classes with their methods and these with their calls, from flat tables.
+def nest(symbols: DataFrame, edges: DataFrame, most: int = METHODS) -> DataFrame:
+    """``fqn, type, annotations, part, methods``: classes with their methods and these with their calls, from flat tables.
 
-    A class without methods has an empty list, and so a method without calls.  It takes one row to hold a class, as the
-    nested form does.
+    A class without methods has an empty list, and so a method without calls.  A class of more than ``most`` methods comes in
+    several rows, its parts from 0, of about so many at most: methods are dealt to them by a hash, all of one name to the
+    same.  So no row and no task holds a whole class.  The calls of a method stay in one list.
     """
-    calls = edges.where("relation = 'calls'").groupBy(F.col("from_fqn").alias("fqn")).agg(F.sort_array(F.collect_list("to_fqn")).alias("calls"))
+    methods = symbols.where("kind = 'method' and parent_fqn is not null").select("fqn", "parent_fqn")
+    parts = F.ceil(F.count("*") / most).cast("int")
+    large = cut_small(methods.groupBy("parent_fqn").agg(parts.alias("parts")).where("parts > 1"))  # at most a row for ``most`` methods
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = methods.join(large, "parent_fqn", "left").select("fqn", "parent_fqn", F.pmod(F.xxhash64("fqn"), parts).cast("int").alias("part"))
+    calls = edges.where("relation = 'calls' and from_fqn is not null").groupBy(F.col("from_fqn").alias("fqn")).agg(F.sort_array(F.collect_list("to_fqn")).alias("calls"))
     none = F.array().cast("array<string>")
-    methods = symbols.where("kind = 'method' and parent_fqn is not null").select("fqn", "parent_fqn").join(calls, "fqn", "left")
-    lists = methods.groupBy(F.col("parent_fqn").alias("fqn")).agg(F.sort_array(F.collect_list(F.struct("fqn", F.coalesce("calls", none).alias("calls")))).alias("methods"))
-    classes = symbols.where("kind in ('class', 'interface', 'enum')").select("fqn", F.col("kind").alias("type"), "annotations")
-    out = classes.join(lists, "fqn", "left")
-    return out.withColumn("methods", F.coalesce("methods", F.array().cast(out.schema["methods"].dataType)))
+    lists = dealt.join(calls, "fqn", "left").groupBy(F.col("parent_fqn").alias("fqn"), "part").agg(F.sort_array(F.collect_list(F.struct("fqn", F.coalesce("calls", none).alias("calls")))).alias("methods"))
+    classes = symbols.where("kind in ('class', 'interface', 'enum')").select("fqn", F.col("kind").alias("type"), "annotations").join(large.withColumnRenamed("parent_fqn", "fqn"), "fqn", "left")
+    rows = classes.select("fqn", "type", "annotations", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    out = rows.hint("shuffle_hash").join(lists, ["fqn", "part"], "left")  # by part too, and no list is sorted or moved again
+    return out.select("fqn", "type", "annotations", "part", F.coalesce("methods", F.array().cast(out.schema["methods"].dataType)).alias("methods"))
 
 
 def outline(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,8 +139,9 @@ def _n_calls(classes: DataFrame) -> Column:
 
 
 def light_index(classes: DataFrame) -> DataFrame:
-    """``fqn, type, n_methods, n_calls`` of nested classes, or of an ``outline``, without enums."""
-    return classes.where("type <> 'enum'").select("fqn", "type", _n_methods(classes).alias("n_methods"), _n_calls(classes).alias("n_calls"))
+    """``fqn, type, n_methods, n_calls`` of nested classes, or of an ``outline``, without enums; parts of a class are put together."""
+    rows = classes.where("type <> 'enum'").select("fqn", "type", _n_methods(classes).alias("n_methods"), _n_calls(classes).alias("n_calls"))
+    return rows.groupBy("fqn", "type").agg(F.sum("n_methods").alias("n_methods"), F.sum("n_calls").alias("n_calls")) if "part" in classes.columns else rows
 
 
 def light_index_batch(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -144,7 +154,8 @@ def light_index_batch(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def totals(classes: DataFrame, *keys: str) -> DataFrame:
     """Classes, methods and calls, by ``keys`` or in all, of nested classes or of an ``outline``."""
-    return classes.groupBy(*keys).agg(F.count("*").alias("n_classes"), F.sum(_n_methods(classes)).alias("n_methods"), F.sum(_n_calls(classes)).alias("n_calls"))
+    n = F.count_if(F.col("part") == 0) if "part" in classes.columns else F.count("*")
+    return classes.groupBy(*keys).agg(n.alias("n_classes"), F.sum(_n_methods(classes)).alias("n_methods"), F.sum(_n_calls(classes)).alias("n_calls"))
 
 
 def progress(classes: DataFrame, batch: str) -> DataFrame:
